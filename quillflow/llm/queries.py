@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, mixing, tokens, toxicity
+from . import bpe, exact, mixing, simhash, tokens, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -41,7 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_mixing, op6_byte_bpe, op7_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op5_mixing, op6_byte_bpe, op7_toxicity, op10_exact_dedup)}
 
 
 OP10_SQL = """
