@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact, mixing, simhash, tokens, toxicity
+from . import ann, bpe, exact, mixing, simhash, suffix, tokens, toxicity, windows
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
 
@@ -40,12 +44,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_windows(_table(spark, sf_dir, "documents"), width=13)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.equal_text_groups(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op5_mixing, op6_byte_bpe, op7_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_nearest, op5_mixing, op6_byte_bpe, op7_toxicity, op8_window_dedup,
+                                  op9_suffix_dedup, op10_exact_dedup)}
 
 
 OP10_SQL = """

@@ -167,28 +167,28 @@ def near_links(fps: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int
 _LINK = "kind int, a long, b long, bucket long, chunk int, chunks int"
 
 
-def _bucket_links(radius: int):
+def _bucket_links(radius: int, chunk: int):
     """Rows sorted by (t, key): links within each bucket; members of buckets beyond CHUNK are passed on in chunks."""
 
-    def frame(kind, a, b, bucket, chunk, chunks):
+    def frame(kind, a, b, bucket, part, parts):
         n = len(a)
         fill = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n), t and pa.from_numpy_dtype(t))
-        cols = [fill(kind, np.int32), fill(a, np.int64), fill(b, np.int64), fill(bucket, np.int64), fill(chunk, np.int32), fill(chunks, np.int32)]
+        cols = [fill(kind, np.int32), fill(a, np.int64), fill(b, np.int64), fill(bucket, np.int64), fill(part, np.int32), fill(parts, np.int32)]
         return pa.RecordBatch.from_arrays(cols, names=["kind", "a", "b", "bucket", "chunk", "chunks"])
 
     def settle(bucket, fp):
         """Whole buckets."""
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         size = np.diff(cut)
-        big = np.repeat(size > CHUNK, size)
+        big = np.repeat(size > chunk, size)
         last = np.repeat(cut[1:], size)
         first = np.arange(1, len(fp) + 1)
         last = np.where(big, first, last)
         a, b = near_links(fp.view(np.uint64), first, last, radius)
         yield frame(0, fp[a], fp[b], 0, 0, 0)
-        for k in np.flatnonzero(size > CHUNK):
+        for k in np.flatnonzero(size > chunk):
             own = fp[cut[k] : cut[k + 1]]
-            yield frame(1, own, 0, bucket[cut[k]], np.arange(len(own)) // CHUNK, -(-len(own) // CHUNK))
+            yield frame(1, own, 0, bucket[cut[k]], np.arange(len(own)) // chunk, -(-len(own) // chunk))
 
     def go(batches):
         held_b, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -240,7 +240,7 @@ def _chunk_links(radius: int):
     return go
 
 
-def links(fps: DataFrame, n: int, radius: int) -> DataFrame:
+def links(fps: DataFrame, n: int, radius: int, chunk: int = CHUNK) -> DataFrame:
     """fps: distinct fp long, about n of them. Returns a, b: enough links of at most radius bits to connect all that are."""
     spare = 2  # whole blocks that every bucket agrees on; more of them as the table grows, so that buckets stay small
     while spare < 5 and n > 1 << (64 * spare // (radius + spare) + 2):
@@ -251,7 +251,7 @@ def links(fps: DataFrame, n: int, radius: int) -> DataFrame:
     names = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
     spread = fps.select(F.explode(names).alias("bucket"), "fp")
     met = spread.repartition(F.col("bucket")).sortWithinPartitions("bucket", "fp")
-    found = stored(met.mapInArrow(_bucket_links(radius), _LINK))
+    found = stored(met.mapInArrow(_bucket_links(radius, chunk), _LINK))
     hot = found.filter("kind = 1").withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     i, j = F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     pairs = hot.select("bucket", i, j, "chunk", F.col("a").alias("fp")).repartition("bucket", "i", "j")
@@ -259,7 +259,7 @@ def links(fps: DataFrame, n: int, radius: int) -> DataFrame:
     return found.filter("kind = 0").select("a", "b").unionByName(more)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links of <= radius bits).
 
     One row per input row. Null and empty texts, and texts of white space, have fingerprint 0 and link like any other.
@@ -271,7 +271,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = stored(fingerprints(df, id_col, text_col, words))
     # exact copies and equal fingerprints meet first: from here on a fingerprint is one row
     distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(links(distinct.select("fp"), distinct.count(), radius))
+    labels = components(links(distinct.select("fp"), distinct.count(), radius, chunk))
     rooted = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
