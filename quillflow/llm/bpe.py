@@ -165,30 +165,32 @@ def decode(df: DataFrame, rank_path: str, ids_col: str = "token_ids") -> DataFra
     return df.mapInArrow(go, df.schema.add("decoded", "binary"))
 
 
-def digest(df: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest(df: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes every text, decodes the ids again, and returns id, n_tokens, ids_sha256 and decoded_sha256.
 
-    Null texts count as empty: no token, and the digests of the empty string. Repeated rows and null ids stay.
+    with_ids: also token_ids. Null texts count as empty: no token, and the digests of the empty string. Repeated rows and
+    null ids stay.
     """
     rank_file = _read(rank_path)
     df = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
 
     def go(batches):
         model = ranks_of(rank_file)
         token, sha = model.token.__getitem__, hashlib.sha256
         for batch in batches:
-            texts, n, a, b = [x or "" for x in batch.column(1).to_pylist()], [], [], []
+            texts, n, a, b, kept = [x or "" for x in batch.column(1).to_pylist()], [], [], [], []
             for codes, _ in encode_batch(texts, model):
                 ids = [i for c in codes for i in c[0]]
                 n.append(len(ids))
                 a.append(sha(" ".join([c[1] for c in codes]).encode()).hexdigest())
                 b.append(sha(b"".join(map(token, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                kept.append(np.array(ids, np.int32) if with_ids else None)
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names=names)
 
-    return df.mapInArrow(go, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    return df.mapInArrow(go, schema)
 
 
 def _read(path: str) -> bytes:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, exact, mixing, simhash, suffix, tokens, toxicity, windows
+from . import ann, bpe, exact, lines, mixing, simhash, suffix, tokens, toxicity, windows
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    less = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return less.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -57,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_nearest, op5_mixing, op6_byte_bpe, op7_toxicity, op8_window_dedup,
+    return {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_line_dedup, op4_nearest, op5_mixing, op6_byte_bpe, op7_toxicity, op8_window_dedup,
                                   op9_suffix_dedup, op10_exact_dedup)}
 
 
