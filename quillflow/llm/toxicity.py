@@ -18,10 +18,11 @@ BITS = 20
 GRAMS = (4, 5, 6)
 DIM = 4
 #: Training reads at most this many labelled rows of classes 0 and 1, the first by a seeded hash of their ids.
-SAMPLE = (3000, 1200)
-EPOCHS = 6
-LEAST = 5  # documents of the sample with a bucket, else its vector stays zero
-GAIN = 40.0  # scale of the mean: toxic words are a percent or two of a text
+SAMPLE = (4000, 2000)
+EPOCHS, UPDATES = 12, 400  # passes over the sample, more of them until there were this many updates
+BATCH = 64
+CONTRAST = 5.0  # least z between the classes of a bucket that is trained; other vectors stay zero
+GAIN = 80.0  # scale of the mean: toxic words are a percent or two of a text
 _WORD = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
 
 
@@ -83,6 +84,14 @@ def bags(texts: list[str]):
     return (*[np.concatenate([r[i] for r in rows]) for i in range(3)], total)
 
 
+def _contrast(bucket: np.ndarray, label: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """z of the difference between the shares of the classes' texts that have each bucket."""
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    has1, has0 = (np.bincount(bucket[label == y], minlength=1 << BITS) for y in (1, 0))
+    p = (has1 + has0) / len(labels)
+    return (has1 / n1 - has0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> np.ndarray:
     """Weights: one number per bucket and, last, the bias. Same rows in the same order give the same weights."""
     weights = np.zeros((1 << BITS) + 1, np.float32)
@@ -91,8 +100,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> np.ndarray:
     rng = np.random.default_rng(seed)
     text, bucket, n, total = bags(texts)
     n /= np.maximum(total, 1)[text]
-    # a bucket of few documents would only be learnt by heart
-    often = np.bincount(bucket, minlength=1 << BITS)[bucket] >= LEAST
+    # buckets that the classes hold about equally often would only be learnt by heart
+    often = np.abs(_contrast(bucket, labels[text], labels))[bucket] >= CONTRAST
     text, bucket, n = text[often], bucket[often], n[often]
     start = np.searchsorted(text, np.arange(len(texts) + 1))
     vectors = np.zeros((1 << BITS, DIM), np.float32)
@@ -101,10 +110,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> np.ndarray:
     square = np.full(1 << BITS, 1e-6, np.float32)
     soft, soft_square = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2)).astype(np.float32), np.full((DIM, 2), 1e-6, np.float32)
     bias, bias_square = np.zeros(2, np.float32), np.full(2, 1e-6, np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, UPDATES // -(-len(texts) // BATCH))):
         order = rng.permutation(len(texts))
-        for k in range(0, len(order), 64):
-            own = np.sort(order[k : k + 64])
+        for k in range(0, len(order), BATCH):
+            own = np.sort(order[k : k + BATCH])
             at = np.concatenate([np.arange(start[i], start[i + 1]) for i in own])
             if not len(at):
                 continue
