@@ -23,7 +23,7 @@ GRAM = 100  # bytes of the grams whose least hash names a string of LENGTH bytes
 FINE_GRAM = 180  # the same for segments of a hash with very many different segments, which are cut finer
 HOT = 512  # different segments of one hash beyond which they are cut finer
 RUN = 2048  # strings of a segment at most (a periodic text has long runs of one hash)
-SHARD_SEGMENTS = 2 << 20
+SHARD_SEGMENTS = 1 << 19
 PACK = 256 << 10  # bytes of one suffix array, but that segments of one hash stay together
 END = 0xFF  # between segments; no byte of UTF-8
 _BYTE = np.random.default_rng(43).integers(0, 1 << 63, (2, 256), np.uint64)
@@ -178,7 +178,7 @@ def repeated_bytes(
     """
     texts, n, size = B.bundled(df, id_col, text_col)
     shards = size // ((length - gram + 2) // 2 * SHARD_SEGMENTS) + 1
-    sort_shards = 16 * shards
+    sort_shards = 4 * shards
     binary, i32 = pa.binary(), pa.int32()
 
     def read(table):
