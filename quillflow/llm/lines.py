@@ -34,47 +34,47 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.filter(F.trim(F.translate("line", "\t\r", "  ")) != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), F.col("line"))})
 
 
-def variants(line: str, whole_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the line (place -1) and, unless whole_only, of the line without each of its characters, and the places."""
+def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the line, and of the line without each of its characters."""
     x = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(x)
     zero = np.zeros(1, np.int64)
     _roll.spans(x, zero, zero)  # grows the tables of powers
     values = B.mix(x + np.uint64(1))
     before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _roll.up[:n])])
-    whole = B.mix(before[n:] ^ np.uint64(n))
-    if whole_only:
-        return whole, np.array([-1])
     less = before[:n] + (before[n] - before[1:]) * np.uint64(_roll.inverse)
-    return np.concatenate([whole, B.mix(less ^ np.uint64(n - 1))]), np.arange(-1, n)
+    return B.mix(before[n:] ^ np.uint64(n)), B.mix(less ^ np.uint64(n - 1))
 
 
 def _variant_rows(batches):
+    """Variants of the lines; where one half is known to be shared, only those without a character of the other."""
     for batch in batches:
-        out = [[] for _ in range(5)]
-        for k, (line, same, longer) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)))):
-            h, place = variants(line, not (same or longer))
-            keys, role = [h[:1]], [np.zeros(1, np.int8)]  # 0: whole, 1: one deleted, 2: one deleted at a place
-            if longer:
-                keys.append(h[1:])
-                role.append(np.ones(len(h) - 1, np.int8))
-            if same:
-                keys.append(B.mix(h[1:] ^ B.mix(place[1:].astype(np.uint64))))
-                role.append(np.full(len(h) - 1, 2, np.int8))
-            out[0] += keys
-            out[1] += role
-            out[2].append(np.full(sum(map(len, keys)), k))
-        if not out[0]:
+        keys, roles, take = [], [], []  # roles, 0: whole, 1: one deleted, 2: one deleted at a place
+        for k, (line, same0, same1, longer0, longer1) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
+            whole, less = variants(line)
+            n, half, own = len(less), len(less) // 2, (len(less) - 1) // 2
+            keys.append(whole)
+            roles.append(np.zeros(1, np.int8))
+            if longer0 or longer1:
+                place = np.arange(0 if longer1 else own, n if longer0 else n - own)
+                keys.append(less[place])
+                roles.append(np.ones(len(place), np.int8))
+            if same0 or same1:
+                place = np.arange(0 if same1 else half, n if same0 else half)
+                keys.append(B.mix(less[place] ^ B.mix(place.astype(np.uint64))))
+                roles.append(np.full(len(place), 2, np.int8))
+            take.append(np.full(sum(map(len, keys)) - sum(map(len, take)), k))
+        if not keys:
             continue
-        take = pa.array(np.concatenate(out[2]))
-        cols = [pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), *(batch.column(i).take(take) for i in (3, 4, 5))]
+        at = pa.array(np.concatenate(take))
+        cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), *(batch.column(i).take(at) for i in (5, 6, 7))]
         yield pa.RecordBatch.from_arrays(cols, names=["key", "role", "h1", "h2", "ord"])
 
 
 def near_pairs(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier line within one edit. first: h1, h2, ord, doc_id, halves, len."""
     roles = F.explode("halves").alias("half")
-    halves = first.filter(F.col("len") >= MIN_EDIT_CHARS).select("h1", "h2", "len", roles).select("half.key", "half.role", "h1", "h2")
+    halves = first.filter(F.col("len") >= MIN_EDIT_CHARS).select("h1", "h2", "len", roles).select("half.key", "half.role", "half.side", "h1", "h2")
     # role 0: halves of equally long lines; 1 and 2: halves of the shorter and the longer of lines one character apart
     one = lambda f, role: f(F.when(F.col("role") == role, F.col("h1")))
     shared = halves.groupBy("key").agg(
@@ -82,13 +82,15 @@ def near_pairs(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> D
     )
     shared = shared.filter("same or unequal")
     hit = halves.join(shared, "key").filter("(role = 0 and same) or (role > 0 and unequal)")
-    some = hit.groupBy("h1", "h2").agg(F.max(F.col("role") == 0).alias("same"), F.max(F.col("role") == 2).alias("longer"))
+    kinds = [(f"{name}{side}", role, side) for name, role in (("same", 0), ("longer", 2)) for side in (0, 1)]
+    some = hit.groupBy("h1", "h2").agg(*[F.max((F.col("role") == role) & (F.col("side") == side)).alias(c) for c, role, side in kinds])
+    roles_known = [c for c, *_ in kinds]
     some = some.join(first.select("h1", "h2", "ord", "doc_id", "n"), ["h1", "h2"])
     place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID))
-    at = some.select("h1", "h2", "ord", "same", "longer", "n", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("at"))
+    at = some.select("h1", "h2", "ord", *roles_known, "n", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("at"))
     # the texts of those lines, from the document where each stands first
     lines = _lines(df.withColumn("__id", place), "__id", text_col).withColumnRenamed("doc_id", "at")
-    texts = lines.join(at, ["at", "n", "h1", "h2"]).select("line", "same", "longer", "h1", "h2", "ord").dropDuplicates(["h1", "h2"])
+    texts = lines.join(at, ["at", "n", "h1", "h2"]).select("line", *roles_known, "h1", "h2", "ord").dropDuplicates(["h1", "h2"])
     texts = stored(texts)
     rows = texts.mapInArrow(_variant_rows, "key long, role byte, h1 long, h2 long, ord decimal(32,0)")
     # every member of a group of role 2 is one substitution from every other; of roles 0 and 1, one insertion from the whole line
@@ -128,7 +130,7 @@ def first_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.min(_order(F.col("doc_id"), F.col("n"))).alias("ord"), F.max("len").alias("len"), *[F.max(c).alias(c) for c in names]
     )
     place = F.col("ord") % F.lit(1 << 31).cast("decimal(11,0)")
-    halves = F.array(*[F.struct(F.col(c).alias("key"), F.lit(k // 2).cast("byte").alias("role")) for k, c in enumerate(names)])
+    halves = F.array(*[F.struct(F.col(c).alias("key"), F.lit(k // 2).cast("byte").alias("role"), F.lit(k % 2).cast("byte").alias("side")) for k, c in enumerate(names)])
     n = F.pmod(place, F.lit(1 << 31).cast("decimal(11,0)")).cast("int")
     id_ = ((F.col("ord") - n) / F.lit(1 << 31).cast("decimal(11,0)")).cast("decimal(20,0)").cast("long")
     first = low.select("h1", "h2", "ord", "len", halves.alias("halves"), n.alias("n"), id_.alias("doc_id"))

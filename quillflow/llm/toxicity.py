@@ -70,26 +70,29 @@ def bytes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(_WORD[data], data, np.uint8(32)), ends
 
 
-def bags(texts: list[str]):
-    """(text's index, bucket, occurrences) of a list of texts, and n-grams of each text."""
-    rows, total = [], np.zeros(len(texts), np.int64)
+def bags(texts: list[str], wanted: np.ndarray | None = None):
+    """Slab by slab: (text's index, bucket, occurrences) and n-grams of each text; `wanted` flags the buckets to return."""
     for a, b in scan.slabs(texts, 500_000):
         data, ends = bytes_of(texts[a:b])
         grams = gram_buckets(data)
         text = np.concatenate([np.searchsorted(ends, at, side="right") for at, _ in grams] or [np.zeros(0, np.int64)])
-        key = text.astype(np.int64) << BITS | np.concatenate([g for _, g in grams] or [np.zeros(0, np.int32)])
-        key, n = np.unique(key, return_counts=True)
-        total[a:b] += np.bincount(text, minlength=b - a)[: b - a]
-        rows.append(((key >> BITS).astype(np.int32) + a, (key & ((1 << BITS) - 1)).astype(np.int32), n.astype(np.float32)))
-    return (*[np.concatenate([r[i] for r in rows]) for i in range(3)], total)
+        total = np.bincount(text, minlength=b - a)[: b - a]
+        bucket = np.concatenate([g for _, g in grams] or [np.zeros(0, np.int32)])
+        if wanted is not None:
+            text, bucket = text[wanted[bucket]], bucket[wanted[bucket]]
+        key, n = np.unique(text.astype(np.int64) << BITS | bucket, return_counts=True)
+        yield (key >> BITS).astype(np.int32) + a, (key & ((1 << BITS) - 1)).astype(np.int32), n.astype(np.float32), total
 
 
-def _contrast(bucket: np.ndarray, label: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _contrast(texts: list[str], labels: np.ndarray) -> np.ndarray:
     """z of the difference between the shares of the classes' texts that have each bucket."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    has1, has0 = (np.bincount(bucket[label == y], minlength=1 << BITS) for y in (1, 0))
-    p = (has1 + has0) / len(labels)
-    return (has1 / n1 - has0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    has = np.zeros((2, 1 << BITS))
+    for text, bucket, *_ in bags(texts):
+        for y in (0, 1):
+            has[y] += np.bincount(bucket[labels[text] == y], minlength=1 << BITS)
+    p = has.sum(axis=0) / len(labels)
+    return (has[1] / n1 - has[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> np.ndarray:
@@ -98,11 +101,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> np.ndarray:
     if not len(texts) or labels.min() == labels.max():
         return weights
     rng = np.random.default_rng(seed)
-    text, bucket, n, total = bags(texts)
-    n /= np.maximum(total, 1)[text]
     # buckets that the classes hold about equally often would only be learnt by heart
-    often = np.abs(_contrast(bucket, labels[text], labels))[bucket] >= CONTRAST
-    text, bucket, n = text[often], bucket[often], n[often]
+    found = list(zip(*bags(texts, np.abs(_contrast(texts, labels)) >= CONTRAST)))
+    text, bucket, n, total = map(np.concatenate, found)
+    n /= np.maximum(total, 1)[text]
     start = np.searchsorted(text, np.arange(len(texts) + 1))
     vectors = np.zeros((1 << BITS, DIM), np.float32)
     used = np.unique(bucket)
