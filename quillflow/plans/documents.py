@@ -1 +1,36 @@
 """Queries over readers: HTML pages and text formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T, urls as U
+from ..sources import blocks as B, html as H
+from .registry import query, table
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    """Pages as Markdown with title, words and error."""
+    return B.assemble(B.without_repeats(H.extract(table(spark, sf_dir, "pages"))))
+
+
+@query()
+def pages_by_domain(spark, sf_dir):
+    """Per domain: pages, pages with content, words, and the longest title."""
+    pages = table(spark, sf_dir, "pages")
+    docs = B.assemble(B.without_repeats(H.extract(pages)))
+    joined = pages.select(F.col("page_id").cast("string").alias("key"), U.host(F.col("url")).alias("domain")).join(docs, "key", "left")
+    longest = F.max_by("title", F.struct(F.coalesce(F.length("title"), F.lit(0)), F.col("key")))
+    return joined.groupBy("domain").agg(
+        F.count("*").alias("pages"), F.count_if(F.col("error").isNull() & F.col("markdown").isNotNull()).alias("extracted"),
+        F.sum("word_count").alias("words"), longest.alias("longest_title"),
+    )
+
+
+@query()
+def page_quality(spark, sf_dir):
+    """Pages that say little without scripts, or refuse: fewer than 30 words, or a notice instead of an article."""
+    docs = B.assemble(H.extract(table(spark, sf_dir, "pages")))
+    notice = F.lower("markdown").rlike("^\\W*(?:please (?:enable|verify|log in|sign in)|access denied|just a moment|checking your browser)")
+    return docs.select("key", (F.col("word_count") < 30).alias("thin"), (notice & (F.octet_length("markdown") <= 2000)).alias("refused"), T.token_estimate(F.col("markdown")).alias("tokens"))
