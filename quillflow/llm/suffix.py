@@ -22,6 +22,7 @@ LENGTH = 200
 GRAM = 100  # bytes of the grams whose least hash names a string of LENGTH bytes
 FINE_GRAM = 180  # the same for segments of a hash with very many different segments, which are cut finer
 HOT = 512  # different segments of one hash beyond which they are cut finer
+HOTTEST = 40 * HOT  # and beyond which every string stands by itself
 RUN = 2048  # strings of a segment at most (a periodic text has long runs of one hash)
 SHARD_SEGMENTS = 1 << 19
 PACK = 256 << 10  # bytes of one suffix array, but that segments of one hash stay together
@@ -33,15 +34,49 @@ _grams, _content = B.Rolling(0x9E3779B97F4A7C15), B.Rolling(0xD1342543DE82EF95)
 # --- suffix array ---------------------------------------------------------------------------------------------
 
 
-def suffix_array(data: bytes, depth: int) -> np.ndarray:
+def _words(data: bytes, more: int) -> np.ndarray:
+    """Eight bytes from every position as one number that orders like them; `more` positions past the end hold 0."""
+    n = len(data) + more
+    padded = np.frombuffer(data + bytes(more + 8), np.uint8)
+    words = np.zeros(n, np.uint64)
+    for k in range(8):
+        words <<= np.uint64(8)
+        words |= padded[k : k + n]
+    return words
+
+
+def _sorted_directly(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of the `depth` bytes from there: eight bytes at a time, only ties go on."""
+    order = starts[np.argsort(words[starts], kind="stable")]
+    key = words[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(order) else np.zeros(0, bool)
+    group = np.cumsum(new)
+    for at in range(8, depth, 8):
+        alone = new & np.append(new[1:], True)
+        open_ = np.flatnonzero(~alone)
+        if not len(open_):
+            break
+        own, g = order[open_], group[open_]
+        key = words[np.minimum(own + at, len(words) - 1)]
+        by = np.lexsort((key, g))
+        order[open_], key = own[by], key[by]
+        split = np.concatenate([[True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])])
+        new[open_] = split
+        group[open_] = np.cumsum(split)
+        # groups keep apart: an open one begins where its first row does, whatever its number
+    return order
+
+
+def suffix_array(data: bytes, depth: int, words: np.ndarray | None = None) -> np.ndarray:
     """Positions of data in the order of their suffixes; beyond `depth` bytes the order of equal ones is arbitrary."""
     text, n = np.frombuffer(data, np.uint8), len(data)
+    words = _words(data, depth) if words is None else words
     rise = np.empty(n, np.int8)
     rise[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
     rise[-1] = -1
     upto = np.where(rise != 0, np.arange(n), n)
     small = rise[np.minimum.accumulate(upto[::-1])[::-1]] > 0  # suffixes smaller than their successors
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: data[i : i + depth]), np.int64)
+    direct = _sorted_directly(words, np.flatnonzero(small), depth)
     of = np.searchsorted(text[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
     buckets[text[-1]].append(np.array([n - 1]))  # the empty suffix comes first and induces the last one
@@ -74,11 +109,8 @@ def suffix_array(data: bytes, depth: int) -> np.ndarray:
 def repeated_starts(data: bytes, length: int) -> np.ndarray:
     """For each position whether the `length` bytes from there, free of END, also start elsewhere in data."""
     n = len(data)
-    order = suffix_array(data, length)
-    padded = np.frombuffer(data + bytes([END]) * (length + 8), np.uint8)
-    words = np.zeros(n + length, np.uint64)
-    for k in range(8):
-        words = words << np.uint64(8) | padded[k : k + n + length]
+    words = _words(data, length)
+    order = suffix_array(data, length, words)
     ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == END), n)
     whole = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) >= length
     live = np.flatnonzero(whole[order[:-1]] & whole[order[1:]])
@@ -163,12 +195,12 @@ class Segments:
         self.cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
 
-REPEATED, SEND, FINE = 1, 2, 4
+REPEATED, SEND, FINE, FINEST = 1, 2, 4, 8
 
 
 def repeated_bytes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, fine_gram: int = FINE_GRAM,
-    hot: int = HOT, run: int = RUN, keep_text: bool = False,
+    hot: int = HOT, hottest: int = HOTTEST, run: int = RUN, keep_text: bool = False,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (and kept: the bytes that stay).
 
@@ -211,6 +243,7 @@ def repeated_bytes(
         code[times[which] > 1] |= REPEATED
         code[new_c & ((different[group] > 1) | (flags[order] & 2 > 0))] |= SEND
         code[different[group] > hot] |= FINE
+        code[different[group] > hottest] |= FINEST
         back = np.empty_like(code)
         back[order] = code
         return pa.table({
@@ -242,7 +275,7 @@ def repeated_bytes(
         for e in pick[(code[pick] & FINE) > 0].tolist():
             a = s.first[e]
             own = s.data[a : a + s.number[e] + length - 1]
-            value, at, number, _ = segments(own, np.array([len(own)]), length, fine_gram, run)
+            value, at, number, _ = segments(own, np.array([len(own)]), length, length if code[e] & FINEST else fine_gram, run)
             for v, b, m in zip(value.tolist(), at.tolist(), number.tolist()):
                 key = int(B.mix(np.array([v], np.uint64) ^ s.value[e])[0])
                 items.append((key, e, b, m, code[e] & REPEATED))
