@@ -20,6 +20,7 @@ from .stored import stored
 MIN_EDIT_CHARS = 16  # shorter lines only repeat by being equal
 _roll = B.Rolling(0x9E3779B97F4A7C15)
 _NULL_ID = (1 << 63) - 1
+FILTER_BITS = 24
 
 
 def _order(id_: Column, n: Column) -> Column:
@@ -71,6 +72,24 @@ def _variant_rows(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["key", "role", "h1", "h2", "ord"])
 
 
+def _might_be_in(keys: DataFrame):
+    """A test of h1 against a bitmap of fixed size: no wanted line fails it, and most others never reach a shuffle."""
+    at = F.pmod(F.col("h1"), F.lit(1 << FILTER_BITS)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)  # 2 MB, whatever the input
+    for k, part in parts:
+        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
+
+    @F.pandas_udf("boolean")
+    def test(h):
+        import pandas as pd
+
+        x = h.to_numpy() & ((1 << FILTER_BITS) - 1)
+        return pd.Series((bits[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
+
+    return test
+
+
 def near_pairs(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier line within one edit. first: h1, h2, ord, doc_id, halves, len."""
     roles = F.explode("halves").alias("half")
@@ -89,7 +108,8 @@ def near_pairs(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> D
     place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID))
     at = some.select("h1", "h2", "ord", *roles_known, "n", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("at"))
     # the texts of those lines, from the document where each stands first
-    lines = _lines(df.withColumn("__id", place), "__id", text_col).withColumnRenamed("doc_id", "at")
+    maybe = _might_be_in(some.select("h1"))
+    lines = _lines(df.withColumn("__id", place), "__id", text_col).withColumnRenamed("doc_id", "at").filter(maybe(F.col("h1")))
     texts = lines.join(at, ["at", "n", "h1", "h2"]).select("line", *roles_known, "h1", "h2", "ord").dropDuplicates(["h1", "h2"])
     texts = stored(texts)
     rows = texts.mapInArrow(_variant_rows, "key long, role byte, h1 long, h2 long, ord decimal(32,0)")
