@@ -31,18 +31,17 @@ def repeated_footers(pages: DataFrame, book: str, page: str, text: str, share: i
 
 def without_footers(pages: DataFrame, book: str, page: str, text: str) -> DataFrame:
     """The pages' texts less the lines that `repeated_footers` finds, and less page numbers one or two lines below them."""
-    common = repeated_footers(pages, book, page, text).groupBy("book").agg(F.collect_set("line").alias("common"))
-    joined = pages.join(common, pages[book] == common["book"], "left")
-    lines = F.split(F.col(text), "\n")
-    plain = lambda x: F.trim(F.translate(x, "\t\r", "  "))
-    is_common = lambda x: F.array_contains(F.coalesce("common", F.array().cast("array<string>")), plain(x))
-    flags = F.transform(lines, is_common)
-    at = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
-    kept = F.filter(
-        F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda s: ~(is_common(s["x"]) | (plain(s["x"]).rlike("^\\p{N}+$") & (at(s["i"] - 1) | at(s["i"] - 2)))),
-    )
-    return joined.withColumn(text, F.array_join(F.transform(kept, lambda s: s["x"]), "\n")).select(*pages.columns)
+    common = repeated_footers(pages, book, page, text).select(F.col("book").alias("__book"), F.col("line").alias("__line"), F.lit(True).alias("__common"))
+    lines = pages.select(F.col(book).alias("__b"), F.col(page).alias("__p"), F.posexplode(F.split(F.col(text), "\n")).alias("__pos", "__raw"))
+    plain = F.trim(F.translate("__raw", "\t\r", "  "))
+    marked = lines.join(common, (F.col("__b") == F.col("__book")) & (plain == F.col("__line")), "left")
+    order = Window.partitionBy("__b", "__p").orderBy("__pos")
+    before = F.coalesce(F.lag("__common", 1).over(order), F.lag("__common", 2).over(order), F.lit(False))
+    gone = F.coalesce("__common", F.lit(False)) | (plain.rlike("^\\p{N}+$") & before)
+    kept = marked.withColumn("__gone", gone).filter("not __gone").groupBy("__b", "__p").agg(F.array_sort(F.collect_list(F.struct("__pos", "__raw"))).alias("__kept"))
+    joined = pages.join(kept, (F.col(book) == F.col("__b")) & (F.col(page) == F.col("__p")), "left")
+    whole = F.array_join(F.transform("__kept", lambda s: s["__raw"]), "\n")
+    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce(whole, F.lit("")))).select(*pages.columns)
 
 
 def repeated_blocks(docs: DataFrame, key: str, text: str, least: int = 30) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T, urls as U
+from ..functions import markdown as M, text as T, urls as U
+from ..operators import naming, render
 from ..sources import blocks as B, html as H
 from .registry import query, table
 
@@ -34,3 +35,47 @@ def page_quality(spark, sf_dir):
     docs = B.assemble(H.extract(table(spark, sf_dir, "pages")))
     notice = F.lower("markdown").rlike("^\\W*(?:please (?:enable|verify|log in|sign in)|access denied|just a moment|checking your browser)")
     return docs.select("key", (F.col("word_count") < 30).alias("thin"), (notice & (F.octet_length("markdown") <= 2000)).alias("refused"), T.token_estimate(F.col("markdown")).alias("tokens"))
+
+
+@query()
+def documents_markdown(spark, sf_dir):
+    """Documents read as Markdown text: normal form, chunks of at most 32,000 characters, and whether they add up."""
+    docs = table(spark, sf_dir, "documents").withColumn("md", M.normalize(F.col("text")))
+    cut = docs.withColumn("chunks", M.chunks(F.col("md")))
+    whole = F.array_join("chunks", "") == F.col("md")
+    return cut.select("doc_id", F.md5("md").alias("digest"), F.size("chunks").alias("n_chunks"), whole.alias("whole"))
+
+
+@query()
+def protected_literals(spark, sf_dir):
+    """Literals of every document, by kind of first character."""
+    found = table(spark, sf_dir, "documents").withColumn("p", M.protected(F.col("text")))
+    one = found.select("doc_id", F.explode("p.literals").alias("literal"))
+    return one.groupBy(F.substring("literal", 1, 1).alias("mark")).agg(F.count("*").alias("literals"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query()
+def rendered_pages(spark, sf_dir):
+    """Pages with front matter, under names that do not collide."""
+    pages = table(spark, sf_dir, "pages")
+    docs = B.assemble(B.without_repeats(H.extract(pages)))
+    named = pages.select(F.col("page_id").cast("string").alias("key"), U.redact(F.col("url")).alias("source"), F.concat(U.output_name(F.col("url")), F.lit(".md")).alias("name"))
+    joined = naming.unique_names(named.join(docs, "key"), "name", ["key"])
+    out = render.render(joined, {"title": F.col("title"), "source": F.col("source")})
+    return out.select("key", F.col("unique_name").alias("target"), "rendered")
+
+
+@query()
+def run_envelopes(spark, sf_dir):
+    """Orders stand in for run items, customers' segments for batches."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "skipped").otherwise("failed")
+    items = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(F.col("c_mktsegment").alias("batch"), F.col("o_orderkey").alias("source"), status.alias("status"))
+    return render.envelope(items, "source").select("batch", F.length("envelope").alias("characters"), F.get_json_object("envelope", "$.totals.total").cast("long").alias("total"))
+
+
+@query()
+def looping_documents(spark, sf_dir):
+    """Documents that end in one passage over and over."""
+    docs = table(spark, sf_dir, "documents").withColumn("unit", M.periodic_tail(F.col("text")))
+    return docs.filter("unit is not null").select("doc_id", "unit")

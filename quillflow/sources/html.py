@@ -41,13 +41,15 @@ class Blocks(HTMLParser):
 
     # -- element stack
     def _close_to(self, names: set[str], bounds: set[str]) -> None:
+        found = None
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k] in bounds:
-                return
-            if self.open[k] in names:
-                while len(self.open) > k:
-                    self._end(self.open.pop())
-                return
+            tag = self.open[k].split("\0")[0]
+            if tag in bounds:
+                break
+            if tag in names:
+                found = k
+        while found is not None and len(self.open) > found:
+            self._end(self.open.pop())
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
