@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import scan
 
@@ -133,8 +133,8 @@ def encode(df: DataFrame, rank_path: str, text_col: str = "text", offsets: bool
     extra = [pa.field("token_ids", pa.list_(pa.int32()))] + [pa.field("pretoken_offsets", pa.list_(pa.int64()))] * offsets
     keep = [c for c in df.columns if c not in {f.name for f in extra}]
     df = df.select(*[F.col(f"`{c}`") for c in keep])
-    schema = df.schema.add("token_ids", "array<int>")
-    schema = schema.add("pretoken_offsets", "array<bigint>") if offsets else schema
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("pretoken_offsets", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*df.schema.fields, *added[: 1 + offsets]])
 
     def go(batches):
         model = ranks_of(rank_file)
@@ -162,7 +162,7 @@ def decode(df: DataFrame, rank_path: str, ids_col: str = "token_ids") -> DataFra
             out = [b"".join([token[i] for i in x or ()]) for x in batch.column(keep.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    return df.mapInArrow(go, df.schema.add("decoded", "binary"))
+    return df.mapInArrow(go, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digest(df: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
