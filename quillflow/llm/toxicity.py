@@ -21,6 +21,7 @@ DIM = 4
 SAMPLE = (4000, 2000)
 EPOCHS, UPDATES = 12, 400  # passes over the sample, more of them until there were this many updates
 BATCH = 64
+ONE_CLASS = 4.0  # bias where the sample has one class, or none: what is not shown to be toxic counts as clean
 CONTRAST = 5.0  # least z between the classes of a bucket that is trained; other vectors stay zero
 GAIN = 80.0  # scale of the mean: toxic words are a percent or two of a text
 _WORD = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
@@ -99,6 +100,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> np.ndarray:
     """Weights: one number per bucket and, last, the bias. Same rows in the same order give the same weights."""
     weights = np.zeros((1 << BITS) + 1, np.float32)
     if not len(texts) or labels.min() == labels.max():
+        weights[-1] = ONE_CLASS if len(texts) and labels.min() else -ONE_CLASS
         return weights
     rng = np.random.default_rng(seed)
     # buckets that the classes hold about equally often would only be learnt by heart
@@ -111,7 +113,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> np.ndarray:
     vectors[used] = rng.uniform(-1 / DIM, 1 / DIM, (len(used), DIM))
     square = np.full(1 << BITS, 1e-6, np.float32)
     soft, soft_square = rng.uniform(-1 / DIM, 1 / DIM, (DIM, 2)).astype(np.float32), np.full((DIM, 2), 1e-6, np.float32)
-    bias, bias_square = np.zeros(2, np.float32), np.full(2, 1e-6, np.float32)
+    bias, bias_square = np.log([1 - labels.mean(), labels.mean()]).astype(np.float32), np.full(2, 1e-6, np.float32)
     for _ in range(max(EPOCHS, UPDATES // -(-len(texts) // BATCH))):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
@@ -188,7 +190,7 @@ def toxicity(
 
     Only the text is scored; null counts as empty. Labels of held-out ids (crc32 of the id modulo 5 is 0), null labels
     and labels without a row are not used; of several labels of an id the largest counts. Without labels of both classes
-    every score is 0.5. Repeated rows stay. Training is bounded by SAMPLE; scoring is one narrow pass.
+    every score is that of the one there is, of class 0 if there is none. Repeated rows stay. Training is bounded by SAMPLE; scoring is one narrow pass.
     """
     weights = fit(df, labels, id_col, text_col, label_col)
     id_ = F.col(f"`{id_col}`").cast("long")
