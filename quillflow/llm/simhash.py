@@ -243,7 +243,7 @@ def _chunk_links(radius: int):
 def links(fps: DataFrame, n: int, radius: int, chunk: int = CHUNK) -> DataFrame:
     """fps: distinct fp long, about n of them. Returns a, b: enough links of at most radius bits to connect all that are."""
     spare = 2  # whole blocks that every bucket agrees on; more of them as the table grows, so that buckets stay small
-    while spare < 5 and n > 1 << (64 * spare // (radius + spare) + 2):
+    while spare < 5 and n > 1 << (64 * spare // (radius + spare) + 8):
         spare += 1
     masks = block_masks(radius + spare, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
