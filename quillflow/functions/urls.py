@@ -107,3 +107,44 @@ def glob_pattern(glob: str) -> str:
             out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if not c.isalnum() and c not in "_/" else c
             k += 1
     return f"^{out}$"
+
+
+#: Hosts of posts and their mirrors, and names that say a host is local.
+POST_HOSTS = "x\\.com|twitter\\.com|fxtwitter\\.com|vxtwitter\\.com|fixupx\\.com|fixvx\\.com|twittpr\\.com"
+LOCAL_NAMES = "^localhost$|\\.(?:localhost|local|internal|lan|home|corp)$"
+
+
+def post_url(url: Column) -> Column:
+    """Canonical address of a social post, from any mirror and whatever follows its number; null for other pages."""
+    pattern = f"(?i)^https?://(?:www\\.|mobile\\.)?(?:{POST_HOSTS})/(?:[^?#]*/)?([A-Za-z0-9_]{{1,30}})/status(?:es)?/([0-9]{{1,25}})(?:[/?#].*)?$"
+    user, number = F.regexp_extract(url, pattern, 1), F.regexp_extract(url, pattern, 2)
+    return F.when(number != "", F.concat(F.lit("https://x.com/"), user, F.lit("/status/"), number))
+
+
+def redirect_target(url: Column, parameter: str = "target") -> Column:
+    """Where an outward link of a site leads: its decoded target parameter, else the address itself."""
+    raw = F.regexp_extract(query_text(url), f"(?:^|&){parameter}=([^&]*)", 1)
+    target = F.try_url_decode(raw)
+    return F.when(is_url(target), target).otherwise(url)
+
+
+def in_domain(url: Column, domain: Column) -> Column:
+    """Whether a host is a domain or lies below it."""
+    h = host(url)
+    return (h == F.lower(domain)) | h.endswith(F.concat(F.lit("."), F.lower(domain)))
+
+
+def is_private(url: Column) -> Column:
+    """Whether a host's name or IPv4 literal says that it is local or private, or the address carries credentials."""
+    h = host(url)
+    part = lambda k: F.try_to_number(F.split_part(h, F.lit("."), F.lit(k)), F.lit("999")).cast("int")
+    four = h.rlike("^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$")
+    a, b = part(1), part(2)
+    closed = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | (a >= 224)
+    return (h == "") | h.rlike(LOCAL_NAMES) | url.rlike("^[^/?#]*//[^/?#]*@") | F.when(four, closed).otherwise(~h.contains("."))
+
+
+def meta_refresh(html: Column) -> Column:
+    """Target of a page's refresh within two seconds, if it has one."""
+    tag = "(?is)<meta[^>]*http-equiv=[\"']?refresh[\"']?[^>]*content=[\"']?\\s*[0-2](?:\\.[0-9]+)?\\s*[;,]\\s*url=\\s*['\"]?([^'\">\\s]+)"
+    return F.nullif(F.regexp_extract(html, tag, 1), F.lit(""))

@@ -53,3 +53,34 @@ def from_filetime(ticks: Column) -> Column:
 def from_post_id(post_id: Column) -> Column:
     """Creation time in a time-ordered post id; ids from before that scheme have none."""
     return F.when(post_id >= 30000000000, F.timestamp_millis(F.shiftrightunsigned(post_id, 22) + 1288834974657))
+
+
+def shown_images(images: DataFrame) -> DataFrame:
+    """Images whose size says that they carry content: 50 pixels either way and 5,000 in all."""
+    return images.filter("width >= 50 and height >= 50 and width * height >= 5000")
+
+
+def suggestions(words: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
+    """word, suggestion: the known word nearest to each unknown one within `most` edits, the first of equals.
+
+    known: one column `name`, a small command vocabulary. Words meet it by length first."""
+    k = known.select(F.col("name").alias("suggestion"), F.explode(F.sequence(F.length("name") - most, F.length("name") + most)).alias("len"))
+    pairs = words.select("word", F.length("word").alias("len")).join(k, "len").withColumn("d", F.levenshtein("word", "suggestion", most))
+    best = pairs.filter("d >= 0").groupBy("word").agg(F.min(F.struct("d", "suggestion")).alias("m"))
+    return best.select("word", F.col("m.suggestion").alias("suggestion"), F.col("m.d").alias("edits"))
+
+
+def batch_lines(requests: DataFrame, model: str, url: str = "/v1/chat/completions") -> DataFrame:
+    """custom_id and line: requests (key, prompt) as the JSON lines of a provider's batch; equal prompts are sent once."""
+    custom = F.substring(F.sha2("prompt", 256), 1, 16)
+    once = requests.groupBy(custom.alias("custom_id")).agg(F.min("prompt").alias("prompt"), F.count("*").alias("uses"))
+    message = F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+    body = F.struct(F.lit(model).alias("model"), message.alias("messages"))
+    line = F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body")))
+    return once.select("custom_id", line.alias("line"), "uses")
+
+
+def reconcile(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Requests (key, prompt) with the answer (custom_id, answer) of their prompt; null where none came back."""
+    custom = F.substring(F.sha2("prompt", 256), 1, 16)
+    return requests.withColumn("custom_id", custom).join(answers, "custom_id", "left").drop("custom_id")

@@ -45,3 +45,12 @@ def quote(requests: DataFrame, tariffs: DataFrame) -> DataFrame:
     scale = F.when(F.col("batch"), F.lit(20)).otherwise(F.lit(10)).cast("decimal(2,0)")
     usd = (ten.cast("decimal(38,0)") / scale).cast("decimal(24,2)") * F.lit("0.000000000001").cast("decimal(13,12)")
     return joined.withColumn("cost_usd", usd.cast("decimal(38,12)")).drop("__model", "low", "high", "input", "output")
+
+
+def unpriced_warning(merged: DataFrame, job: str) -> DataFrame:
+    """Per job: a sentence that names the first three models without a price and counts the rest; null where all have one."""
+    names = F.array_sort(F.collect_set(F.when(F.col("unpriced_requests") > 0, F.col("model"))))
+    out = merged.groupBy(job).agg(names.alias("names"))
+    shown, more = F.array_join(F.slice("names", 1, 3), ", "), F.size("names") - 3
+    rest = F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise("")
+    return out.select(job, F.when(F.size("names") > 0, F.concat(F.lit("no price is known for "), shown, rest)).alias("warning"))

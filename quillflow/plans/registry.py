@@ -469,6 +469,50 @@ def glob_filter(spark, sf_dir):
     return routing.matching(table(spark, sf_dir, "pages"), "url", ["**"], ["**ref=**"]).select("page_id", "kept")
 
 
+@query("""SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'https://x.com/u' || user_id || '/status/' || (user_id * 7) ELSE NULL END AS post,
+  user_id % 4 = 1 OR user_id % 4 = 3 AS private, CASE user_id % 4 WHEN 2 THEN 'https://e.com/' || user_id ELSE NULL END AS target FROM (SELECT DISTINCT user_id FROM events)""")
+def url_kinds(spark, sf_dir):
+    """Addresses made of user numbers: posts on a mirror, private hosts, outward links."""
+    n, u = F.col("user_id") % 4, F.col("user_id").cast("string")
+    url = (
+        F.when(n == 0, F.concat(F.lit("https://mobile.twitter.com/u"), u, F.lit("/status/"), (F.col("user_id") * 7).cast("string"), F.lit("/photo/1?s=20")))
+        .when(n == 1, F.concat(F.lit("http://192.168.1."), u, F.lit("/"))).when(n == 3, F.concat(F.lit("https://wiki.internal/"), u))
+        .otherwise(F.concat(F.lit("https://link.e.org/?a=1&target=https%3A%2F%2Fe.com%2F"), u))
+    )
+    users = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("url", url)
+    c = F.col("url")
+    return users.select("user_id", U.post_url(c).alias("post"), U.is_private(c).alias("private"), F.when(n == 2, U.redirect_target(c)).alias("target"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size * 3 >= 50 AND p_partkey % 200 >= 50 AND p_size * 3 * (p_partkey % 200) >= 5000")
+def shown_images(spark, sf_dir):
+    """Parts stand in for images."""
+    images = table(spark, sf_dir, "part").withColumns({"width": F.col("p_size") * 3, "height": F.col("p_partkey") % 200})
+    return routing.shown_images(images).select("p_partkey")
+
+
+@query("""WITH w AS (SELECT DISTINCT event_type || CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS word FROM events), k AS (SELECT DISTINCT event_type AS name FROM events),
+p AS (SELECT word, name, levenshtein(word, name) AS d FROM w, k WHERE levenshtein(word, name) <= 2)
+SELECT word, arg_min(name, (d, name)) AS suggestion, CAST(min(d) AS INT) AS edits FROM p GROUP BY word""")
+def suggestions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    word = F.concat("event_type", F.when(F.col("event_id") % 2 == 0, "x").otherwise(""))
+    return routing.suggestions(e.select(word.alias("word")).distinct(), e.select(F.col("event_type").alias("name")).distinct())
+
+
+@query("SELECT substr(sha256(text), 1, 16) AS custom_id, count(*) AS uses FROM conversations GROUP BY 1")
+def batch_plan(spark, sf_dir):
+    requests = table(spark, sf_dir, "conversations").select("conv_id", F.col("text").alias("prompt"))
+    return routing.batch_lines(requests, "m").select("custom_id", "uses")
+
+
+@query(QUOTED + """, m AS (SELECT batch, model, count(*) - count(x) AS unpriced FROM q GROUP BY batch, model)
+SELECT batch, 'no price is known for ' || string_agg(model, ', ' ORDER BY model) AS warning FROM m WHERE unpriced > 0 GROUP BY batch""")
+def unpriced_warnings(spark, sf_dir):
+    by = _quoted(spark, sf_dir).groupBy("batch", "model").agg(F.count_if(F.col("cost_usd").isNull()).alias("unpriced_requests"))
+    return usage.unpriced_warning(by, "batch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import documents  # noqa: F401  registers the queries that need Python functions
 
