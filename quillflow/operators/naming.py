@@ -32,12 +32,21 @@ def plan_outputs(items: DataFrame, existing: DataFrame, name: str, policy: str)
 
 
 def parse_url_list(df: DataFrame, list_id: str, text: str) -> DataFrame:
-    """list_id, place, url, name: lines `URL [name]` of URL lists; comments and blank lines aside, quotes of names trimmed."""
-    lines = df.select(F.col(list_id).alias("list_id"), F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n")).alias("pos", "raw"))
-    line = F.trim("raw")
-    lines = lines.withColumn("line", line).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    """list_id, place, url, name of URL lists: lines `URL [name]`, or a JSON array of addresses and {url, output_name}.
+
+    Comments, blank lines and JSON entries of another shape are passed over; quotes of names are trimmed.
+    """
+    body = F.trim(F.regexp_replace(text, "^\ufeff", ""))
+    lists = df.select(F.col(list_id).alias("list_id"), body.alias("body"))
+    json = F.col("body").startswith("[")
+    lines = lists.filter(~json).select("list_id", F.posexplode(F.split("body", "\r?\n")).alias("pos", "raw"))
+    lines = lines.withColumn("line", F.trim("raw")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     name = F.nullif(F.trim(F.regexp_replace(F.regexp_extract("line", "^\\S+\\s+(.*)$", 1), "^['\"]|['\"]$", "")), F.lit(""))
-    return lines.select("list_id", (F.col("pos") + 1).alias("place"), F.regexp_extract("line", "^(\\S+)", 1).alias("url"), name.alias("name"))
+    plain = lines.select("list_id", (F.col("pos") + 1).alias("place"), F.regexp_extract("line", "^(\\S+)", 1).alias("url"), name.alias("name"))
+    items = lists.filter(json).select("list_id", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "item"))
+    entry = F.from_json(F.when(F.col("item").startswith("{"), F.col("item")), "url string, output_name string")
+    items = items.withColumn("e", entry).withColumn("url", F.coalesce("e.url", F.when(~F.col("item").startswith("{"), F.col("item"))))
+    return plain.unionByName(items.filter("url is not null").select("list_id", (F.col("pos") + 1).alias("place"), "url", F.col("e.output_name").alias("name")))
 
 
 def first_of_each(entries: DataFrame, key: Column, order: list[str]) -> DataFrame:

@@ -18,7 +18,10 @@ SKIPPED = "(^|/)(\\.[^/]*|~\\$[^/]*|node_modules)(/|$)"
 
 
 def _html(data: bytes) -> Iterator[tuple]:
-    return ((k, level % 100, t) for k, level, t in page_blocks(plain.decode(data)[0], None) if k != "chrome")
+    text, warning = plain.decode_html(data)
+    if warning:
+        yield "warning", 0, warning
+    yield from ((k, level % 100, t) for k, level, t in page_blocks(text, None) if k != "chrome")
 
 
 BY_READER = {

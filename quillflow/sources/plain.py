@@ -44,6 +44,29 @@ def decode(data: bytes) -> tuple[str, str | None]:
     return data.decode("cp1252", "replace"), warning
 
 
+def decode_html(data: bytes, declared: str | None = None) -> tuple[str, str | None]:
+    """Text of a page: a byte-order mark decides, then valid UTF-8 that is not plain ASCII, the transport's label, the label
+    found in the first 1,024 bytes, else `decode`. UTF-16 labels in the page mean UTF-8; labels of unsafe encodings do not count."""
+    if data.startswith((b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff")):
+        return decode(data)
+    try:
+        text = data.decode("utf-8")
+        if not text.isascii():
+            return text, None
+    except UnicodeDecodeError:
+        pass
+    found = re.search(rb"(?i)<meta[^>]*?charset\s*=\s*[\"']?\s*([a-z0-9_:.-]+)", re.sub(rb"<!--.*?-->", b"", data[:1024], flags=re.S))
+    label = (declared or (found[1].decode() if found else "")).lower()
+    label = {"x-user-defined": "cp1252", "iso-8859-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "gb2312": "gb18030", "gbk": "gb18030"}.get(label, label)
+    if not label or label in ("iso-2022-kr", "hz-gb-2312"):
+        return decode(data)
+    try:
+        text = data.decode("utf-8" if label.startswith("utf-16") and not declared else label, "replace")
+    except LookupError:
+        return decode(data)
+    return text, f"some bytes are not valid {label}" if "\ufffd" in text else None
+
+
 def _frequent(c: str, encoding: str) -> bool:
     """First-level ideographs, kana, Hangul and East Asian punctuation, by the place they have in the encoding."""
     if 0x3000 <= ord(c) <= 0x30FF or 0xFF01 <= ord(c) <= 0xFF5E:

@@ -42,6 +42,12 @@ def test_url_list(spark):
     assert naming.first_of_each(found, F.concat_ws(" ", "url", "name"), ["place"]).count() == 2
 
 
+def test_json_url_list(spark):
+    df = spark.createDataFrame([(2, '["http://a", {"url": "http://b", "output_name": "B"}, 5, {"x": 1}]')], "id int, text string")
+    found = [tuple(r) for r in naming.parse_url_list(df, "id", "text").filter("url like 'http%'").orderBy("place").collect()]
+    assert found == [(2, 1, "http://a", None), (2, 2, "http://b", "B")]
+
+
 def test_prices(spark):
     tariffs = spark.createDataFrame([("m", 0, 10, 4, 6), ("m", 20, 100, 8, 12)], "model string, low long, high long, input long, output long")
     rows = [("m", 10, 5, 3, False), ("m", 15, 0, 1, False), ("m", 20, 0, 1, True), ("x", 1, 0, 1, False)]

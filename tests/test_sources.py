@@ -78,6 +78,14 @@ def test_delimiters_and_encodings():
         assert plain.decode(text.encode(name))[0] == text
 
 
+def test_page_encodings():
+    head = '<meta charset="{}"><p>{}</p>'
+    assert "naïve" in plain.decode_html(head.format("iso-8859-1", "naïve").encode("cp1252"))[0]
+    assert "中文" in plain.decode_html(head.format("gb2312", "中文").encode("gb18030"))[0]
+    assert "é" in plain.decode_html(head.format("windows-1252", "é").encode())[0]
+    assert plain.decode_html(b'<meta charset="euc-jp">\xff\xff')[1] == "some bytes are not valid euc-jp"
+
+
 def test_notebook_clipping():
     book = {"cells": [{"cell_type": "code", "source": ["print()"], "outputs": [{"output_type": "stream", "text": "\n".join(map(str, range(200)))}]}]}
     found = list(plain.notebook_blocks(json.dumps(book).encode()))
