@@ -179,6 +179,7 @@ class Segments:
             data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
             ends = np.cumsum([len(x) for x in texts[a:b]])
             value, at, number, twice = segments(data, ends, length, gram, run)
+            value = B.mix(value)  # least hashes crowd near zero; shards are ranges
             content = B.mix(_content.spans(_BYTE[1][data], at, at + number + length - 1) ^ number.astype(np.uint64))
             found.append((value, content, at + before, number, twice))
             before += len(data)
