@@ -21,11 +21,12 @@ MIN_EDIT_CHARS = 16  # shorter lines only repeat by being equal
 _roll = B.Rolling(0x9E3779B97F4A7C15)
 _NULL_ID = (1 << 63) - 1
 FILTER_BITS = 24
+LINE = ["at", "n", "h1"]  # name of a distinct line: the document and line where it stands first, and its hash
 
 
 def _order(id_: Column, n: Column) -> Column:
-    """Place of a line: by document, then by line. Documents without an id come last."""
-    return F.coalesce(id_, F.lit(_NULL_ID)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + n
+    """Place of a line: by document, then by line."""
+    return id_.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + n
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,7 +70,7 @@ def _variant_rows(batches):
             continue
         at = pa.array(np.concatenate(take))
         cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), *(batch.column(i).take(at) for i in (5, 6, 7))]
-        yield pa.RecordBatch.from_arrays(cols, names=["key", "role", "h1", "h2", "ord"])
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "role", *LINE])
 
 
 def _might_be_in(keys: DataFrame):
@@ -90,87 +91,77 @@ def _might_be_in(keys: DataFrame):
     return test
 
 
-def near_pairs(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier line within one edit. first: h1, h2, ord, doc_id, halves, len."""
-    roles = F.explode("halves").alias("half")
-    halves = first.filter(F.col("len") >= MIN_EDIT_CHARS).select("h1", "h2", "len", roles).select("half.key", "half.role", "half.side", "h1", "h2")
-    # role 0: halves of equally long lines; 1 and 2: halves of the shorter and the longer of lines one character apart
-    one = lambda f, role: f(F.when(F.col("role") == role, F.col("h1")))
-    shared = halves.groupBy("key").agg(
-        (one(F.min, 0) != one(F.max, 0)).alias("same"), (one(F.max, 1).isNotNull() & one(F.max, 2).isNotNull()).alias("unequal")
-    )
-    shared = shared.filter("same or unequal")
-    hit = halves.join(shared, "key").filter("(role = 0 and same) or (role > 0 and unequal)")
-    kinds = [(f"{name}{side}", role, side) for name, role in (("same", 0), ("longer", 2)) for side in (0, 1)]
-    some = hit.groupBy("h1", "h2").agg(*[F.max((F.col("role") == role) & (F.col("side") == side)).alias(c) for c, role, side in kinds])
-    roles_known = [c for c, *_ in kinds]
-    some = some.join(first.select("h1", "h2", "ord", "doc_id", "n"), ["h1", "h2"])
-    place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID))
-    at = some.select("h1", "h2", "ord", *roles_known, "n", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("at"))
+def _halves(first: DataFrame) -> DataFrame:
+    """key, slot, at, n, h1: the halves of every line that may be edited, named by length, side and text.
+
+    Slots 0 and 1: left and right half of lines of the key's length; 2 and 3: those of lines one character longer.
+    """
+    slots = F.array(*[F.struct(F.col(f"k{k}").alias("key"), F.lit(k).cast("byte").alias("slot")) for k in range(4)])
+    return first.filter("k0 is not null").select(F.explode(slots).alias("half"), "at", "n", "h1").select("half.*", "at", "n", "h1")
+
+
+def _near(df: DataFrame, first: DataFrame, text_col: str) -> DataFrame:
+    """at, n, h1 of the distinct lines that have an earlier line within one edit. df has __at, the place of its documents."""
+    halves = _halves(first)
+    # distinct lines only, and a line has one half a slot: counts are enough to know of partners
+    shared = halves.groupBy("key").agg(F.count_if(F.col("slot") < 2).alias("own"), F.count_if(F.col("slot") > 1).alias("longer"))
+    shared = shared.filter("own > 1 or (own > 0 and longer > 0)")
+    hit = halves.join(shared, "key")
+    flags = {f"same{side}": (F.col("slot") == side) & (F.col("own") > 1) for side in (0, 1)}
+    flags |= {f"longer{side}": F.col("slot") == 2 + side for side in (0, 1)}
+    some = stored(hit.groupBy("at", "n", "h1").agg(*[F.max(x).alias(c) for c, x in flags.items()]))
     # the texts of those lines, from the document where each stands first
     maybe = _might_be_in(some.select("h1"))
-    lines = _lines(df.withColumn("__id", place), "__id", text_col).withColumnRenamed("doc_id", "at").filter(maybe(F.col("h1")))
-    texts = lines.join(at, ["at", "n", "h1", "h2"]).select("line", *roles_known, "h1", "h2", "ord").dropDuplicates(["h1", "h2"])
-    texts = stored(texts)
-    rows = texts.mapInArrow(_variant_rows, "key long, role byte, h1 long, h2 long, ord decimal(32,0)")
+    lines = _lines(df, "__at", text_col).withColumnRenamed("doc_id", "at").filter(maybe(F.col("h1"))).drop("h2")
+    texts = stored(lines.join(some, LINE).dropDuplicates(LINE).select("line", *flags, *LINE))
+    met = texts.mapInArrow(_variant_rows, "key long, role byte, at long, n int, h1 long").withColumn("deal", F.col("role") == 2)
     # every member of a group of role 2 is one substitution from every other; of roles 0 and 1, one insertion from the whole line
-    met = rows.withColumn("deal", F.col("role") == 2)
-    who = F.struct("ord", "h1", "h2")
-    groups = met.groupBy("key", "deal").agg(
-        F.min(who).alias("least"), F.min(F.when(F.col("role") == 0, who)).alias("whole"), F.max("ord").alias("last"),
-        F.min(F.when(F.col("role") == 1, who)).alias("deleted"),
-    )
-    groups = groups.filter(F.when(F.col("deal"), F.col("last") > F.col("least.ord")).otherwise(F.col("whole").isNotNull() & F.col("deleted").isNotNull()))
-    paired = met.join(groups, ["key", "deal"])
+    counts = met.groupBy("key", "deal").agg(F.count_if(F.col("role") == 0).alias("whole"), F.count_if(F.col("role") > 0).alias("less"))
+    counts = counts.filter(F.when(F.col("deal"), F.col("less") > 1).otherwise((F.col("whole") > 0) & (F.col("less") > 0)))
+    meeting = stored(met.join(counts.select("key", "deal"), ["key", "deal"]).withColumn("who", F.struct(*LINE)))
+    groups = meeting.groupBy("key", "deal").agg(
+        F.min("who").alias("least"), F.min(F.when(F.col("role") == 0, F.col("who"))).alias("whole"), F.min(F.when(F.col("role") == 1, F.col("who"))).alias("deleted")
+    )
     # the earliest partner: of a whole line the earliest that is one longer, of a longer one the whole line
     partner = F.when(F.col("role") == 2, F.col("least")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("deleted"))
-    pairs = paired.withColumn("p", partner).filter("p.ord < ord").groupBy("h1", "h2").agg(F.min("p").alias("p")).select("h1", "h2", F.col("p.h1").alias("g1"), F.col("p.h2").alias("g2"))
-    a, b = texts.select("h1", "h2", "line"), texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other"))
-    checked = pairs.join(a, ["h1", "h2"]).join(b, ["g1", "g2"])
-    return checked.filter(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2").distinct()
+    earlier = F.struct("p.at", "p.n") < F.struct("at", "n")
+    paired = meeting.join(groups, ["key", "deal"]).withColumn("p", partner).filter(earlier)
+    pairs = paired.groupBy(*LINE).agg(F.min("p").alias("p")).select(*LINE, *[F.col(f"p.{c}").alias(f"p_{c}") for c in LINE])
+    a, b = texts.select(*LINE, "line"), texts.select(*[F.col(c).alias(f"p_{c}") for c in LINE], F.col("line").alias("other"))
+    checked = pairs.join(a, LINE).join(b, [f"p_{c}" for c in LINE])
+    return checked.filter(F.levenshtein("line", "other", 1) >= 0).select(*LINE)
 
 
-def first_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (line), h1: the lines that stay, each where it stands first."""
+def _first(df: DataFrame, text_col: str) -> DataFrame:
+    """at, n, h1 of the distinct lines, each where it stands first, and k0 to k3, hashes of their halves (null: too short)."""
     size = F.length("line")
-    kinds = [
-        (0, F.floor(size / 2), size), (1, F.floor(size / 2), size), (2, F.floor((size - 1) / 2), size - 1),
-    ]
-    lines = _lines(df, id_col, text_col)
-    parts = []
-    for role, m, pair in kinds:
-        m, pair = m.cast("int"), pair.cast("int")
-        own = F.when(m >= 0, m).otherwise(0)
-        tail = (pair - own) if role == 0 else own
-        parts.append(F.xxhash64(F.lit(1 + (role > 0)), pair, F.left(F.col("line"), own)))
-        parts.append(F.xxhash64(F.lit(3 + (role > 0)), pair, F.right(F.col("line"), tail)))
-    names = [f"k{i}" for i in range(6)]
-    keyed = lines.withColumns({c: F.when(size >= MIN_EDIT_CHARS - 1, p) for c, p in zip(names, parts)}).withColumn("len", size)
-    low = keyed.groupBy("h1", "h2").agg(
-        F.min(_order(F.col("doc_id"), F.col("n"))).alias("ord"), F.max("len").alias("len"), *[F.max(c).alias(c) for c in names]
-    )
-    place = F.col("ord") % F.lit(1 << 31).cast("decimal(11,0)")
-    halves = F.array(*[F.struct(F.col(c).alias("key"), F.lit(k // 2).cast("byte").alias("role"), F.lit(k % 2).cast("byte").alias("side")) for k, c in enumerate(names)])
-    n = F.pmod(place, F.lit(1 << 31).cast("decimal(11,0)")).cast("int")
-    id_ = ((F.col("ord") - n) / F.lit(1 << 31).cast("decimal(11,0)")).cast("decimal(20,0)").cast("long")
-    first = low.select("h1", "h2", "ord", "len", halves.alias("halves"), n.alias("n"), id_.alias("doc_id"))
-    first = first.withColumn("doc_id", F.nullif("doc_id", F.lit(_NULL_ID)))
-    first = stored(first)
-    later = near_pairs(df, first, id_col, text_col)
-    return first.join(later, ["h1", "h2"], "left_anti").select("doc_id", "n", "h1")
+    keys = []
+    for pair in (size, size - 1):  # lengths of the shorter of two lines that may be one edit apart
+        half = F.floor(pair / 2).cast("int")
+        keys += [F.xxhash64(F.lit(1), pair, F.left("line", half)), F.xxhash64(F.lit(2), pair, F.right("line", half))]
+    named = {f"k{k}": F.when(size >= MIN_EDIT_CHARS, x) for k, x in enumerate(keys)}
+    keyed = _lines(df, "__at", text_col).withColumns(named)
+    low = keyed.groupBy("h1", "h2").agg(F.min(_order(F.col("doc_id"), F.col("n"))).alias("ord"), *[F.max(c).alias(c) for c in named])
+    step = F.lit(1 << 31).cast("decimal(11,0)")
+    n = (F.col("ord") % step).cast("int").alias("n")
+    return low.select(F.floor(F.col("ord") / step).cast("long").alias("at"), n, "h1", *named)
 
 
 def _kept(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with __kept (array of (n, h1) of the document's lines that stay)."""
-    stay = first_lines(df, id_col, text_col).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("n", "h1")).alias("__kept"))
-    return df.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    """df with __first and __later: arrays of (n, h1) of the document's lines that stand here first, and of those that
+    nevertheless go, for an earlier one within one edit."""
+    place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID))
+    placed = df.withColumn("__at", place)
+    first = stored(_first(placed, text_col))
+    listed = lambda x, name: x.groupBy(F.col("at").alias("__at")).agg(F.collect_list(F.struct("n", "h1")).alias(name))
+    later = listed(_near(placed, first, text_col), "__later")
+    return placed.join(listed(first, "__first"), "__at", "left").join(later, "__at", "left").drop("__at")
 
 
-def rebuild(text: str | None, kept) -> tuple[str | None, int, int]:
+def rebuild(text: str | None, stay: set) -> tuple[str | None, int, int]:
     """Text without the lines that go, its lines and the lines that go."""
     if text is None:
         return None, 0, 0
-    stay = {(n, h) for n, h in kept}
     out, lines = [], text.split("\n")
     for n, line in enumerate(lines):
         h = xxhash.xxh64_intdigest(line.encode(), 42)
@@ -190,11 +181,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_removed")])
 
     @F.pandas_udf("text string, n_lines int, n_removed int")
-    def less(text, kept):
+    def less(text, first, later):
         import pandas as pd
 
-        rows = [rebuild(t, () if k is None else [(x["n"], x["h1"]) for x in k]) for t, k in zip(text, kept)]
+        own = lambda k: set() if k is None else {(x["n"], x["h1"]) for x in k}
+        rows = [rebuild(t, own(a) - own(b)) for t, a, b in zip(text, first, later)]
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    out = _kept(base, id_col, text_col).withColumn("__x", less(F.col(f"`{text_col}`"), F.col("__kept")))
-    return out.withColumns({text_col: F.col("__x.text"), "n_lines": F.col("__x.n_lines"), "n_removed": F.col("__x.n_removed")}).drop("__x", "__kept")
+    out = _kept(base, id_col, text_col).withColumn("__x", less(F.col(f"`{text_col}`"), F.col("__first"), F.col("__later")))
+    return out.withColumns({text_col: F.col("__x.text"), "n_lines": F.col("__x.n_lines"), "n_removed": F.col("__x.n_removed")}).drop("__x", "__first", "__later")
