@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillflow.llm import bpe, lines, mixing, simhash, toxicity
+from quillflow.llm import bpe, lines, mixing, similar, toxicity
 from quillflow.llm.queries import tokenizer
 from quillflow.llm.stored import stored
 
@@ -24,12 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by SimHash of five-word shingles.
-
-    Two texts with a similarity of 0.9 differ in 6.6 of 64 bits on average; 6 is the largest radius at which unrelated texts
-    still stay apart (they differ in 32, with a deviation of 4).
-    """
-    return simhash.one_of_each(docs, words=5, radius=6)
+    """One document of each group of near-duplicates: those linked by a similarity of 0.8 or more of their five-word shingles."""
+    return similar.one_of_each(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,11 +23,11 @@ SEED = 42
 CHUNK = 8192
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Bits set in over half the XXH64 hashes of the text's word shingles; A-Z count as lower case. No word: 0."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each of the text's word shingles; A-Z count as lower case. Fewer than `words` words are one shingle."""
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     data = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(size + 1) - 1
@@ -35,7 +35,12 @@ def fingerprint(text: str, words: int) -> int:
     k = min(words, len(tokens))
     digest, seed = xxhash.xxh64_intdigest, SEED
     spans = zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.array([digest(data[a:b], seed) for a, b in spans], np.uint64)
+    return np.array([digest(data[a:b], seed) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str, words: int) -> int:
+    """Bits set in over half the XXH64 hashes of the text's word shingles; A-Z count as lower case. No word: 0."""
+    hashes = shingle_hashes(text, words)
     count = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -1,0 +1,169 @@
+"""Near-duplicates by the similarity (Jaccard) of word shingles: MinHash bands bring candidates together, the sets decide.
+
+Texts with the same set of shingles are one node. A node stands in one bucket of each band; two nodes of similarity s meet
+in some band with probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8. Every pair that meets is compared by its whole sets
+unless links already connect it, so what is linked is never a chance agreement.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .components import components
+from .simhash import shingle_hashes
+from .stored import stored
+
+BANDS, ROWS = 24, 5
+#: In the first round a bucket's members meet so many that follow them; each later round goes twice as far on.
+NEIGHBOURS = 4
+NAME = ["__no_id", "__id", "__text"]
+_rng = np.random.default_rng(29)
+_flip = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_times = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """Bucket of each band: a hash of the band's number and its least shingles under ROWS orders. No shingle: no bucket."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(shingles), 1 << 12):
+        part = shingles[at : at + (1 << 12)]
+        for k in range(BANDS * ROWS):
+            least[k] = min(least[k], ((part ^ _flip[k]) * _times[k]).min())
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def named(df: DataFrame, id_col: str, text_col: str) -> tuple[dict[str, Column], Column]:
+    """Columns that name a row by its id and a hash of its text, in the order of preference, and the text."""
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    return dict(zip(NAME, (id_.isNull(), F.coalesce(id_, F.lit(0).cast("long")), F.xxhash64(text, text.isNull())))), F.coalesce(text, F.lit(""))
+
+
+def _nodes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """node, n (shingles), bands, row (the name of its first row)."""
+    names, text = named(df, id_col, text_col)
+    rows = df.select(*[c.alias(k) for k, c in names.items()], text.alias("text"))
+
+    def go(batches):
+        for batch in batches:
+            node, n, found = [], [], []
+            for x in batch.column(3):
+                own = np.unique(shingle_hashes(x.as_py(), words))
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), 1)), n.append(len(own)), found.append(bands(own))
+            cols = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[:3]], names=["node", "n", "bands", *NAME])
+
+    schema = "node long, n int, bands array<long>, __no_id boolean, __id long, __text long"
+    return rows.mapInArrow(go, schema).groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct(*NAME)).alias("row"))
+
+
+_FOUND = "kind int, a long, b long, n int"
+
+
+def _pairs(lo: int, hi: int, similarity: float):
+    """Rows sorted by (bucket, n, node): kind 0, pairs of a bucket whose places differ by over lo and at most hi and that
+    may be similar by their sizes; kind 1, members (bucket, node, n) of buckets that have pairs further apart."""
+
+    def frame(kind, a, b, n):
+        cols = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)]
+        return pa.RecordBatch.from_arrays(cols, names=["kind", "a", "b", "n"])
+
+    def settle(bucket, node, n, label):
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        size = np.diff(cut)
+        for d in range(lo + 1, min(hi, int(size.max()) - 1) + 1):
+            meet = (bucket[d:] == bucket[:-d]) & (label[d:] != label[:-d]) & (n[:-d] >= similarity * n[d:] - 1e-6)
+            a, b = node[:-d][meet], node[d:][meet]
+            if len(a):
+                yield frame(0, np.minimum(a, b), np.maximum(a, b), n[:-d][meet])
+        apart = np.maximum.reduceat(label, cut[:-1]) != np.minimum.reduceat(label, cut[:-1])
+        on = np.repeat((size > hi + 1) & apart, size)
+        if on.any():
+            yield frame(1, bucket[on], node[on], n[on])
+
+    def go(batches):
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64)]
+        for batch in batches:
+            rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+            if len(rows[0]) and rows[0][0] != rows[0][-1]:
+                open_ = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1
+                yield from settle(*[x[:open_] for x in rows])
+                rows = [x[open_:] for x in rows]
+            held = rows
+        if len(held[0]):
+            yield from settle(*held)
+
+    return go
+
+
+def _sets(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """rows: node, row. Returns node, shingles (sorted 64-bit hashes)."""
+    names, text = named(df, id_col, text_col)
+
+    def go(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(x.as_py(), words)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+
+    texts = df.select(*[c.alias(k) for k, c in names.items()], text.alias("text")).join(rows.select("node", "row.*"), NAME)
+    return texts.select("node", "text").mapInArrow(go, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sets are similar."""
+
+    def go(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-6)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(go, "a long, b long")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of df, all columns, one of each group of texts connected by links of at least `similarity`.
+
+    It is the row with the smallest id, nulls last, then with the smallest hash of its text; rows equal in both are one.
+    A-Z count as lower case, fewer than `words` words are one shingle, and texts without a word, null ones among them, are
+    one group. No bucket is capped: pairs of a large one are met in rounds, less those that earlier links connect.
+    """
+    nodes = stored(_nodes(df, id_col, text_col, words))
+    met = nodes.select(F.explode("bands").alias("bucket"), "node", "n", F.col("node").alias("label"))
+    lo, width, sets, links = 0, NEIGHBOURS, None, []
+    while True:
+        met = met.repartition(F.col("bucket")).sortWithinPartitions("bucket", "n", "node")
+        found = stored(met.mapInArrow(_pairs(lo, lo + width, similarity), _FOUND))
+        pairs, more = found.filter("kind = 0").select("a", "b").distinct(), found.filter("kind = 1")
+        if sets is None:
+            wanted = found.select(F.col("b").alias("node")).unionByName(found.filter("kind = 0").select(F.col("a").alias("node"))).distinct()
+            sets = stored(_sets(df, nodes.join(wanted, "node").select("node", "row"), id_col, text_col, words))
+        links.append(stored(_linked(pairs, sets, similarity)))
+        labels = components(reduce(DataFrame.unionByName, links))
+        if more.isEmpty():
+            break
+        left = more.select(F.col("a").alias("bucket"), F.col("b").alias("node"), "n")
+        left = left.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+        met = left.select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        lo, width = lo + width, 2 * width
+    rooted = nodes.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("row", F.coalesce("label", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    return first_rows(df, first, id_col, text_col)
+
+
+def first_rows(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of df that `first` names, one of those with the same name."""
+    names, _ = named(df, id_col, text_col)
+    return df.withColumns(names).join(first, NAME, "left_semi").dropDuplicates(NAME).drop(*NAME)
