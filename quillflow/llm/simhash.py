@@ -13,9 +13,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
+from .naming import NAME, first_rows, named
 from .stored import stored
 
 SEED = 42
@@ -264,6 +265,19 @@ def links(fps: DataFrame, n: int, radius: int, chunk: int = CHUNK) -> DataFrame:
     return found.filter("kind = 0").select("a", "b").unionByName(more)
 
 
+def _labelled(docs: DataFrame, radius: int, chunk: int, least: Column) -> DataFrame:
+    """docs: fp. Returns fp, least (over the rows of the fingerprint) and root, a fingerprint that names the component."""
+    # exact copies and equal fingerprints meet first: from here on a fingerprint is one row
+    distinct = stored(docs.groupBy("fp").agg(least.alias("least")))
+    labels = components(links(distinct.select("fp"), distinct.count(), radius, chunk))
+    return distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
+
+
+def _check_radius(radius: int) -> None:
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be 0 to 6")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links of <= radius bits).
 
@@ -271,13 +285,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Fewer than `words` words are one shingle. Null ids do not count for component_id, which is null where a component has
     no other. Extra columns are not read.
     """
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be 0 to 6")
+    _check_radius(radius)
     docs = stored(fingerprints(df, id_col, text_col, words))
-    # exact copies and equal fingerprints meet first: from here on a fingerprint is one row
-    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(links(distinct.select("fp"), distinct.count(), radius, chunk))
-    rooted = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
+    rooted = _labelled(docs, radius, chunk, F.min("doc_id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -285,8 +295,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
-    """Rows of df, all columns, one of each group of near-duplicates: that with the smallest id."""
-    found = near_duplicates(df, id_col, text_col, words, radius)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    id_ = F.col(f"`{id_col}`").cast("long")
-    return df.join(stay, id_.eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    """Rows of df, all columns, one of each group of near-duplicates: that with the smallest id, nulls last, then with the
+    smallest hash of its text. Rows equal in both are one."""
+    _check_radius(radius)
+    names, text = named(df, id_col, text_col)
+    rows = df.select(*[c.alias(k) for k, c in names.items()], text.alias("text"))
+
+    def go(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(x.as_py(), words) for x in batch.column(3)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp.view(np.int64))], names=[*NAME, "fp"])
+
+    docs = rows.mapInArrow(go, "__no_id boolean, __id long, __text long, fp long")
+    rooted = _labelled(docs, radius, CHUNK, F.min(F.struct(*NAME)))
+    return first_rows(df, rooted.groupBy("root").agg(F.min("least").alias("row")).select("row.*"), id_col, text_col)

@@ -12,16 +12,16 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .components import components
+from .naming import NAME, first_rows, named
 from .simhash import shingle_hashes
 from .stored import stored
 
 BANDS, ROWS = 24, 5
 #: In the first round a bucket's members meet so many that follow them; each later round goes twice as far on.
 NEIGHBOURS = 4
-NAME = ["__no_id", "__id", "__text"]
 _rng = np.random.default_rng(29)
 _flip = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _times = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -39,12 +39,6 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
-def named(df: DataFrame, id_col: str, text_col: str) -> tuple[dict[str, Column], Column]:
-    """Columns that name a row by its id and a hash of its text, in the order of preference, and the text."""
-    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    return dict(zip(NAME, (id_.isNull(), F.coalesce(id_, F.lit(0).cast("long")), F.xxhash64(text, text.isNull())))), F.coalesce(text, F.lit(""))
-
-
 def _nodes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """node, n (shingles), bands, row (the name of its first row)."""
     names, text = named(df, id_col, text_col)
@@ -161,9 +155,3 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rooted = nodes.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("row", F.coalesce("label", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     return first_rows(df, first, id_col, text_col)
-
-
-def first_rows(df: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of df that `first` names, one of those with the same name."""
-    names, _ = named(df, id_col, text_col)
-    return df.withColumns(names).join(first, NAME, "left_semi").dropDuplicates(NAME).drop(*NAME)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillflow.llm import similar
+from quillflow.llm import similar, simhash
 
 
 def shingles(text):
@@ -62,3 +62,13 @@ def test_one_of_each(spark):
 def test_no_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert similar.one_of_each(df).count() == 0
+
+
+def test_simhash_one_of_each(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("aeioustrnlm") for _ in range(7)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, e), (3, d), (None, None), (4, "")]
+    for data in (rows, rows[::-1]):
+        out = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string"))
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (2, e), (4, "")], key=str)
