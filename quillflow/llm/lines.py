@@ -143,7 +143,7 @@ def _first(df: DataFrame, text_col: str) -> DataFrame:
     keyed = _lines(df, "__at", text_col).withColumns(named)
     low = keyed.groupBy("h1", "h2").agg(F.min(_order(F.col("doc_id"), F.col("n"))).alias("ord"), *[F.max(c).alias(c) for c in named])
     step = F.lit(1 << 31).cast("decimal(11,0)")
-    n = (F.col("ord") % step).cast("int").alias("n")
+    n = F.pmod("ord", step).cast("int").alias("n")  # ids may be negative
     return low.select(F.floor(F.col("ord") / step).cast("long").alias("at"), n, "h1", *named)
 
 
