@@ -4,6 +4,9 @@ A pseudo-rotation (random signs, fast Hadamard transform, three times) takes a u
 axes; that axis is its bucket. Several rotations give several tables. A row stands in one bucket of each table, a query
 visits the buckets of its `probes` best axes. Within a bucket all visiting queries meet its rows in blocks and the exact
 inner product on the original vectors ranks them.
+
+The angle orders rows as the inner product does only where they are about equally long. So rows are hashed in groups of
+one dimension and similar length, and a query visits every group of its dimension; small groups it meets whole.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql.window import Window
 from .stored import stored
 
 TABLES, PROBES, ROUNDS = 16, 8, 3
+BAND = np.log(1.1)  # rows of a hashed group differ in length by at most a factor of 1.1
+WHOLE = 2048  # bands of at most so many rows are not hashed; neighbouring ones are met together, up to CHUNK rows
 CHUNK = 8192  # rows of a bucket that meet the queries in one unit of work
 
 
@@ -44,41 +49,70 @@ def _signs(width: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (TABLES, ROUNDS, width))
 
 
-def _buckets(dim: int, largest: float, lift: bool, seed: int):
-    """Adds buckets (array<int>) to vectors: each table's best axis, or the best `PROBES` axes of queries.
-
-    With `lift`, vectors of unequal length get one more coordinate that makes them equally long, so that the angle to a
-    query orders them as the inner product does.
-    """
-    width = 1 << (dim + lift - 1).bit_length()
-    signs = _signs(width, seed)
+def _buckets(seed: int):
+    """Adds buckets (array<int>) to vectors: each table's best axis, or the best `PROBES` axes of queries."""
+    signs = {}
+
+    def of(v, query):
+        dim = v.shape[1]
+        width = 1 << (dim - 1).bit_length()
+        if dim not in signs:
+            signs[dim] = _signs(width, seed)
+        x = np.zeros((len(v), width))
+        x[:, :dim] = v / np.abs(v).max(1)[:, None]
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        found = [[] for _ in v]
+        for t, y in enumerate(axes(x, signs[dim])):
+            both = np.concatenate([y, -y], 1)
+            if query.any():
+                rows = np.flatnonzero(query)
+                best = np.argpartition(-both[rows], PROBES - 1, axis=1)[:, :PROBES] if PROBES < 2 * width else np.tile(np.arange(2 * width), (len(rows), 1))
+                for r, b in zip(rows, best):
+                    found[r] += (b + t * 2 * width).tolist()
+            rest = np.flatnonzero(~query)
+            for r, b in zip(rest, both[rest].argmax(1)):
+                found[r].append(int(b) + t * 2 * width)
+        return found
 
     def go(batches):
         for batch in batches:
-            ids, query = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-            v = np.stack([np.frombuffer(b.as_buffer(), np.float64) for b in batch.column(2)]) if len(ids) else np.zeros((0, dim))
-            x = np.zeros((len(v), width))
-            x[:, :dim] = v
-            length = np.sqrt((v * v).sum(1))
-            if lift:
-                x[:, dim] = np.where(query, 0, np.sqrt(np.maximum(largest**2 - length**2, 0)))
-            x /= np.where(query | (not lift), length, largest)[:, None]
-            found = [[] for _ in ids]
-            for t, y in enumerate(axes(x, signs)):
-                both = np.concatenate([y, -y], 1)
-                if query.any():
-                    rows = np.flatnonzero(query)
-                    best = np.argpartition(-both[rows], PROBES - 1, axis=1)[:, :PROBES] if PROBES < 2 * width else np.tile(np.arange(2 * width), (len(rows), 1))
-                    for r, b in zip(rows, best):
-                        found[r] += (b + t * 2 * width).tolist()
-                rest = np.flatnonzero(~query)
-                for r, b in zip(rest, both[rest].argmax(1)):
-                    found[r].append(int(b) + t * 2 * width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["id", "query", "v", "buckets"])
+            query, dims = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 3))
+            vectors, found = batch.column(2), [None] * batch.num_rows
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                v = np.stack([np.frombuffer(vectors[i].as_buffer(), np.float64) for i in at.tolist()])
+                for i, x in zip(at, of(v, query[at])):
+                    found[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["id", "query", "v", "dim", "band", "buckets"])
 
     return go
 
 
+def _packed(batches):
+    """Vectors as bytes, their dimension and the band of their length."""
+    for batch in batches:
+        packed, dims, bands = [], [], []
+        for v in batch.column(2):
+            x = np.asarray(v.as_py(), np.float64)
+            top = np.abs(x).max()
+            packed.append(x.tobytes()), dims.append(len(x))
+            bands.append(int(np.floor((np.log(top) + np.log(((x / top) ** 2).sum()) / 2) / BAND + 0.5)))  # equal lengths are often 1
+        cols = [*batch.columns[:2], pa.array(packed, pa.binary()), pa.array(dims, pa.int32()), pa.array(bands, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "query", "v", "dim", "band"])
+
+
+def _groups(sizes: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """(dim, band, rows) to (dim, band, group, whole): a band of over WHOLE rows is a group, smaller neighbours share one."""
+    out, group, open_, last, held = [], -1, False, None, 0
+    for dim, band, n in sorted(sizes):
+        small = n <= WHOLE
+        if not (small and open_ and dim == last and held + n <= CHUNK):
+            group, held = group + 1, 0
+        out.append((dim, band, group, small))
+        open_, last, held = small, dim, held + n
+    return out
+
+
 def _meet(k: int):
     """Rows sorted by (bucket, chunk, query first): each query's k best of the unit's rows."""
 
@@ -105,14 +139,14 @@ def _meet(k: int):
             if not batch.num_rows:
                 continue
             bucket, chunk, ids, query = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            v = np.stack([np.frombuffer(b.as_buffer(), np.float64) for b in batch.column(4)])
+            v = [np.frombuffer(b.as_buffer(), np.float64) for b in batch.column(4)]
             cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1])) + 1
             for a, b in zip([0, *cut], [*cut, len(bucket)]):
                 if (now := (bucket[a], chunk[a])) != key and held:
                     yield from settle(held)
                     held = []
                 key = now
-                held.append((ids[a:b], query[a:b], v[a:b]))
+                held.append((ids[a:b], query[a:b], np.stack(v[a:b])))
         if held:
             yield from settle(held)
 
@@ -134,40 +168,51 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row where `queries` holds, its k nearest others found.
 
-    Nearness is the largest inner product, in double precision; ties go to the smaller id. Vectors that are null, zero, of
-    another length than the longest, or hold null or non-finite components take no part, nor do null ids. Rows with the
-    same id are one row (the first vector in order). A query that met fewer than k rows is searched exactly, against all
-    rows in blocks, so it has k results or all candidates. Every row is indexed; no bucket is capped.
+    Nearness is the largest inner product, in double precision; ties go to the smaller id. Vectors that are null, zero or
+    hold null or non-finite components take no part, nor do null ids; the others meet those of their own dimension. Rows
+    with the same id are one row (the first vector in order). A query that met fewer than k rows is searched exactly,
+    against all rows in blocks, so it has k results or all candidates. Every row is indexed; no bucket is capped.
     """
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("query"), v.alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
     rows = rows.groupBy("id").agg(F.min(F.struct("v", "query")).alias("x")).select("id", "x.query", "x.v")
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    facts = rows.agg(F.max(F.size("v")), F.max(length), F.min(length), F.count("*")).first()
-    dim, largest, least, n = facts
-    if not n:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    to_bytes = F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, np.float64).tobytes()), "binary")
-    rows = stored(rows.filter(F.size("v") == dim).select("id", "query", to_bytes("v").alias("v")))
+    kind = "id long, query boolean, v binary, dim int, band int"
+    rows = stored(rows.mapInArrow(_packed, kind))
+    # one row for each dimension and tenth of length
+    sizes = [tuple(r) for r in rows.groupBy("dim", "band").count().collect()]
+    spark = df.sparkSession
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    groups = _groups(sizes)
+    of_band = F.broadcast(spark.createDataFrame(groups, "dim int, band int, group int, whole boolean"))
+    of_dim = F.broadcast(spark.createDataFrame(sorted({(d, g, w) for d, _, g, w in groups}), "dim int, group int, whole boolean"))
     both = rows.withColumn("query", F.lit(False)).unionByName(rows.filter("query"))
-    lift = largest > least * 1.001
-    hashed = both.mapInArrow(_buckets(dim, largest, lift, seed), "id long, query boolean, v binary, buckets array<int>")
-    spread = stored(hashed).select("id", "query", "v", F.explode("buckets").alias("bucket"))
-    # chunks of each bucket: at most tables x 2 x width rows
+    hashed = stored(both.mapInArrow(_buckets(seed), f"{kind}, buckets array<int>"))
+    placed = hashed.filter("not query").join(of_band, ["dim", "band"]).drop("band").unionByName(hashed.filter("query").drop("band").join(of_dim, "dim"))
+    bucket = F.explode(F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.col("buckets"))).alias("bucket")
+    spread = placed.select("id", "query", "v", "group", bucket)
+    spread = spread.select("id", "query", "v", (F.col("group") * F.lit(1 << 32) + F.col("bucket") + 1).alias("bucket"))
+    # chunks of each bucket: at most tables x 2 x width rows a group
     chunks = spread.filter("not query").groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     placed = spread.join(F.broadcast(chunks), "bucket")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     chunk = F.when(F.col("query"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
     units = placed.select("bucket", F.explode(chunk).alias("chunk"), "id", "query", "v")
     found = stored(_best(_search(units, k), k))
-    asked = rows.filter("query").select("id")
-    met = found.groupBy("query_id").count().filter(F.col("count") >= min(k, n - 1))
-    short = stored(asked.join(met, asked["id"] == met["query_id"], "left_anti"))
+    others = {}
+    for dim, _, n in sizes:
+        others[dim] = others.get(dim, -1) + n
+    due = F.broadcast(spark.createDataFrame([(dim, min(k, n)) for dim, n in others.items()], "dim int, due int"))
+    met = found.groupBy("query_id").count()
+    asked = rows.filter("query").select("id", "dim").join(due, "dim")
+    short = asked.join(met, asked["id"] == met["query_id"], "left").filter(F.coalesce("count", F.lit(0)) < F.col("due"))
+    short = stored(short.select("id", "dim"))
     lacking = short.count()
-    if lacking and n > 1:
-        found = found.join(short, found["query_id"] == short["id"], "left_anti").unionByName(_best(_exact(rows, short, lacking, n, k), k))
+    if lacking:
+        exact = _best(_exact(rows, short, lacking, sum(n for *_, n in sizes), k), k)
+        found = found.join(short, found["query_id"] == short["id"], "left_anti").unionByName(exact)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -177,11 +222,13 @@ def _search(units: DataFrame, k: int) -> DataFrame:
 
 
 def _exact(rows: DataFrame, short: DataFrame, lacking: int, n: int, k: int) -> DataFrame:
-    """A stated set of queries against all rows, both in blocks."""
+    """A stated set of queries against all rows of their dimension, both in blocks."""
     q_blocks, p_blocks = -(-lacking // 2048), -(-n // CHUNK)
-    q = rows.join(short, "id", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
+    block = lambda x: F.col("dim").cast("long") * q_blocks + x
+    q = rows.join(short.select("id"), "id", "left_semi").withColumn("bucket", block(F.pmod(F.xxhash64("id"), F.lit(q_blocks))))
     q = q.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1)))).withColumn("query", F.lit(True))
-    p = rows.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("query", F.lit(False))
+    p = rows.join(short.select("dim").distinct(), "dim", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    p = p.withColumn("bucket", block(F.col("block"))).withColumn("query", F.lit(False))
     p = p.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(p_blocks)).cast("int"))
     cols = ["bucket", "chunk", "id", "query", "v"]
     return _search(q.select(*cols).unionByName(p.select(*cols)), k)
