@@ -35,3 +35,16 @@ def test_unequal_lengths(spark, monkeypatch, spread):
     else:
         v[7] *= 10
     assert recall(spark, v) >= 0.95
+
+
+def test_dimensions(spark):
+    rng = np.random.default_rng(4)
+    v = [*unit(60, 8, rng), np.ones(9), *unit(5, 3, rng)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df, F.lit(True), k=20).orderBy("rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q, x in enumerate(v):
+        score = {i: float(y @ x) for i, y in enumerate(v) if i != q and len(y) == len(x)}
+        best = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert found.get(q, []) == best
