@@ -168,11 +168,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
         .groupBy("id").agg(F.max("y").alias("y"))
     )
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    known = known.join(docs.select("id"), "id", "left_semi")
     rank = F.xxhash64(F.lit(5), "id")
     few = [known.filter(F.col("y") == y).orderBy(rank, "id").limit(SAMPLE[y]) for y in (0, 1)]
     few = F.broadcast(few[0].unionByName(few[1]))  # at most sum(SAMPLE) ids
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    sample = docs.join(few, "id").dropDuplicates(["id"]).repartition(1)
+    # of several texts of an id the last in order
+    sample = docs.join(few, "id").groupBy("id", "y").agg(F.max("text").alias("text")).select("id", "text", "y").repartition(1)
 
     def go(batches):
         rows = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))))
