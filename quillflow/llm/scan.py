@@ -67,12 +67,16 @@ MARK = "\ud800"
 _classes: np.ndarray | None = None
 
 
+def every_code_point() -> str:
+    return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
 def code_point_classes() -> np.ndarray:
     """uint8 class of every code point: LETTER, NUMBER, WHITE or OTHER; MARK is SEP."""
     global _classes
     if _classes is None:
         table = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        every = every_code_point()
         for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", WHITE)):
             for m in regex.finditer(pattern, every):
                 first, last = ord(m[0][0]), ord(m[0][-1])
@@ -86,9 +90,9 @@ def code_points(joined: str) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def symbols_of(cps: np.ndarray) -> np.ndarray:
+def symbols_of(cps: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
     """Class of each code point, refined by the one or two that follow: contractions and the last white space."""
-    sym = code_point_classes()[cps]
+    sym = (code_point_classes() if classes is None else classes)[cps]
     after = np.zeros_like(sym)
     after[:-1] = sym[1:]
     white = sym == WHITE

@@ -8,25 +8,44 @@ byte of a word changes the count of the word's encoding, and the last byte of a
 Why that is finite-state: the encoding of a word's prefix is the encoding of a shorter prefix plus one token, and the
 pair of last tokens decides whether the split is the one that the merges give. So a state need only hold, for each
 suffix of the prefix that some token starts with, the last token before that suffix and the count there. States are
-compiled when first met and kept within a bound. As the start of every word is a known state, chunks of a batch that
-begin at word starts have constant state maps and run side by side.
+compiled when first met and kept within a bound. Chunks of a batch run side by side. Those that begin at word starts have
+constant state maps, as the start of every word is a known state. Chunks within a long word have maps over the few states
+that reach them: guessed from the bytes before, closed under what the chunk before may end in, composed by prefix scan.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex, normalizers
 
 from . import scan
 
 STATES = 150_000  # compiled states kept between batches; a batch that meets more adds them and the next starts anew
 LANE_BYTES = 512
+WARM_BYTES = 64  # read before a chunk within a word to guess the state there
+PIECE = 1 << 20  # characters; longer texts are counted in pieces that end at white space
 _models: dict[str, "Transducer"] = {}
+_normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+_library_classes: bytes | None = None
+
+
+def library_classes() -> bytes:
+    """Classes of all code points (packed) as the library's regular expressions see them; its Unicode version is its own."""
+    global _library_classes
+    if _library_classes is None:
+        every, table = scan.every_code_point(), np.full(0x110000, scan.OTHER, np.uint8)
+        for pattern, kind in ((r"\p{L}", scan.LETTER), (r"\p{N}", scan.NUMBER), (r"\s", scan.WHITE)):
+            table[scan.code_points(normalizers.Replace(Regex(f"[^{pattern}]+"), "").normalize_str(every))] = kind
+        table[0xD800:0xE000] = scan.SEP
+        _library_classes = zlib.compress(table.tobytes())
+    return _library_classes
 
 
 def byte_symbols() -> dict[str, int]:
@@ -39,7 +58,8 @@ def byte_symbols() -> dict[str, int]:
 class Transducer:
     """Counts tokens of byte words; symbol 256 + b is byte b as the last of its word."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, classes: bytes | None = None):
+        self.classes = np.frombuffer(zlib.decompress(classes or library_classes()), np.uint8)
         model = spec["model"]
         end, of = model["end_of_word_suffix"], byte_symbols()
         self.specials = [t["content"] for t in spec["added_tokens"]]
@@ -67,12 +87,11 @@ class Transducer:
                 at = nxt
             self.token_at[at] = i
         self.fits: dict[tuple[int, int], bool] = {}
-        self.column = np.full(512, -1, np.int64)
-        self.columns = 0
         self.reset()
 
     def reset(self):
         self.states, self.keys = {((0, -1, 0),): 0}, [((0, -1, 0),)]
+        self.column, self.columns = np.full(512, -1, np.int64), 0
         self.nxt = np.full((1024, 64), -1, np.int32)
         self.gain = np.zeros((1024, 64), np.int16)
 
@@ -129,11 +148,32 @@ class Transducer:
             self.column[new] = np.arange(self.columns, self.columns + len(new))
             self.columns += len(new)
             if self.columns > self.nxt.shape[1]:
-                more = 512 - self.nxt.shape[1] if self.columns > 256 else self.nxt.shape[1]
+                more = (512 if self.columns > 128 else 128) - self.nxt.shape[1]
                 self.nxt = np.hstack([self.nxt, np.full((len(self.nxt), more), -1, np.int32)])
                 self.gain = np.hstack([self.gain, np.zeros((len(self.gain), more), np.int16)])
         return self.column[symbols]
 
+    def _run(self, symbols: np.ndarray, cols: np.ndarray, at: np.ndarray, length: np.ndarray, state: np.ndarray, out: np.ndarray | None) -> np.ndarray:
+        """Runs chunks side by side from the given states; returns their last states and fills `out` with the gains."""
+        order = np.argsort(-length, kind="stable")
+        at, length, state = at[order], length[order], state[order].copy()
+        ends = np.searchsorted(-length, -np.arange(length[0] + 1 if len(length) else 0), side="left")  # chunks longer than t
+        for t in range(length[0] if len(length) else 0):
+            live = ends[t]
+            s, k = state[:live], at[:live] + t
+            c = cols[k]
+            to = self.nxt[s, c]
+            if (lacking := np.flatnonzero(to < 0)).size:
+                for a, b in {(int(s[i]), int(symbols[k[i]])) for i in lacking}:
+                    self._compile(a, b)
+                to = self.nxt[s, c]
+            if out is not None:
+                out[k] = self.gain[s, c]
+            state[:live] = to
+        last = np.empty_like(state)
+        last[order] = state
+        return last
+
     def gains(self, symbols: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
         """Change of the token count at each symbol. word_starts: sorted positions of first symbols, 0 among them."""
         n = len(symbols)
@@ -143,44 +183,67 @@ class Transducer:
         if len(self.keys) > STATES:
             self.reset()
         cols = self._columns(symbols)
-        cuts = word_starts[np.searchsorted(word_starts, np.arange(0, n, LANE_BYTES))[:-1]] if n > LANE_BYTES else word_starts[:1]
-        at = np.unique(np.concatenate([[0], cuts]))
+        cuts = np.searchsorted(word_starts, np.arange(0, n, LANE_BYTES))
+        at = np.unique(word_starts[np.append(0, cuts[cuts < len(word_starts)])])
         length = np.diff(np.append(at, n))
-        order = np.argsort(-length, kind="stable")
-        at, length = at[order].copy(), length[order]
-        live, state, t = len(at), np.zeros(len(at), np.int64), 0
-        ends = np.searchsorted(-length, -np.arange(length[0] + 1), side="left")  # lanes longer than t
-        while t < length[0]:
-            live = ends[t]
-            s, c = state[:live], cols[at[:live] + t]
-            to = self.nxt[s, c]
-            if (lacking := np.flatnonzero(to < 0)).size:
-                for a, b in {(int(s[k]), int(symbols[at[k] + t])) for k in lacking}:
-                    self._compile(a, b)
-                to = self.nxt[s, c]
-            out[at[:live] + t] = self.gain[s, c]
-            state[:live] = to
-            t += 1
+        inner = []
+        for k in np.flatnonzero(length > 3 * LANE_BYTES):  # the last word of such a chunk is long
+            word, end = int(word_starts[np.searchsorted(word_starts, at[k] + length[k]) - 1]), int(at[k] + length[k])
+            inner.append(np.arange(word, end, LANE_BYTES))
+            length[k] = word - at[k]
+        self._run(symbols, cols, at, length, np.zeros(len(at), np.int64), out)
+        if inner:
+            at = np.concatenate(inner)
+            first = np.isin(at, [x[0] for x in inner])
+            length = np.minimum(LANE_BYTES, np.append(at[1:], n) - at)
+            for x in inner:  # the last chunk of a word ends with it
+                k = np.searchsorted(at, x[-1])
+                end = np.searchsorted(word_starts, x[-1], side="right")
+                length[k] = (word_starts[end] if end < len(word_starts) else n) - x[-1]
+            self._run(symbols, cols, at, length, self._starts(symbols, cols, at, length, first), out)
         return out
 
+    def _starts(self, symbols, cols, at, length, first) -> np.ndarray:
+        """State at the start of each chunk of long words; `first` marks those that begin a word (state 0)."""
+        n = len(at)
+        warm = np.where(first, 0, np.minimum(WARM_BYTES, LANE_BYTES))
+        guess = self._run(symbols, cols, at - warm, warm, np.zeros(n, np.int64), None)
+        domain = [{int(g): 0} for g in guess]  # state -> its number among those that may reach the chunk
+        ends: list[dict[int, int]] = [{} for _ in range(n)]
+        todo = [(k, int(g)) for k, g in enumerate(guess)]
+        while todo:
+            k, s = (np.array(x, np.int64) for x in zip(*todo))
+            todo = []
+            for i, a, e in zip(k.tolist(), s.tolist(), self._run(symbols, cols, at[k], length[k], s, None).tolist()):
+                ends[i][a] = e
+                if i + 1 < n and not first[i + 1] and e not in domain[i + 1]:
+                    domain[i + 1][e] = len(domain[i + 1])
+                    todo.append((i + 1, e))
+        maps = np.zeros((n, max(map(len, domain))), np.int64)
+        for i in range(n - 1):
+            for s, k in domain[i].items():
+                maps[i, k] = 0 if first[i + 1] else domain[i + 1][ends[i][s]]
+        before = np.append(0, scan.compose_prefix(maps)[:-1, 0])  # the first chunk begins a word: its state is number 0
+        return np.array([list(d)[k] for d, k in zip(domain, before.tolist())], np.int64)
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, as the library counts them without added tokens."""
-        plain, extra = [], np.zeros(len(texts), np.int64)
+        plain, owner, total = [], [], np.zeros(len(texts), np.int64)
         for k, x in enumerate(texts):
             for special in self.specials:
                 if special in x:
-                    extra[k] += x.count(special)
+                    total[k] += x.count(special)
                     x = x.replace(special, " ")
-            plain.append(normalised(x))
-        total = np.zeros(len(texts), np.int64)
-        for a, b in scan.slabs(plain):
-            total[a:b] = self._count_slab(plain[a:b])
-        return total + extra
+            for piece in pieces(x):
+                plain.append(normalised(piece)), owner.append(k)
+        for a, b in scan.slabs(plain, PIECE):
+            np.add.at(total, owner[a:b], self._count_slab(plain[a:b]))
+        return total
 
     def _count_slab(self, texts: list[str]) -> np.ndarray:
         joined = scan.MARK.join(texts) + scan.MARK
         cps = scan.code_points(joined)
-        kind = scan.symbols_of(cps)
+        kind = scan.symbols_of(cps, self.classes)
         starts = scan.run_transducer(kind, *scan.pattern_tables(False, False)).view(bool)
         keep = (kind != scan.SEP) & (kind < scan.SPACE_LAST)
         width = 1 + (cps >= 0x80).astype(np.int8) + (cps >= 0x800) + (cps >= 0x10000)
@@ -199,17 +262,27 @@ class Transducer:
         return np.diff(total[before])
 
 
+def pieces(text: str):
+    """A text in pieces of about PIECE characters; white space, where they end, belongs to no token."""
+    at = 0
+    while len(text) - at > PIECE and (m := _WHITE.search(text, at + PIECE)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+_WHITE = re.compile(r"[ \t-\r]")
+
+
 def normalised(text: str) -> str:
-    """NFC and lower case, letter by letter (no special form of a final sigma)."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    """The library's normal form (NFC, then lower case letter by letter)."""
+    return text.lower() if text.isascii() else _normal.normalize_str(text)
 
 
-def transducer_of(spec: bytes) -> Transducer:
+def transducer_of(spec: bytes, classes: bytes) -> Transducer:
     key = hashlib.md5(spec).hexdigest()
     if key not in _models:
-        _models[key] = Transducer(json.loads(spec))
+        _models[key] = Transducer(json.loads(spec), classes)
     return _models[key]
 
 
@@ -223,10 +296,11 @@ def count_tokens(
     """
     with open(tokenizer_path, "rb") as f:
         spec = f.read()
+    classes = library_classes()
     df = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def go(batches):
-        model = transducer_of(spec)
+        model = transducer_of(spec, classes)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = model.count(texts)

@@ -108,7 +108,7 @@ def test_token_counts(docs, rows):
     assert got(tokens.count_tokens(docs, tokenizer("word_bpe_49k.json"), limit=10), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
 
 
-def test_token_transducer_on_odd_texts():
+def test_token_transducer_on_odd_texts(monkeypatch):
     import json
 
     from tokenizers import Tokenizer
@@ -117,6 +117,13 @@ def test_token_transducer_on_odd_texts():
     lib, own = Tokenizer.from_file(path), tokens.Transducer(json.load(open(path)))
     texts = ["don't 's ''s !'s a's've x'll 'RE 12", "<|endoftext|>a <|startoftext|>", "a" * 999, "İΣ ΑΣ ß é"]
     texts += ["".join(rng.choice("ab '\n\tsrelvt1!é  hingoEAdu") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    for n in (1024, 1025, 1537, 2000, 50_000):  # words of several chunks, last and not last
+        word = "".join(rng.choice("abcdeinot") for _ in range(n))
+        texts += ["x" * n, f"a {word}", f"{word} b {word}!", word + "1é" + word]
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(chr(rng.choice(every)) for _ in range(40)) for _ in range(300)]
+    monkeypatch.setattr(tokens, "PIECE", 3000)
+    monkeypatch.setattr(tokens, "STATES", 2000)
     assert list(own.count(texts)) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
