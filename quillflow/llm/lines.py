@@ -11,66 +11,117 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bundles as B
 from .stored import stored
 
-MIN_EDIT_CHARS = 16  # shorter lines only repeat by being equal
-_roll = B.Rolling(0x9E3779B97F4A7C15)
-_NULL_ID = (1 << 63) - 1
+MIN_CHARS = 16
 FILTER_BITS = 24
-LINE = ["at", "n", "h1"]  # name of a distinct line: the document and line where it stands first, and its hash
+ROWS = 1 << 17  # variants in one batch
+STEP = 1 << 16  # characters whose variants are hashed at a time
+P = (1 << 31) - 1
+BASES = (1_284_865_837, 1_610_612_741)
+_NULL_ID = (1 << 63) - 1
+LINE = ["at", "th", "n"]  # name of a line: the id and a hash of the text of its document, and its number there
+
+
+def _blank(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r")) == ""
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df with at and th, which name its documents in their order: by id, then (for rows that share one) by a hash of the text."""
+    text = F.col(f"`{text_col}`")
+    return df.withColumns({"__at": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)), "__th": F.xxhash64(text)})
+
 
+def _lines(placed: DataFrame, text_col: str) -> DataFrame:
+    """at, th, n, line, h1 of every line that is not blank."""
+    cut = placed.select(F.col("__at").alias("at"), F.col("__th").alias("th"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("n", "line"))
+    return cut.filter(~_blank(F.col("line"))).withColumn("h1", F.xxhash64("line"))
 
-def _order(id_: Column, n: Column) -> Column:
-    """Place of a line: by document, then by line."""
-    return id_.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + n
 
+def _tables() -> list[np.ndarray]:
+    out = []
+    for base in BASES:
+        power = np.ones(STEP, np.int64)
+        for k in range(1, STEP):
+            power[k] = int(power[k - 1]) * base % P
+        out.append(power)
+    return out
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, line, h1, h2 of every line that is not blank."""
-    id_ = F.col(f"`{id_col}`").cast("long").alias("doc_id")
-    cut = df.select(id_, F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("n", "line"))
-    return cut.filter(F.trim(F.translate("line", "\t\r", "  ")) != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(3), F.col("line"))})
 
+_powers: list[np.ndarray] = []
 
-def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the line, and of the line without each of its characters."""
-    x = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+def variants(line: str):
+    """The line's hash; then slab by slab the first place and the hashes of the line without each character from there on.
+
+    Polynomials at two points modulo the prime 2^31 - 1: lines of n characters agree by chance once in (2^31 / n)^2.
+    """
+    if not _powers:
+        _powers.extend(_tables())
+    x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(x)
-    zero = np.zeros(1, np.int64)
-    _roll.spans(x, zero, zero)  # grows the tables of powers
-    values = B.mix(x + np.uint64(1))
-    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _roll.up[:n])])
-    less = before[:n] + (before[n] - before[1:]) * np.uint64(_roll.inverse)
-    return B.mix(before[n:] ^ np.uint64(n)), B.mix(less ^ np.uint64(n - 1))
+
+    def sums(k, at):
+        power = _powers[k] if not at else _powers[k] * pow(BASES[k], at, P) % P
+        v = x[at : at + STEP].astype(np.int64) + 1
+        return np.cumsum(v * power[: len(v)] % P) % P
+
+    def named(a, b, size):
+        return B.mix((a << 31 | b).astype(np.uint64) + B.mix(np.array([size], np.uint64)))
+
+    first = [sums(k, 0) for k in (0, 1)]
+    total = [sum(int((first[k] if not at else sums(k, at))[-1]) for at in range(0, n, STEP)) % P for k in (0, 1)]
+    yield 0, named(*(np.array([t], np.int64) for t in total), n)
+    carry = [0, 0]
+    for at in range(0, n, STEP):
+        less = []
+        for k in (0, 1):
+            upto = (carry[k] + (first[k] if not at else sums(k, at))) % P
+            before = np.concatenate([[carry[k]], upto[:-1]])
+            less.append((before + (total[k] - upto + P) % P * pow(BASES[k], -1, P)) % P)
+            carry[k] = int(upto[-1])
+        yield at, named(*less, n - 1)
 
 
 def _variant_rows(batches):
-    """Variants of the lines; where one half is known to be shared, only those without a character of the other."""
+    """Variants of the lines; where one half is known to be shared, only those without a character of the other.
+
+    A line's variants may span several batches: a task holds ROWS + STEP of them, whatever the lines' number and length.
+    """
+
+    def flush(batch, held):
+        at = pa.array(np.repeat([k for k, *_ in held], [len(key) for _, key, _ in held]))
+        role = np.repeat(np.array([r for *_, r in held], np.int8), [len(key) for _, key, _ in held])
+        cols = [pa.array(np.concatenate([key for _, key, _ in held]).view(np.int64)), pa.array(role), *(batch.column(i).take(at) for i in (5, 6, 7))]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "role", *LINE])
+
     for batch in batches:
-        keys, roles, take = [], [], []  # roles, 0: whole, 1: one deleted, 2: one deleted at a place
-        for k, (line, same0, same1, longer0, longer1) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
-            whole, less = variants(line)
-            n, half, own = len(less), len(less) // 2, (len(less) - 1) // 2
-            keys.append(whole)
-            roles.append(np.zeros(1, np.int8))
-            if longer0 or longer1:
-                place = np.arange(0 if longer1 else own, n if longer0 else n - own)
-                keys.append(less[place])
-                roles.append(np.ones(len(place), np.int8))
-            if same0 or same1:
-                place = np.arange(0 if same1 else half, n if same0 else half)
-                keys.append(B.mix(less[place] ^ B.mix(place.astype(np.uint64))))
-                roles.append(np.full(len(place), 2, np.int8))
-            take.append(np.full(sum(map(len, keys)) - sum(map(len, take)), k))
-        if not keys:
-            continue
-        at = pa.array(np.concatenate(take))
-        cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), *(batch.column(i).take(at) for i in (5, 6, 7))]
-        yield pa.RecordBatch.from_arrays(cols, names=["key", "role", *LINE])
+        held, size = [], 0  # roles, 0: whole, 1: one deleted, 2: one deleted at a place
+        for k in range(batch.num_rows):
+            line, same0, same1, longer0, longer1 = (batch.column(i)[k].as_py() for i in range(5))
+            slabs, n = variants(line), len(line)
+            half, own = n // 2, (n - 1) // 2
+            held.append((k, next(slabs)[1], 0))
+            size += 1
+            for at, less in slabs:
+                end = at + len(less)
+                if longer0 or longer1:
+                    a, b = max(at, 0 if longer1 else own), min(end, n if longer0 else n - own)
+                    held.append((k, less[max(a - at, 0) : max(b - at, 0)], 1))
+                if same0 or same1:
+                    a, b = max(at, 0 if same1 else half), min(end, n if same0 else half)
+                    place = np.arange(a, max(a, b))
+                    held.append((k, B.mix(less[place - at] ^ B.mix(place.astype(np.uint64))), 2))
+                size += 2 * len(less)
+                if size >= ROWS:
+                    yield flush(batch, held)
+                    held, size = [], 0
+        if held:
+            yield flush(batch, held)
 
 
 def _might_be_in(keys: DataFrame):
@@ -92,16 +143,16 @@ def _might_be_in(keys: DataFrame):
 
 
 def _halves(first: DataFrame) -> DataFrame:
-    """key, slot, at, n, h1: the halves of every line that may be edited, named by length, side and text.
+    """key, slot, h1: the halves of every line that may be edited, named by length, side and text.
 
     Slots 0 and 1: left and right half of lines of the key's length; 2 and 3: those of lines one character longer.
     """
     slots = F.array(*[F.struct(F.col(f"k{k}").alias("key"), F.lit(k).cast("byte").alias("slot")) for k in range(4)])
-    return first.filter("k0 is not null").select(F.explode(slots).alias("half"), "at", "n", "h1").select("half.*", "at", "n", "h1")
+    return first.filter("k0 is not null").select(F.explode(slots).alias("half"), "h1").select("half.*", "h1")
 
 
-def _near(df: DataFrame, first: DataFrame, text_col: str) -> DataFrame:
-    """at, n, h1 of the distinct lines that have an earlier line within one edit. df has __at, the place of its documents."""
+def _near(placed: DataFrame, first: DataFrame, text_col: str) -> DataFrame:
+    """LINE of the distinct lines that have an earlier line within one edit."""
     halves = _halves(first)
     # distinct lines only, and a line has one half a slot: counts are enough to know of partners
     shared = halves.groupBy("key").agg(F.count_if(F.col("slot") < 2).alias("own"), F.count_if(F.col("slot") > 1).alias("longer"))
@@ -109,12 +160,14 @@ def _near(df: DataFrame, first: DataFrame, text_col: str) -> DataFrame:
     hit = halves.join(shared, "key")
     flags = {f"same{side}": (F.col("slot") == side) & (F.col("own") > 1) for side in (0, 1)}
     flags |= {f"longer{side}": F.col("slot") == 2 + side for side in (0, 1)}
-    some = stored(hit.groupBy("at", "n", "h1").agg(*[F.max(x).alias(c) for c, x in flags.items()]))
+    # lines whose h1 agree by chance share their flags, which only adds variants
+    flagged = hit.groupBy("h1").agg(*[F.max(x).alias(c) for c, x in flags.items()])
+    some = stored(first.select(*LINE, "h1").join(flagged, "h1"))
     # the texts of those lines, from the document where each stands first
     maybe = _might_be_in(some.select("h1"))
-    lines = _lines(df, "__at", text_col).withColumnRenamed("doc_id", "at").filter(maybe(F.col("h1"))).drop("h2")
+    lines = _lines(placed, text_col).filter(maybe(F.col("h1"))).drop("h1")
     texts = stored(lines.join(some, LINE).dropDuplicates(LINE).select("line", *flags, *LINE))
-    met = texts.mapInArrow(_variant_rows, "key long, role byte, at long, n int, h1 long").withColumn("deal", F.col("role") == 2)
+    met = texts.mapInArrow(_variant_rows, "key long, role byte, at long, th long, n int").withColumn("deal", F.col("role") == 2)
     # every member of a group of role 2 is one substitution from every other; of roles 0 and 1, one insertion from the whole line
     counts = met.groupBy("key", "deal").agg(F.count_if(F.col("role") == 0).alias("whole"), F.count_if(F.col("role") > 0).alias("less"))
     counts = counts.filter(F.when(F.col("deal"), F.col("less") > 1).otherwise((F.col("whole") > 0) & (F.col("less") > 0)))
@@ -124,69 +177,53 @@ def _near(df: DataFrame, first: DataFrame, text_col: str) -> DataFrame:
     )
     # the earliest partner: of a whole line the earliest that is one longer, of a longer one the whole line
     partner = F.when(F.col("role") == 2, F.col("least")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("deleted"))
-    earlier = F.struct("p.at", "p.n") < F.struct("at", "n")
-    paired = meeting.join(groups, ["key", "deal"]).withColumn("p", partner).filter(earlier)
+    paired = meeting.join(groups, ["key", "deal"]).withColumn("p", partner).filter(F.col("p") < F.col("who"))
     pairs = paired.groupBy(*LINE).agg(F.min("p").alias("p")).select(*LINE, *[F.col(f"p.{c}").alias(f"p_{c}") for c in LINE])
     a, b = texts.select(*LINE, "line"), texts.select(*[F.col(c).alias(f"p_{c}") for c in LINE], F.col("line").alias("other"))
     checked = pairs.join(a, LINE).join(b, [f"p_{c}" for c in LINE])
     return checked.filter(F.levenshtein("line", "other", 1) >= 0).select(*LINE)
 
 
-def _first(df: DataFrame, text_col: str) -> DataFrame:
-    """at, n, h1 of the distinct lines, each where it stands first, and k0 to k3, hashes of their halves (null: too short)."""
+def _first(placed: DataFrame, text_col: str, min_chars: int) -> DataFrame:
+    """LINE and h1 of the distinct lines, each where it stands first, and k0 to k3, hashes of their halves (null: too short)."""
     size = F.length("line")
     keys = []
     for pair in (size, size - 1):  # lengths of the shorter of two lines that may be one edit apart
         half = F.floor(pair / 2).cast("int")
         keys += [F.xxhash64(F.lit(1), pair, F.left("line", half)), F.xxhash64(F.lit(2), pair, F.right("line", half))]
-    named = {f"k{k}": F.when(size >= MIN_EDIT_CHARS, x) for k, x in enumerate(keys)}
-    keyed = _lines(df, "__at", text_col).withColumns(named)
-    low = keyed.groupBy("h1", "h2").agg(F.min(_order(F.col("doc_id"), F.col("n"))).alias("ord"), *[F.max(c).alias(c) for c in named])
-    step = F.lit(1 << 31).cast("decimal(11,0)")
-    n = F.pmod("ord", step).cast("int").alias("n")  # ids may be negative
-    return low.select(F.floor(F.col("ord") / step).cast("long").alias("at"), n, "h1", *named)
-
-
-def _kept(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with __first and __later: arrays of (n, h1) of the document's lines that stand here first, and of those that
-    nevertheless go, for an earlier one within one edit."""
-    place = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID))
-    placed = df.withColumn("__at", place)
-    first = stored(_first(placed, text_col))
-    listed = lambda x, name: x.groupBy(F.col("at").alias("__at")).agg(F.collect_list(F.struct("n", "h1")).alias(name))
-    later = listed(_near(placed, first, text_col), "__later")
-    return placed.join(listed(first, "__first"), "__at", "left").join(later, "__at", "left").drop("__at")
-
-
-def rebuild(text: str | None, stay: set) -> tuple[str | None, int, int]:
-    """Text without the lines that go, its lines and the lines that go."""
-    if text is None:
-        return None, 0, 0
-    out, lines = [], text.split("\n")
-    for n, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line.encode(), 42)
-        if not line.strip(" \t\r") or (n, h - (1 << 64) if h >> 63 else h) in stay:
-            out.append(line)
-    return "\n".join(out), len(lines), len(lines) - len(out)
-
-
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, all columns, with text_col less its repeated lines, plus n_lines and n_removed (columns of these names go).
+    named = {f"k{k}": F.when(size >= min_chars, x) for k, x in enumerate(keys)}
+    keyed = _lines(placed, text_col).withColumns({"h2": F.xxhash64(F.lit(3), F.col("line")), **named})
+    low = keyed.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("who"), *[F.max(c).alias(c) for c in named])
+    return low.select("who.*", "h1", *named)
 
-    A line, the text between line feeds, goes if the same line or, from MIN_EDIT_CHARS characters on, one within an edit
-    distance of 1 stands earlier: in a document with a smaller id or further up. Earlier lines count whether they stay or
-    not. Blank lines stay. Null texts stay null, with no line; an empty text has one blank line. Documents without an id
-    come last; rows that share an id are not earlier than each other.
-    """
-    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_removed")])
 
-    @F.pandas_udf("text string, n_lines int, n_removed int")
-    def less(text, first, later):
-        import pandas as pd
+def _staying(first: DataFrame, near: DataFrame) -> DataFrame:
+    """at, th, and for each of the document's lines up to the last that stays whether it does (blank lines: false)."""
+    tagged = first.select(*LINE, F.lit(True).alias("first")).unionByName(near.select(*LINE, F.lit(False).alias("first")))
+    lists = [F.collect_list(F.when(x, F.col("n"))) for x in (F.col("first"), ~F.col("first"))]
+    doc = tagged.groupBy("at", "th").agg(F.sort_array(F.array_except(*lists)).alias("stay"))
+    before = F.slice(F.concat(F.array(F.lit(-1)), F.col("stay")), F.lit(1), F.size("stay"))
+    runs = F.zip_with("stay", before, lambda x, p: F.concat(F.array_repeat(F.lit(False), x - p - 1), F.array(F.lit(True))))
+    return doc.select(F.col("at").alias("__at"), F.col("th").alias("__th"), F.flatten(runs).alias("__stay"))
+
 
-        own = lambda k: set() if k is None else {(x["n"], x["h1"]) for x in k}
-        rows = [rebuild(t, own(a) - own(b)) for t, a, b in zip(text, first, later)]
-        return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """df, all columns, with text_col less its repeated lines, plus n_lines and n_removed (columns of these names go).
 
-    out = _kept(base, id_col, text_col).withColumn("__x", less(F.col(f"`{text_col}`"), F.col("__first"), F.col("__later")))
-    return out.withColumns({text_col: F.col("__x.text"), "n_lines": F.col("__x.n_lines"), "n_removed": F.col("__x.n_removed")}).drop("__x", "__first", "__later")
+    A line, the text between line feeds, goes if the same line stands earlier: in a document with a smaller id or further
+    up; or if, both having min_chars characters or more, one within an edit distance of 1 does. Shorter lines, such as
+    numbers and list marks, differ from others by one character and still say something else; min_chars=1 compares all.
+    Earlier lines count whether they stay or not. Blank lines stay. Null texts stay null, with no line; an empty text has
+    one blank line. Documents without an id come last. Rows that share an id, or have none, are ordered by a hash of their
+    texts; where the texts are equal too they are one document, whose copies keep the same lines. An empty table gives an
+    empty result.
+    """
+    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_removed")])
+    placed = _placed(base, id_col, text_col)
+    first = stored(_first(placed, text_col, min_chars))
+    text, cut = F.col(f"`{text_col}`"), F.col("__lines")
+    out = placed.join(_staying(first, _near(placed, first, text_col)), ["__at", "__th"], "left").withColumn("__lines", F.split(text, "\n", -1))
+    out = out.withColumn("__kept", F.filter(cut, lambda x, i: _blank(x) | F.coalesce(F.get(F.col("__stay"), i), F.lit(False))))
+    n = lambda x: F.when(text.isNull(), 0).otherwise(F.size(x)).cast("int")
+    out = out.withColumns({text_col: F.array_join("__kept", "\n"), "n_lines": n(cut), "n_removed": n(cut) - n(F.col("__kept"))})
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], "n_lines", "n_removed")
