@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import scan
+from .batches import small_batches
 
 CACHE = 250_000  # distinct pre-tokens kept by each Python worker
 HEAP_FROM = 48  # symbols; longer pre-tokens merge with a heap, so that one huge run stays n log n
@@ -132,7 +133,7 @@ def encode(df: DataFrame, rank_path: str, text_col: str = "text", offsets: bool
     rank_file = _read(rank_path)
     extra = [pa.field("token_ids", pa.list_(pa.int32()))] + [pa.field("pretoken_offsets", pa.list_(pa.int64()))] * offsets
     keep = [c for c in df.columns if c not in {f.name for f in extra}]
-    df = df.select(*[F.col(f"`{c}`") for c in keep])
+    df = small_batches(df).select(*[F.col(f"`{c}`") for c in keep])
     added = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("pretoken_offsets", T.ArrayType(T.LongType()))]
     schema = T.StructType([*df.schema.fields, *added[: 1 + offsets]])
 
@@ -154,7 +155,7 @@ def decode(df: DataFrame, rank_path: str, ids_col: str = "token_ids") -> DataFra
     """Adds `decoded` binary: the bytes of the ids of each row, in order; null ids give empty bytes."""
     rank_file = _read(rank_path)
     keep = [c for c in df.columns if c != "decoded"]
-    df = df.select(*[F.col(f"`{c}`") for c in keep])
+    df = small_batches(df).select(*[F.col(f"`{c}`") for c in keep])
 
     def go(batches):
         token = ranks_of(rank_file).token
@@ -172,7 +173,7 @@ def digest(df: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str
     null ids stay.
     """
     rank_file = _read(rank_path)
-    df = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    df = small_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids]
 
     def go(batches):

@@ -14,12 +14,17 @@ BUNDLE_BYTES = 8 << 20
 
 
 def bundled(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
-    """(bundle, doc_id, text) dealt by bundle, the number of bundles, and the bytes of all texts."""
+    """(bundle, doc_id, text) dealt by bundle, the number of bundles, and the bytes of all texts.
+
+    Rows without an id may all be copies of one text; they are dealt by their place in the table as well.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    id_ = F.col(f"`{id_col}`").cast("long")
+    salt = F.when(id_.isNull(), F.monotonically_increasing_id())
+    base = df.select(id_.alias("doc_id"), text.alias("text"), salt.alias("salt"))
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = size // BUNDLE_BYTES + 1
-    bundle = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("bundle")
+    bundle = F.pmod(F.xxhash64("doc_id", "text", "salt"), F.lit(n)).cast("int").alias("bundle")
     return base.select(bundle, "doc_id", "text").repartition(n, "bundle"), n, size
 
 
@@ -70,7 +75,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2^64 of all spans of an array, from prefix sums; `base` is odd, so it has an inverse."""
+    """Polynomial hashes modulo 2^64 of all spans of an array, from prefix sums; `base` is odd, so it has an inverse.
+
+    Some regular strings agree whatever the base, so these hashes may bring things together but not call them equal.
+    """
 
     def __init__(self, base: int):
         self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), None, None

@@ -15,11 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .batches import small_batches
+from .bitmaps import bitmap, looked_up
+from .stored import stored
+
 P = (1 << 31) - 1
 POINTS = (1_284_865_837, 1_610_612_741)
 CHUNK = 1 << 16  # bytes; 2^15 digits of 16 bits times 31 bits stay below 2^63
 HUGE = 1 << 20  # bytes; longer texts are cut and their chunks dealt out
-GROUP_ROWS = 2000  # rows of one fingerprint that one sorted run compares
+GROUP_ROWS = 2000  # rows of one fingerprint that one sorted run compares, at least
+HOT_GROUPS = 10_000  # fingerprints with more rows than a run, at most: a run has this share of all rows or GROUP_ROWS
 _powers = None
 
 
@@ -37,10 +42,10 @@ def _tables() -> list[np.ndarray]:
     return _powers
 
 
-def chunk_hash(chunk: bytes) -> tuple[int, int, int]:
+def chunk_hash(chunk) -> tuple[int, int, int]:
     """(digits, polynomial at the first point, at the second) of at most CHUNK bytes."""
     if len(chunk) % 2:
-        chunk += b"\0"
+        chunk = bytes(chunk) + b"\0"
     digits = np.frombuffer(chunk, "<u2").astype(np.int64)
     n = len(digits)
     return (n, *(int(digits @ p[len(p) - n :]) % P if n else 0 for p in _tables()))
@@ -51,32 +56,44 @@ def compose(left: tuple[int, int, int], right: tuple[int, int, int]) -> tuple[in
     return (left[0] + right[0], *((a * pow(x, right[0], P) + b) % P for a, b, x in zip(left[1:], right[1:], POINTS)))
 
 
-def fingerprint(data: bytes) -> tuple[int, int, int]:
+def fingerprint(data) -> tuple[int, int, int]:
     out = (0, 0, 0)
     for at in range(0, len(data), CHUNK):
         out = compose(out, chunk_hash(data[at : at + CHUNK]))
     return out
 
 
+KEY = ["n_bytes", "h1", "h2"]
 _KEY = "n_bytes long, h1 long, h2 long"
 
 
-def _with_fingerprint(df: DataFrame, keep_text: bool) -> DataFrame:
-    """df: doc_id, sha, data binary."""
-    names = ["doc_id", "sha", "n_bytes", "h1", "h2", *["data"] * keep_text]
+def _fingerprints(df: DataFrame) -> DataFrame:
+    """df: doc_id, sha, data binary. Returns doc_id, sha and the fingerprint."""
 
     def go(batches):
         for batch in batches:
-            data = batch.column(2)
-            n, h1, h2 = [], [], []
-            for x in data:
-                x = x.as_buffer().to_pybytes()
-                _, a, b = fingerprint(x)
-                n.append(len(x)), h1.append(a), h2.append(b)
-            cols = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n, h1, h2))]
-            yield pa.RecordBatch.from_arrays(cols + [data] * keep_text, names=names)
+            n, found = [], []
+            for x in batch.column(2):
+                x = x.as_buffer()
+                n.append(len(x)), found.append(fingerprint(x)[1:])
+            cols = [pa.array(n, pa.int64()), *(pa.array([h[k] for h in found], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["doc_id", "sha", *KEY])
+
+    return df.mapInArrow(go, f"doc_id long, sha string, {_KEY}")
+
 
-    return df.mapInArrow(go, f"doc_id long, sha string, {_KEY}" + ", data binary" * keep_text)
+def _repeated(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """df: doc_id, data. The rows, with their fingerprint, that may have one of `groups`."""
+    bits = bitmap(groups.withColumn("h", F.col("h1").bitwiseXOR(F.shiftleft("h2", 20))), "h")
+
+    def go(batches):
+        for batch in batches:
+            found = np.array([(len(x := v.as_buffer()), *fingerprint(x)[1:]) for v in batch.column(1)], np.int64).reshape(-1, 3)
+            some = np.flatnonzero(looked_up(bits, found[:, 1] ^ found[:, 2] << 20))
+            kept = batch.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([kept.column(0), *(pa.array(found[some, k]) for k in range(3)), kept.column(1)], names=["doc_id", *KEY, "data"])
+
+    return df.mapInArrow(go, f"doc_id long, {_KEY}, data binary")
 
 
 def _huge(df: DataFrame) -> DataFrame:
@@ -125,10 +142,21 @@ def _compare(df: DataFrame) -> DataFrame:
                     label, own = hashlib.sha256(data).hexdigest(), data.to_pybytes()
                     known.append((label, memoryview(own)))
                 labels.append(label)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 1, 2, 3)], pa.array(labels)], names=["doc_id", *_names, "label"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(labels)], names=["doc_id", *KEY, "run", "label"])
+
+    return df.mapInArrow(go, f"doc_id long, {_KEY}, run long, label string")
+
+
+def _dealt(df: DataFrame, hot: DataFrame) -> DataFrame:
+    """df with `run`: rows of a hot fingerprint are dealt to its runs by their place, all others are in run 0."""
+    dealt = df.withColumn("__place", F.monotonically_increasing_id()).join(F.broadcast(hot), KEY, "left")  # at most HOT_GROUPS rows
+    return dealt.withColumn("run", F.coalesce(F.pmod(F.xxhash64("__place"), F.col("runs")), F.lit(0).cast("long"))).drop("__place", "runs")
+
 
-    _names = ["n_bytes", "h1", "h2"]
-    return df.mapInArrow(go, f"doc_id long, {_KEY}, label string")
+def _for_all_runs(groups: DataFrame, hot: DataFrame) -> DataFrame:
+    """groups with `run`: a row for each run of its fingerprint."""
+    runs = F.sequence(F.lit(0).cast("long"), F.coalesce("runs", F.lit(1).cast("long")) - 1)
+    return groups.join(F.broadcast(hot), KEY, "left").withColumn("run", F.explode(runs)).drop("runs")
 
 
 def equal_text_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,24 +167,27 @@ def equal_text_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dropped with its repeats (`deduplicate` then leaves one). An empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"), F.encode(text, "UTF-8").alias("data"))
-    key = ["n_bytes", "h1", "h2"]
+    id_, data = F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("data")
+    base = small_batches(df).select(id_, F.sha2(text, 256).alias("sha"), data)
     huge = F.octet_length("data") > HUGE
-    rows = _with_fingerprint(base.filter(~huge), False).unionByName(_huge(base.filter(huge)))
-    groups = rows.groupBy(*key).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    single = groups.filter("group_size = 1")
-    # equal fingerprints: the texts themselves meet, hot fingerprints in several runs of at most about GROUP_ROWS rows
-    runs = groups.filter("group_size > 1").select(*key, F.ceil(F.col("group_size") / GROUP_ROWS).alias("runs"))
-    members = _with_fingerprint(base, True).join(runs, key).withColumn("run", F.pmod(F.xxhash64("doc_id", "sha"), F.col("runs")))
-    order = [*key, "run"]
+    rows = _fingerprints(base.filter(~huge)).unionByName(_huge(base.filter(huge)))
+    groups = stored(rows.groupBy(*KEY).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.first("sha").alias("sha")))
+    several = groups.filter("group_size > 1").select(*KEY, "group_size")
+    # fingerprints of more rows than one run compares; at most HOT_GROUPS of them, as each has its share of the rows
+    n = groups.agg(F.sum("group_size")).first()[0] or 0
+    most = max(GROUP_ROWS, n // HOT_GROUPS)
+    hot = several.filter(F.col("group_size") > most).select(*KEY, F.ceil(F.col("group_size") / most).alias("runs"))
+    # equal fingerprints: the texts themselves meet, those of a hot one in runs that neither meet nor travel as one
+    order = [*KEY, "run"]
+    members = _dealt(_repeated(df.select(id_, data), several), hot).join(_for_all_runs(several.select(*KEY), hot), order)
     met = members.repartition(*[F.col(c) for c in order]).sortWithinPartitions(*order).select("doc_id", *order, "data")
-    labelled = _compare(met)
-    classes = labelled.groupBy(*key, "label").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    repeated = labelled.join(classes, [*key, "label"])
-    alone = rows.join(single, key).withColumnRenamed("sha", "label")
-    out = [F.col(c) for c in ("doc_id", "keep_id", "group_size")]
+    labelled = stored(_compare(met))
+    classes = labelled.groupBy(*KEY, "label").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    repeated = labelled.join(_for_all_runs(classes, hot), [*order, "label"])
+    alone = groups.filter("group_size = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("label"))
+    out = alone.unionByName(repeated.select(*alone.columns))
     kept: Column = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return alone.unionByName(repeated).select(*out, kept.alias("kept"), F.col("label").alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("label").alias("text_sha256"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

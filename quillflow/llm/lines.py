@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bundles as B
+from .bitmaps import might_be_in
 from .stored import stored
 
 MIN_CHARS = 16
-FILTER_BITS = 24
 ROWS = 1 << 17  # variants in one batch
 STEP = 1 << 16  # characters whose variants are hashed at a time
 P = (1 << 31) - 1
@@ -124,24 +124,6 @@ def _variant_rows(batches):
             yield flush(batch, held)
 
 
-def _might_be_in(keys: DataFrame):
-    """A test of h1 against a bitmap of fixed size: no wanted line fails it, and most others never reach a shuffle."""
-    at = F.pmod(F.col("h1"), F.lit(1 << FILTER_BITS)) + 1
-    parts = keys.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)  # 2 MB, whatever the input
-    for k, part in parts:
-        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
-
-    @F.pandas_udf("boolean")
-    def test(h):
-        import pandas as pd
-
-        x = h.to_numpy() & ((1 << FILTER_BITS) - 1)
-        return pd.Series((bits[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
-
-    return test
-
-
 def _halves(first: DataFrame) -> DataFrame:
     """key, slot, h1: the halves of every line that may be edited, named by length, side and text.
 
@@ -164,7 +146,7 @@ def _near(placed: DataFrame, first: DataFrame, text_col: str) -> DataFrame:
     flagged = hit.groupBy("h1").agg(*[F.max(x).alias(c) for c, x in flags.items()])
     some = stored(first.select(*LINE, "h1").join(flagged, "h1"))
     # the texts of those lines, from the document where each stands first
-    maybe = _might_be_in(some.select("h1"))
+    maybe = might_be_in(some, "h1")
     lines = _lines(placed, text_col).filter(maybe(F.col("h1"))).drop("h1")
     texts = stored(lines.join(some, LINE).dropDuplicates(LINE).select("line", *flags, *LINE))
     met = texts.mapInArrow(_variant_rows, "key long, role byte, at long, th long, n int").withColumn("deal", F.col("role") == 2)

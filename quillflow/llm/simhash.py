@@ -15,8 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .batches import small_batches
 from .components import components
-from .naming import NAME, first_rows, named
 from .stored import stored
 
 SEED = 42
@@ -52,7 +52,7 @@ def fingerprint(text: str, words: int) -> int:
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
-    df = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    df = small_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def go(batches):
         for batch in batches:
@@ -81,30 +81,32 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
 def within(planes: np.ndarray, probes: np.ndarray, words: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
     """Lanes (as bits) of planes[:, words] within radius bits of each probe; only lanes set in `lanes` count."""
     live = np.arange(len(probes))
-    counter = [np.zeros(len(probes), np.uint64) for _ in range(3)]  # ones, twos, fours
+    counter = [np.zeros(len(probes), np.uint64) for _ in range(max(3, radius.bit_length()))]  # ones, twos, fours, ...
     over = ~lanes  # lanes past the radius
     out = np.zeros(len(probes), np.uint64)
     for b in range(0, 64, 4):
         p, w = probes[live], words[live]
         d = [planes[k][w] ^ (np.uint64(0) - ((p >> np.uint64(k)) & np.uint64(1))) for k in range(b, b + 4)]
         # carry-save: three words of weight 1 become one of weight 1 and one of weight 2
-        one, two, four = counter
+        one, two = counter[:2]
         u = one ^ d[0]
         c0, one = (one & d[0]) | (u & d[1]), u ^ d[1]
         u = one ^ d[2]
         c1, one = (one & d[2]) | (u & d[3]), u ^ d[3]
         u = two ^ c0
-        c2, two = (two & c0) | (u & c1), u ^ c1
-        carry, four = four & c2, four ^ c2
-        value = [one, two, four]
+        carry, two = (two & c0) | (u & c1), u ^ c1
+        value = [one, two]
+        for weight in counter[2:]:
+            value.append(weight ^ carry)
+            carry = weight & carry
         more = np.zeros_like(one)  # counter > radius, by comparing its bits from the top
         same = ~np.uint64(0)
-        for weight in (2, 1, 0):
-            if radius >> weight & 1:
-                same = same & value[weight]
+        for k in reversed(range(len(value))):
+            if radius >> k & 1:
+                same = same & value[k]
             else:
-                more |= same & value[weight]
-                same = same & ~value[weight]
+                more |= same & value[k]
+                same = same & ~value[k]
         over |= carry | more
         keep = over != ~np.uint64(0)
         if not keep.all():  # abandon blocks whose lanes are all past the radius
@@ -273,11 +275,6 @@ def _labelled(docs: DataFrame, radius: int, chunk: int, least: Column) -> DataFr
     return distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
 
 
-def _check_radius(radius: int) -> None:
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be 0 to 6")
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links of <= radius bits).
 
@@ -285,27 +282,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Fewer than `words` words are one shingle. Null ids do not count for component_id, which is null where a component has
     no other. Extra columns are not read.
     """
-    _check_radius(radius)
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be 0 to 6")
     docs = stored(fingerprints(df, id_col, text_col, words))
     rooted = _labelled(docs, radius, chunk, F.min("doc_id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return docs.join(of, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
-
-
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
-    """Rows of df, all columns, one of each group of near-duplicates: that with the smallest id, nulls last, then with the
-    smallest hash of its text. Rows equal in both are one."""
-    _check_radius(radius)
-    names, text = named(df, id_col, text_col)
-    rows = df.select(*[c.alias(k) for k, c in names.items()], text.alias("text"))
-
-    def go(batches):
-        for batch in batches:
-            fp = np.array([fingerprint(x.as_py(), words) for x in batch.column(3)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp.view(np.int64))], names=[*NAME, "fp"])
-
-    docs = rows.mapInArrow(go, "__no_id boolean, __id long, __text long, fp long")
-    rooted = _labelled(docs, radius, CHUNK, F.min(F.struct(*NAME)))
-    return first_rows(df, rooted.groupBy("root").agg(F.min("least").alias("row")).select("row.*"), id_col, text_col)

@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import bundles as B
@@ -27,8 +28,8 @@ RUN = 2048  # strings of a segment at most (a periodic text has long runs of one
 SHARD_SEGMENTS = 1 << 19
 PACK = 256 << 10  # bytes of one suffix array, but that segments of one hash stay together
 END = 0xFF  # between segments; no byte of UTF-8
-_BYTE = np.random.default_rng(43).integers(0, 1 << 63, (2, 256), np.uint64)
-_grams, _content = B.Rolling(0x9E3779B97F4A7C15), B.Rolling(0xD1342543DE82EF95)
+_BYTE = np.random.default_rng(43).integers(0, 1 << 63, 256, np.uint64)
+_grams = B.Rolling(0x9E3779B97F4A7C15)  # a chance agreement of grams only brings more segments together
 
 
 # --- suffix array ---------------------------------------------------------------------------------------------
@@ -141,7 +142,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int, run: in
     if n < length:
         return none.astype(np.uint64), none, none, none.astype(bool)
     at = np.arange(n - gram + 1)
-    g = B.mix(_grams.spans(_BYTE[0][data], at, at + gram))
+    g = B.mix(_grams.spans(_BYTE[data], at, at + gram))
     width = length - gram + 1
     low = _least(g, width)
     start = np.arange(len(low))
@@ -169,6 +170,12 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int, run: in
     return value, a, number, twice
 
 
+def _contents(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each segment's bytes. Segments are equal if this and their least gram's hash agree, 128 bits of two kinds."""
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+
+
 class Segments:
     """Distinct segments of a bundle, sorted by shard and hash, and where each occurs."""
 
@@ -180,7 +187,7 @@ class Segments:
             ends = np.cumsum([len(x) for x in texts[a:b]])
             value, at, number, twice = segments(data, ends, length, gram, run)
             value = B.mix(value)  # least hashes crowd near zero; shards are ranges
-            content = B.mix(_content.spans(_BYTE[1][data], at, at + number + length - 1) ^ number.astype(np.uint64))
+            content = _contents(data, at, at + number + length - 1)
             found.append((value, content, at + before, number, twice))
             before += len(data)
         value, content, at, number, twice = map(np.concatenate, zip(*found)) if found else [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, bool)]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Regex, normalizers
 
 from . import scan
+from .batches import small_batches
 
 STATES = 150_000  # compiled states kept between batches; a batch that meets more adds them and the next starts anew
 LANE_BYTES = 512
@@ -297,7 +298,7 @@ def count_tokens(
     with open(tokenizer_path, "rb") as f:
         spec = f.read()
     classes = library_classes()
-    df = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    df = small_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def go(batches):
         model = transducer_of(spec, classes)

@@ -11,18 +11,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from . import scan
+from .batches import small_batches
 
 BITS = 20
 GRAMS = (4, 5, 6)
 DIM = 4
 #: Training reads at most this many labelled rows of classes 0 and 1, the first by a seeded hash of their ids.
 SAMPLE = (4000, 2000)
+SAMPLE_BYTES = 64 << 20  # and of these, in the same order, at most so many bytes of texts
 EPOCHS, UPDATES = 12, 400  # passes over the sample, more of them until there were this many updates
 BATCH = 64
 ONE_CLASS = 4.0  # bias where the sample has one class, or none: what is not shown to be toxic counts as clean
-CONTRAST = 5.0  # least z between the classes of a bucket that is trained; other vectors stay zero
+CONTRAST = 4.0  # least z between the classes of a bucket that is trained: less is chance among a million of them; other vectors stay zero
 GAIN = 80.0  # scale of the mean: toxic words are a percent or two of a text
 _WORD = np.array([48 <= b < 58 or 97 <= b < 123 or b >= 128 for b in range(256)])
 
@@ -168,13 +171,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
         .groupBy("id").agg(F.max("y").alias("y"))
     )
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    docs = small_batches(df).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     known = known.join(docs.select("id"), "id", "left_semi")
     rank = F.xxhash64(F.lit(5), "id")
     few = [known.filter(F.col("y") == y).orderBy(rank, "id").limit(SAMPLE[y]) for y in (0, 1)]
     few = F.broadcast(few[0].unionByName(few[1]))  # at most sum(SAMPLE) ids
     # of several texts of an id the last in order
-    sample = docs.join(few, "id").groupBy("id", "y").agg(F.max("text").alias("text")).select("id", "text", "y").repartition(1)
+    sample = docs.join(few, "id").groupBy("id", "y").agg(F.max("text").alias("text"))
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(rank, "id"))  # over at most sum(SAMPLE) rows
+    sample = sample.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("id", "text", "y").repartition(1)
 
     def go(batches):
         rows = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))))

@@ -2,8 +2,11 @@
 
 Pass 1: every bundle of texts sketches its distinct windows; the sketches are merged by hash range (shard) into saturated
 count-min rows, which never underestimate, and every bundle learns which of its windows may be repeated. Pass 2: only those
-windows are grouped exactly (96-bit hashes, smallest doc_id) and the bundles remove what they cover. What travels between
-passes are sorted arrays of hashes and bit sets, a few bytes a window.
+windows are grouped exactly (smallest doc_id) and the bundles remove what they cover. What travels between passes are sorted
+arrays of hashes and bit sets, a few bytes a window.
+
+A window is named by 128 bits: two multilinear hashes (a random 64-bit factor for every place of a word, and of a window)
+modulo 2^64. For any two different windows, however built, they agree with a probability below 2^-110.
 """
 
 from __future__ import annotations
@@ -21,9 +24,35 @@ SHARD_WINDOWS = 4 << 20  # windows that one shard is planned for
 CELLS_BITS = 24  # cells of each of the two rows of a shard's sketch
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
-_BYTE = np.random.default_rng(41).integers(0, 1 << 63, (2, 256), np.uint64)
-_words = B.Rolling(0x9E3779B97F4A7C15), B.Rolling(0xC2B2AE3D27D4EB4F)
-_runs = B.Rolling(0xD6E8FEB86659FD93), B.Rolling(0xA0761D6478BD642F)
+_FACTORS = np.random.default_rng(41).integers(0, 1 << 63, (2, 4096), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _factors(k: int, place: np.ndarray) -> np.ndarray:
+    """Random odd factors of places; beyond the table they come from a counter."""
+    out = _FACTORS[k][place & 4095]
+    far = np.flatnonzero(place >= 4096)
+    if len(far):
+        out[far] = B.mix(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _FACTORS[k][0]) | np.uint64(1)
+    return out
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, both: bool) -> list[np.ndarray]:
+    """One or two hashes of each span of data; the spans stand in order and apart."""
+    size = end - start
+    if not len(size):
+        return [np.zeros(0, np.uint64)] * (1 + both)
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(before, size)
+    value = data[np.repeat(start, size) + place].astype(np.uint64) + np.uint64(1)
+    return [B.mix(np.add.reduceat(_factors(k, place) * value, before) + size.astype(np.uint64)) for k in range(1 + both)]
+
+
+def run_hashes(words: np.ndarray, first: np.ndarray, width: int, k: int) -> np.ndarray:
+    """Hash of the `width` words from each of `first`."""
+    out = np.zeros(len(first), np.uint64)
+    for j, factor in enumerate(_factors(k, np.arange(width) + 64)):
+        out += words[first + j] * factor
+    return B.mix(out)
 
 
 class Windows:
@@ -42,16 +71,15 @@ class Windows:
             n_words.append(np.bincount(text, minlength=b - a))
             first = np.flatnonzero(text[width - 1 :] == text[: len(text) - width + 1]) if len(text) >= width else np.zeros(0, np.int64)
             first = first[np.array(live[a:b], bool)[text[first]]]
-            for k, out in enumerate((h1, h2)[: 1 + second]):
-                one = B.mix(_words[k].spans(_BYTE[k][data], start, end) ^ (end - start).astype(np.uint64))
-                out.append(B.mix(_runs[k].spans(one, first, first + width)))
+            for k, (one, out) in enumerate(zip(word_hashes(data, start, end, second), (h1, h2))):
+                out.append(run_hashes(one, first, width, k))
             row.append(text[first] + a)
             at.append(first + before)
             before += len(start)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.n_words = cat(n_words, np.int64)
         self.h1, self.row, self.at = cat(h1, np.uint64), cat(row, np.int64), cat(at, np.int64)
-        self.h2 = cat(h2, np.uint64).astype(np.uint32) if second else None
+        self.h2 = cat(h2, np.uint64) if second else None
 
 
 def _distinct(keys: np.ndarray, ids: np.ndarray):
@@ -161,7 +189,7 @@ def repeated_windows(
 
     def group(table):
         col = lambda c, t: [B.unpack(x.as_buffer(), t) for x in table.column(c)]
-        h1, h2, low = col("h1", np.uint64), col("h2", np.uint32), col("low", np.int64)
+        h1, h2, low = col("h1", np.uint64), col("h2", np.uint64), col("low", np.int64)
         sizes = np.cumsum([0, *map(len, h1)])
         h1, h2, low = map(np.concatenate, (h1, h2, low))
         order = np.lexsort((h2, h1))

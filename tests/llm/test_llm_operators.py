@@ -79,7 +79,6 @@ def test_simhash(docs, rows, chunk):
             least[g] = min(least.get(g, i), i)
     want = strings((i, f"{p:016x}", least.get(g)) for (i, *_), p, g in zip(rows, prints, group))
     assert got(simhash.near_duplicates(docs, chunk=chunk), "doc_id", "fingerprint", "component_id") == want
-    assert simhash.one_of_each(docs, words=4).count() <= len(set(group))
 
 
 def test_bit_sliced_links():
@@ -87,7 +86,7 @@ def test_bit_sliced_links():
     base = rng.integers(0, 1 << 63, 200, np.uint64)
     fps = np.unique(np.concatenate([base, base[:80] ^ np.uint64(1 << 40), base[:40] ^ np.uint64(0b11111), base[:40] ^ np.uint64(0b1111 << 20)]))
     n = len(fps)
-    for radius in (0, 3, 4, 6):
+    for radius in (0, 3, 4, 6, 11, 21):
         a, b = simhash.near_links(fps, np.arange(1, n + 1), np.full(n, n), radius)
         pairs = [(i, j) for i in range(n) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= radius]
         assert classes(n, pairs) == classes(n, zip(a.tolist(), b.tolist()))
@@ -275,6 +274,32 @@ def test_windows(monkeypatch, docs, rows):
     assert got(windows.repeated_windows(docs, cells_bits=12), "doc_id", "n_words", "n_removed", "kept_sha256") == strings(want)
 
 
+def test_windows_of_regular_words(spark):
+    """Texts that agree under every polynomial modulo 2^64."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    same = " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {other}"), (3, f"{same} {one}")], "doc_id long, text string")
+    assert got(windows.repeated_windows(df), "doc_id", "n_removed") == strings([(1, 0), (2, 0), (3, 13)])
+    assert got(suffix.repeated_bytes(spark.createDataFrame([(1, one), (2, one[:199] + other[:199])], "doc_id long, text string")), "doc_id", "n_removed") == brute(
+        [(1, one), (2, one[:199] + other[:199])]
+    )
+
+
+def brute(rows):
+    seen, want = {}, []
+    for _, t in rows:
+        for k in range(len(t) - 199):
+            seen[t[k : k + 200]] = seen.get(t[k : k + 200], 0) + 1
+    for i, t in rows:
+        gone = set()
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone.update(range(k, k + 200))
+        want.append((i, len(gone)))
+    return strings(want)
+
+
 @pytest.mark.parametrize("limits", [{}, {"hot": 2, "hottest": 4, "run": 40}])
 def test_suffixes(monkeypatch, docs, rows, limits):
     monkeypatch.setattr(bundles, "BUNDLE_BYTES", 4000)
@@ -300,8 +325,11 @@ def test_suffix_array_by_two_stages():
         assert suffix.suffix_array(data, 400).tolist() == sorted(range(len(data)), key=lambda k: data[k:])
 
 
-def test_exact(monkeypatch, docs, rows):
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact(monkeypatch, docs, rows, hot):
     monkeypatch.setattr(exact, "HUGE", 2000)
+    if hot:
+        monkeypatch.setattr(exact, "GROUP_ROWS", 1)
     groups = {}
     for i, t, _ in rows:
         groups.setdefault(t or "", []).append(i)

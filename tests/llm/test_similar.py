@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillflow.llm import similar, simhash
+from quillflow.llm import neargroups
 
 
 def shingles(text):
@@ -45,14 +47,22 @@ def table():
     return rows
 
 
-def test_one_of_each(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_one_of_each(spark, monkeypatch, small):
+    if small:  # many tables, and buckets in parts
+        monkeypatch.setattr(neargroups, "BUCKET", 16)
+        monkeypatch.setattr(neargroups, "CHUNK", 8)
+        monkeypatch.setattr(neargroups, "MISSED", 1e-7)
+        stage = lambda df: neargroups.one_of_each(df, words=5, similarity=0.8, chunk=8)
+    else:
+        stage = lambda df: corpus_pipeline.drop_near_duplicates(spark, df, "")
     rows = table()
     rows += [rows[4]]
     groups = brute_force(rows)
     assert 100 < len(groups) < 200
     for shift in (0, 1):
         df = spark.createDataFrame(rows[::-1] if shift else rows, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text"))
-        found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+        found = [(r["doc_id"], r["text"]) for r in stage(df).collect()]
         assert len(found) == len(groups)
         for g in groups:
             (stay,) = [r for r in found if r in g]
@@ -61,14 +71,31 @@ def test_one_of_each(spark):
 
 def test_no_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert similar.one_of_each(df).count() == 0
+    assert neargroups.one_of_each(df).count() == 0
 
 
-def test_simhash_one_of_each(spark):
+def test_rows_without_or_with_shared_ids(spark):
     rng = random.Random(5)
     text = lambda: " ".join("".join(rng.choice("aeioustrnlm") for _ in range(7)) for _ in range(40))
     a, b, c, d, e = (text() for _ in range(5))
     rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, e), (3, d), (None, None), (4, "")]
     for data in (rows, rows[::-1]):
-        out = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string"))
+        out = neargroups.one_of_each(spark.createDataFrame(data, "doc_id long, text string"))
         assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, a), (None, b), (None, c), (2, d), (2, e), (4, "")], key=str)
+
+
+@pytest.mark.parametrize("shingles", [60, 300])
+@pytest.mark.parametrize("similarity", [0.8, 0.9])
+def test_recall_of_the_tables(shingles, similarity):
+    """Pairs of just the least similarity that share a bucket and pass the limits, as a table of ten million nodes is laid out."""
+    rng = np.random.default_rng(8)
+    bits, tables = neargroups.layout(10_000_000, 0.8)
+    sampled = [rng.choice(192, bits, replace=False) for _ in range(tables)]
+    _, coarse, fine = neargroups.limits(0.8)
+    found, own = 0, round(shingles * (1 - similarity) / 2)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, shingles + own, np.uint64)
+        x, y = (np.array(neargroups.wide_fingerprint(np.sort(p)), np.int64) for p in (pool[own:], np.concatenate([pool[:own], pool[2 * own :]])))
+        differ = np.unpackbits((x ^ y).view(np.uint8), bitorder="little")
+        found += bool(differ.sum() <= fine and differ[:64].sum() <= coarse and any(not differ[s].any() for s in sampled))
+    assert found / 300 >= (0.96 if similarity == 0.8 else 0.995)
