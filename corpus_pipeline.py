@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillflow.llm import bpe, lines, mixing, similar, toxicity
+from quillflow.llm import bpe, lines, mixing, neargroups, toxicity
 from quillflow.llm.queries import tokenizer
 from quillflow.llm.stored import stored
 
@@ -25,7 +25,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: those linked by a similarity of 0.8 or more of their five-word shingles."""
-    return similar.one_of_each(docs, words=5, similarity=0.8)
+    return neargroups.one_of_each(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("near-duplicates", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("mixing", mix_sources),
     ("byte-level BPE", encode),
 ]
