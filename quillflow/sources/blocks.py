@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 SCHEMA = "key string, pos int, kind string, level int, text string"
-KINDS = ("title", "meta", "heading", "paragraph", "item", "quote", "code", "row", "image", "rule", "chrome", "warning", "error")
+KINDS = ("title", "meta", "heading", "paragraph", "item", "ordered", "quote", "code", "row", "image", "rule", "chrome", "warning", "error")
 
 
 def read(df: DataFrame, key: str, content: str, reader: Callable[..., Iterator[tuple]], *more: str) -> DataFrame:
@@ -42,31 +42,35 @@ def read(df: DataFrame, key: str, content: str, reader: Callable[..., Iterator[t
 
 def without_repeats(blocks: DataFrame, least: int = 30) -> DataFrame:
     """Without blocks of `least` characters or more that equal the block before them."""
-    shown = blocks.filter(~F.col("kind").isin("title", "meta", "warning"))
-    rest = blocks.filter(F.col("kind").isin("title", "meta", "warning"))
-    before = F.lag(F.struct("kind", "text")).over(Window.partitionBy("key").orderBy("pos"))
-    same = (before == F.struct("kind", "text")) & (F.length("text") >= least) & ~F.col("kind").isin("row", "code")
-    return shown.withColumn("__same", F.coalesce(same, F.lit(False))).filter("not __same").drop("__same").unionByName(rest)
+    aside = F.col("kind").isin("title", "meta", "warning")
+    before = F.lag(F.struct("kind", "text")).over(Window.partitionBy("key", "__aside").orderBy("pos"))
+    same = ~F.col("__aside") & (before == F.struct("kind", "text")) & (F.length("text") >= least) & ~F.col("kind").isin("row", "code")
+    marked = blocks.withColumn("__aside", aside).withColumn("__same", F.coalesce(same, F.lit(False)))
+    return marked.filter("not __same").drop("__aside", "__same")
 
 
 def table_rows(blocks: DataFrame) -> DataFrame:
     """Pads the rows of each table to its widest and adds the separator below the first. A row's cells are joined by U+001F."""
-    rows = blocks.filter("kind = 'row'").withColumn("cells", F.split("text", "\x1f"))
-    per = Window.partitionBy("key", "level")
-    wide = rows.withColumn("width", F.max(F.size("cells")).over(per)).withColumn("n", F.row_number().over(per.orderBy("pos")))
-    padded = F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))
+    per = Window.partitionBy("key", "__row", "level")
+    rows = blocks.withColumn("__row", F.col("kind") == "row").withColumn("__cells", F.when(F.col("__row"), F.split("text", "\x1f")))
+    wide = rows.withColumn("__width", F.max(F.size("__cells")).over(per)).withColumn("__n", F.row_number().over(per.orderBy("pos")))
+    padded = F.concat("__cells", F.array_repeat(F.lit(""), F.col("__width") - F.size("__cells")))
     line = F.concat(F.lit("| "), F.array_join(F.transform(padded, T.table_cell), " | "), F.lit(" |"))
-    under = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")), " | "), F.lit(" |"))
-    text = F.when(F.col("n") == 1, F.concat(line, under)).otherwise(line)
-    return blocks.filter("kind <> 'row'").unionByName(wide.select("key", "pos", "kind", "level", text.alias("text")))
+    under = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("__width")), " | "), F.lit(" |"))
+    text = F.when(~F.col("__row"), F.col("text")).when(F.col("__n") == 1, F.concat(line, under)).otherwise(line)
+    return wide.select("key", "pos", "kind", "level", text.alias("text"))
 
 
 def markdown_of(kind: Column, level: Column, text: Column) -> Column:
+    """A block's Markdown. The text of code may begin with its language and U+001F."""
+    language, code = F.regexp_extract(text, "^([^\x1f]*)\x1f", 1), F.regexp_replace(text, "^[^\x1f]*\x1f", "")
+    mark = T.fence(code)
     return (
         F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), F.least(level, F.lit(6))), F.lit(" "), text))
         .when(kind == "item", F.concat(F.repeat(F.lit("  "), level), F.lit("- "), text))
         .when(kind == "quote", F.regexp_replace(text, "(?m)^", "> "))
-        .when(kind == "code", F.concat_ws("\n", T.fence(text), text, T.fence(text)))
+        .when(kind == "ordered", F.concat(F.repeat(F.lit("  "), level), text))
+        .when(kind == "code", F.concat(mark, language, F.lit("\n"), code, F.lit("\n"), mark))
         .when(kind == "rule", F.lit("---"))
         .otherwise(text)
     )
@@ -84,10 +88,10 @@ def assemble(blocks: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(shown, part))).alias("parts"),
         F.min_by(F.when(F.col("kind") == "title", F.col("text")), F.when(F.col("kind") == "title", F.col("pos"))).alias("own_title"),
         F.min_by(F.when(F.col("kind") == "heading", F.col("text")), F.when(F.col("kind") == "heading", F.col("pos"))).alias("heading"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "warning", F.col("text")))).alias("warnings"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "warning", F.struct("pos", "text")))).alias("warned"),
         F.first(F.when(F.col("kind") == "error", F.col("text")), ignorenulls=True).alias("error"),
     )
-    close = lambda k: k.isin("item", "row")
+    close = lambda k: k.isin("item", "ordered", "row")
     joined = F.aggregate(
         "parts", F.struct(F.lit("").alias("md"), F.lit("").alias("kind")),
         lambda s, p: F.struct(
@@ -101,5 +105,5 @@ def assemble(blocks: DataFrame) -> DataFrame:
     return out.select(
         "key", F.when(F.col("markdown") == "", "").otherwise(F.concat("markdown", F.lit("\n"))).alias("markdown"),
         F.coalesce(T.plain_title(F.col("own_title")), T.plain_title(F.col("heading"))).alias("title"), T.word_count(F.col("markdown")).alias("word_count"),
-        "warnings", F.when(none, "no extractable content").otherwise(F.col("error")).alias("error"),
+        F.array_distinct(F.transform("warned", lambda w: w["text"])).alias("warnings"), F.when(none, "no extractable content").otherwise(F.col("error")).alias("error"),
     )

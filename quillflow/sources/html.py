@@ -1,24 +1,28 @@
 """HTML pages as blocks.
 
 A small tree builder on the standard library's tokenizer knows raw text, void elements and implied end tags; it emits each
-block with the chrome it stands in. What counts as the article is then decided over all blocks of a page with aggregates.
+block with the chrome it stands in. What stands in a form, a table cell or a callout is collected apart and judged when the
+element ends. What counts as the article is then decided over all blocks of a page with windows.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from . import blocks as B
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = set("script style template noscript svg iframe object canvas select button form textarea".split())
+SKIP = set("script style template noscript svg iframe object canvas select button textarea math".split())
 BLOCK = set(
-    "address article aside blockquote body dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p "
-    "pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main "
+    "nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CHROME = set("nav footer aside header".split())
 CHROME_WORDS = set("ad ads advert banner breadcrumb breadcrumbs cookie menu nav navbar promo related share sidebar social sponsor toc".split())
@@ -27,7 +31,34 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-WRAP = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "del": "~~", "s": "~~"}
+WRAP = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~", "s": "~~"}
+#: How the words of a form's names begin where it is an entry box, and the words such a box has at most.
+ENTRY_NAMES = "search|login|signin|signup|register|subscribe|newsletter|comment|password"
+ENTRY_WORDS, NAMED_ENTRY_WORDS = 20, 60
+#: Limits of a data table without header cells, and the pixels below which an image shows nothing.
+CELL_WORDS, COLUMNS, SPAN, SMALL = 40, 256, 64, 33
+SEPARATORS = (" | ", " - ", " -- ", " · ", " — ", " – ")
+META = (
+    "author description og:description twitter:description og:title twitter:title og:site_name application-name article:published_time article:author"
+).split()
+CALLOUT = re.compile(r"^(?:markdown-alert-|alert-|admonition-)?(note|tip|important|warning|caution|danger|info|success|hint|error|example|quote|abstract|question|bug)$")
+
+
+def _tokens(*values: str) -> set[str]:
+    return set(re.split(r"[^a-z0-9]+", " ".join(values).lower()))
+
+
+def _number(text: str) -> float | None:
+    m = re.fullmatch(r"\s*([0-9]+(?:\.[0-9]+)?)\s*(?:px)?\s*", text)
+    return float(m[1]) if m and float(m[1]) > 0 else None
+
+
+def best_candidate(srcset: str) -> str | None:
+    """The address of the largest candidate of a srcset, by width or density."""
+    best = (-1.0, None)
+    for url, size in re.findall(r"([^\s,]\S*[^\s,])(?:\s+([0-9.]+)[wx])?\s*(?:,|$)", srcset):
+        best = max(best, (float(size or 1), url), key=lambda x: x[0])
+    return best[1]
 
 
 class Blocks(HTMLParser):
@@ -35,15 +66,21 @@ class Blocks(HTMLParser):
 
     def __init__(self, base: str | None):
         super().__init__(convert_charrefs=True)
-        self.base, self.out, self.open, self.text = base or "", [], [], []
-        self.skip, self.pre, self.links, self.table, self.cells = 0, 0, [], 0, None
+        self.base, self.open, self.text = base or "", [], []
+        self.sinks: list[list[tuple]] = [[]]  # the innermost form, cell or callout collects its own blocks
+        self.skip, self.pre, self.links, self.tables, self.numbers = 0, 0, [], [], []
+        self.table_count, self.lang, self.lazy, self.raw = 0, "", False, None
         self.depth_warned = False
+        self.title, self.heading, self.meta, self.ld, self.time = None, None, {}, [], None
 
     # -- element stack
+    def _names(self) -> list[str]:
+        return [x[0] for x in self.open]
+
     def _close_to(self, names: set[str], bounds: set[str]) -> None:
         found = None
         for k in range(len(self.open) - 1, -1, -1):
-            tag = self.open[k].split("\0")[0]
+            tag = self.open[k][0]
             if tag in bounds:
                 break
             if tag in names:
@@ -51,51 +88,97 @@ class Blocks(HTMLParser):
         while found is not None and len(self.open) > found:
             self._end(self.open.pop())
 
+    def _hidden(self, a: dict) -> bool:
+        style, classes = a.get("style", "").replace(" ", "").lower(), a.get("class", "").split()
+        if "hidden" in a or "display:none" in style or "visibility:hidden" in style:
+            return True
+        if any(re.fullmatch(r"d-(?:sm|md|lg|xl|xxl)-(?!none).+|(?:sm|md|lg|xl|2xl):(?:block|flex|grid|inline|table|contents).*", c) for c in classes):
+            return False  # shown again at some width
+        return any(c.rsplit(":", 1)[-1] in ("hidden", "invisible", "is-hidden", "d-none") for c in classes if "[" not in c)
+
+    def _chrome(self, tag: str, a: dict) -> bool:
+        names = self._names()
+        if a.get("role") in ("navigation", "banner", "contentinfo"):
+            return True
+        if tag == "header":
+            return "article" not in names
+        if tag == "footer":  # one of a part of the page belongs to it
+            inner = next((n for n in reversed(names) if n in ("article", "section", "figure", "blockquote", "aside", "nav", "td", "th", "body")), None)
+            return inner not in ("article", "section", "figure", "blockquote")
+        words = set((a.get("class", "") + " " + a.get("id", "")).lower().replace("-", " ").replace("_", " ").split())
+        return tag in CHROME or bool(tag in BLOCK and words & CHROME_WORDS)
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        if tag in BLOCK and "p" in self.open:
+        names = self._names()
+        if tag in BLOCK and "p" in names:
             self._close_to({"p"}, {"td", "th", "table", "li", "button"})
         if tag in CLOSES:
             self._close_to(*CLOSES[tag])
-        words = set((a.get("class", "") + " " + a.get("id", "")).lower().replace("-", " ").replace("_", " ").split())
-        style = a.get("style", "").replace(" ", "").lower()
-        hidden = "hidden" in a or "display:none" in style or "visibility:hidden" in style
         if tag in VOID:
             self._void(tag, a)
             return
-        if tag in SKIP or hidden:
+        if tag in SKIP or self._hidden(a):
+            if tag == "script" and a.get("type", "").strip().lower() == "application/ld+json":
+                self.raw = []
+            elif tag == "math":
+                self.math = "$$" if a.get("display") == "block" else "$"
             self.skip += 1
-            self.open.append(tag + "\0skip")
+            self.open.append((tag, "skip", a))
             return
-        chrome = tag in CHROME and not (tag == "header" and "article" in self.open) or (tag in BLOCK and words & CHROME_WORDS) or a.get("role") in ("navigation", "banner")
-        if tag in BLOCK or chrome:
+        if tag == "annotation" and "tex" in a.get("encoding", "") and "math" in names:
+            self.raw = []
+        callout = self._callout(tag, a)
+        chrome = not callout and self._chrome(tag, a)
+        if tag in BLOCK or chrome or callout:
             self._flush()
-        self.open.append(tag + "\0chrome" if chrome else tag)
+        self.open.append((tag, "chrome" if chrome else "callout" if callout else "", a))
         if len(self.open) > 256 and not self.depth_warned:
             self.depth_warned = True
-            self.out.append(("warning", 0, "elements nested deeper than 256 are read as text"))
+            self.sinks[0].append(("warning", 0, "elements nested deeper than 256 are read as text"))
+        if self.skip:
+            return
+        if tag in ("pre", "code") or self.pre:
+            self._language(a)
         if tag == "pre":
             self.pre += 1
-        elif tag == "tr":
-            self.cells = []
         elif tag == "table":
-            self.table += 1
-        elif tag == "a" and not self.skip:
+            self.table_count += 1
+            self.tables.append({"rows": [], "number": self.table_count, "layout": a.get("role", "").strip().lower() in ("presentation", "none")})
+        elif tag == "tr" and self.tables:
+            self.tables[-1]["rows"].append((any(n == "thead" for n in names), []))
+        elif tag in ("ol", "ul"):
+            start = a.get("start", "")
+            self.numbers.append((int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1) if tag == "ol" else None)
+        elif tag == "q":
+            self.text.append("“")
+        elif tag == "time" and self.time is None and re.match(r"[0-9]{4}-[0-9]{2}", a.get("datetime", "").strip()):
+            self.time = a["datetime"].strip()
+        elif tag == "a":
             self.links.append((a.get("href", ""), len(self.text)))
-        elif tag in WRAP and not self.skip and not self.pre:
+        elif tag in WRAP and not self.pre:
             self.text.append("\1" + WRAP[tag])
+        if tag in ("td", "th", "form", "caption") or callout:
+            self.sinks.append([])
+
+    def _callout(self, tag: str, a: dict) -> str:
+        classes = a.get("class", "").lower().split()
+        if self.skip or not {"callout", "markdown-alert", "alert", "admonition"} & set(classes):
+            return ""
+        kinds = [m[1] for c in [a.get("data-callout", "").lower(), *classes] if (m := CALLOUT.match(c))]
+        return kinds[0] if kinds else "note" if "admonition" in classes or "callout" in classes else ""
+
+    def _language(self, a: dict) -> None:
+        found = [m[1] for c in a.get("class", "").split() if (m := re.fullmatch(r"(?:language|lang|highlight-source|brush:)-?([A-Za-z0-9+#.-]+)", c))]
+        self.lang = (a.get("data-lang") or a.get("data-language") or (found or [self.lang])[0]).lower()
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        names = [x.split("\0")[0] for x in self.open]
-        if tag == "p" and "p" not in names:
-            return
+        names = self._names()
         if tag not in names:
             return
         at = len(names) - 1 - names[::-1].index(tag)
@@ -104,90 +187,287 @@ class Blocks(HTMLParser):
         while len(self.open) > at:
             self._end(self.open.pop())
 
-    def _end(self, entry: str) -> None:
-        tag, _, mark = entry.partition("\0")
+    def _end(self, entry: tuple) -> None:
+        tag, mark, a = entry
+        if tag == "annotation" and self.raw is not None:
+            tex, self.raw = "".join(self.raw).strip(), None
+            self.text.append(f"{self.math}{tex}{self.math}" if tex and self.skip == 1 else "")
         if mark == "skip":
+            if tag == "script" and self.raw is not None:
+                self._linked_data("".join(self.raw))
+                self.raw = None
             self.skip -= 1
             return
+        if self.skip:
+            return
         if tag == "a" and self.links:
             href, at = self.links.pop()
             label = "".join(self.text[at:]).strip()
-            if href and not href.lower().startswith(("javascript:", "data:")) and not self.skip:
+            if href and not href.lower().startswith(("javascript:", "data:")):
                 self.text[at:] = [f"[{label}]({urljoin(self.base, href)})"] if label else []
-        elif tag in WRAP and not self.skip and not self.pre:
+        elif tag in WRAP and not self.pre:
             self.text.append(WRAP[tag] + "\2")
-        elif tag in ("td", "th") and self.cells is not None:
-            self.cells.append(self._take())
-        elif tag == "tr" and self.cells is not None:
-            if any(self.cells):
-                self._emit("row", self.table, "\x1f".join(self.cells), mark)
-            self.cells = None
+        elif tag == "q":
+            self.text.append("”")
         elif tag in BLOCK or mark:
-            self._flush(tag, mark)
+            self._flush(tag, mark, a)
+        if tag in ("td", "th"):
+            self._cell(tag, a, self.sinks.pop())
+        elif tag == "caption":
+            inner = self.sinks.pop()
+            self.sinks[-1].extend(inner)
+        elif tag == "table" and self.tables:
+            self._table(self.tables.pop(), mark)
+        elif tag == "form":
+            self._form(a, self.sinks.pop())
+        elif mark == "callout":
+            self._end_callout(self._callout(tag, a), self.sinks.pop())
         if tag == "pre":
             self.pre -= 1
+            self.lang = "" if not self.pre else self.lang
+        elif tag in ("ol", "ul") and self.numbers:
+            self.numbers.pop()
+
+    # -- what is judged as a whole
+    def _form(self, a: dict, blocks: list) -> None:
+        """An entry box goes: a form of few words, or of some more if its names say what is entered."""
+        words = sum(len(text.split()) for kind, _, text in blocks if kind != "chrome")
+        named = a.get("role", "").strip().lower() == "search" or any(re.match(ENTRY_NAMES, w) for w in _tokens(*(a.get(k, "") for k in ("class", "id", "name", "action"))))
+        if words > (NAMED_ENTRY_WORDS if named else ENTRY_WORDS):
+            self.sinks[-1].extend(blocks)
+
+    def _end_callout(self, kind: str, blocks: list) -> None:
+        shown = [(k, text) for k, _, text in blocks if k not in ("chrome", "warning")]
+        if shown:
+            title = shown.pop(0)[1] if len(shown) > 1 and len(shown[0][1]) <= 60 and shown[0][0] in ("paragraph", "heading") else kind.capitalize()
+            body = "\n\n".join(("- " if k == "item" else "") + text for k, text in shown)
+            self._emit("quote", 0, f"[!{kind}] {title}\n{body}", "")
+
+    def _cell(self, tag: str, a: dict, blocks: list) -> None:
+        if not self.tables or not self.tables[-1]["rows"]:
+            self.sinks[-1].extend(blocks)
+            return
+        span = lambda k: min(max(int(a[k]), 1), SPAN) if re.fullmatch(r"[0-9]{1,4}", a.get(k, "")) else 1
+        self.tables[-1]["rows"][-1][1].append((tag == "th", span("colspan"), span("rowspan"), blocks))
+
+    def _table(self, table: dict, mark: str) -> None:
+        """A grid with header cells or of short, mostly filled cells becomes rows; other tables lay out a page."""
+        rows = [r for r in table["rows"] if r[1]]
+        text = lambda cell: " ".join(t.replace("\n", " ") for k, _, t in cell[3] if k != "warning")
+        headed = any(head or any(c[0] for c in cells) for head, cells in rows)
+        cells = [c for _, row in rows for c in row]
+        shown = [c for c in cells if text(c)]
+        width = max((sum(c[1] for c in row) for _, row in rows), default=0)
+        plain = all(len(c[3]) <= 1 and len(text(c).split()) <= CELL_WORDS and all(k in ("paragraph", "chrome", "code") for k, *_ in c[3]) for c in shown)
+        filled = sum(any(text(c) for c in row) for _, row in rows)
+        data = plain and not table["layout"] and filled >= 2 and width >= 2 and (len(cells) - len(shown)) * 3 < len(cells) * 2
+        if not shown or not (headed or data) or width > COLUMNS:
+            for c in cells:
+                self.sinks[-1].extend(c[3])
+            return
+        grid, carry = [], [0] * (width + SPAN)
+        for _, row in rows:
+            line: list[str] = []
+
+            def covered():
+                while len(line) < len(carry) and carry[len(line)] > 0:
+                    carry[len(line)] -= 1
+                    line.append("")
+
+            for cell in row:
+                covered()
+                for k in range(len(line), min(len(line) + cell[1], len(carry))):
+                    carry[k] = cell[2] - 1
+                line += [text(cell)] + [""] * (cell[1] - 1)
+            covered()
+            grid.append(line)
+        columns = [k for k in range(max(map(len, grid))) if any(k < len(line) and line[k] for line in grid)]
+        first = next((k for k, (head, _) in enumerate(rows) if head), 0)
+        grid = [grid[first], *grid[:first], *grid[first + 1 :]]
+        if headed and not rows[first][0] and not all(c[0] for c in rows[0][1]):
+            grid.insert(0, [""] * len(columns))  # only rows have header cells
+        for line in grid if headed else [x for x in grid if any(x)]:
+            self._emit("row", table["number"], "\x1f".join(line[k] if k < len(line) else "" for k in columns), mark)
+
+    def _linked_data(self, text: str) -> None:
+        def collect(value, depth):
+            if isinstance(value, dict) and depth <= 64:
+                self.ld.append({k: v for k, v in value.items() if k != "@graph"})
+                collect(value.get("@graph"), depth + 1)
+            elif isinstance(value, list) and depth <= 64:
+                for x in value:
+                    collect(x, depth + 1)
+
+        try:
+            collect(json.loads(text), 0)
+        except (ValueError, RecursionError):
+            pass
 
     # -- text
+    def _image(self, a: dict) -> None:
+        if any((n := _number(a.get(k, ""))) is not None and n < SMALL for k in ("width", "height")):
+            return
+        sources = [a.get(k, "") for k in ("data-src", "data-original", "data-lazy-src")]
+        sets = [best_candidate(a[k]) or "" for k in ("data-srcset", "srcset") if a.get(k)]
+        src = next((s for s in [*sources, *sets, a.get("src", "")] if s and not s.startswith("data:")), None)
+        self.lazy = src is None
+        if src:
+            alt = re.sub(r"[\[\]()]", "_", " ".join(a.get("alt", "").split()))
+            self.text.append(f"![{alt}]({urljoin(self.base, src)})")
+
     def _void(self, tag, a):
         if self.skip:
+            if tag == "img" and self.lazy and self.skip == 1 and "noscript" in self._names():  # a lazy image's real address
+                self._image(a)
             return
         if tag == "br":
             self.text.append("\n")
         elif tag == "hr":
             self._flush()
             self._emit("rule", 0, "---", "")
-        elif tag == "img" and (src := a.get("src") or a.get("data-src")) and not src.startswith("data:"):
-            self.text.append(f"![{a.get('alt', '').strip()}]({urljoin(self.base, src)})")
-        elif tag == "meta" and a.get("content") and (name := a.get("name") or a.get("property")) and name.lower() in ("description", "author", "og:title", "og:site_name"):
-            self.out.append(("meta", 0, f"{name.lower()}\x1f{a['content']}"))
-        elif tag == "link" and a.get("rel") == "canonical":
-            self.out.append(("meta", 0, f"canonical\x1f{urljoin(self.base, a.get('href', ''))}"))
+        elif tag == "img":
+            self._image(a)
+        elif tag == "base" and a.get("href"):
+            self.base = urljoin(self.base, a["href"])
+        elif tag == "meta" and a.get("content", "").strip():
+            name = (a.get("property") or a.get("name") or "").strip().lower()
+            if name in META:
+                self.meta.setdefault(name, " ".join(a["content"].split()))
+        elif tag == "link" and a.get("rel", "").lower() == "canonical" and a.get("href"):
+            self.meta.setdefault("canonical", urljoin(self.base, a["href"]))
 
     def handle_data(self, data):
-        names = [x.split("\0")[0] for x in self.open]
-        if names and names[-1] == "title" and "body" not in names:
-            if data.strip():
-                self.out.append(("title", 0, " ".join(data.split())))
+        names = self._names()
+        if self.raw is not None:
+            self.raw.append(data)
+        elif names and names[-1] == "title" and "body" not in names:
+            self.title = self.title or " ".join(data.split()) or None
         elif not self.skip:
             self.text.append(data if self.pre else " ".join(data.split()).join((" " * data[:1].isspace(), " " * data[-1:].isspace())) if data.strip() else " ")
 
     def _take(self) -> str:
         text, self.text, self.links = "".join(self.text), [], [(h, 0) for h, _ in self.links]
         if not self.pre:
-            text = "\n".join(" ".join(line.split()) for line in text.split("\n"))
+            text = "\n".join(" ".join(line.split()) for line in text.replace("\xad", "").split("\n"))
             for mark in ("**", "*", "`", "~~"):
                 if text.count("\1" + mark) != text.count(mark + "\2"):
                     text = text.replace("\1" + mark, "").replace(mark + "\2", "")
                 text = text.replace(f"\1{mark}{mark}\2", "").replace(f"\1{mark} ", f" {mark}").replace(f" {mark}\2", f"{mark} ")
         return text.replace("\1", "").replace("\2", "").strip("\n" if self.pre else None)
 
-    def _flush(self, tag: str = "", mark: str = "") -> None:
-        if self.cells is not None:
-            if tag not in ("td", "th") and self.text and self.text[-1] != " ":
-                self.text.append(" ")
-            return
+    def _flush(self, tag: str = "", mark: str = "", a: dict | None = None) -> None:
         text = self._take()
         if not text:
             return
-        names = [x.split("\0")[0] for x in self.open] + [tag]
+        names = [*self._names(), tag]
+        bound = max((k for k, n in enumerate(names) if n in ("td", "th", "caption")), default=-1)
+        names = names[bound + 1 :] if bound < len(names) - 1 else []
         head = next((n for n in reversed(names) if len(n) == 2 and n[0] == "h" and n[1].isdigit()), None)
         if self.pre:
-            self._emit("code", 0, text, mark)
+            self._emit("code", 0, f"{self.lang}\x1f{text}" if self.lang else text, mark)
         elif head:
+            self.heading = self.heading or (text.replace("\n", " ") if head == "h1" else None)
             self._emit("heading", int(head[1]), text.replace("\n", " "), mark)
-        elif "li" in names:
-            self._emit("item", max(sum(n in ("ul", "ol") for n in names) - 1, 0), text.replace("\n", " "), mark)
+        elif "li" in names and self.numbers:
+            level = sum(1 if n is None else 2 for n in self.numbers[:-1])
+            if self.numbers[-1] is None:
+                self._emit("item", level, text.replace("\n", " "), mark)
+            else:
+                self._emit("ordered", level, f"{self.numbers[-1]}. " + text.replace("\n", " "), mark)
+                self.numbers[-1] += 1
         elif "blockquote" in names:
             self._emit("quote", 0, text, mark)
         else:
             self._emit("paragraph", 0, text.replace("\n", "  \n"), mark)
 
     def _emit(self, kind, level, text, mark):
-        if mark == "chrome" or any(x.endswith("\0chrome") for x in self.open):
+        if mark == "chrome" or any(x[1] == "chrome" for x in self.open):
             kind = "chrome"
-        elif any(x in ("article", "main") for x in self.open):
+        elif any(x[0] in ("article", "main") for x in self.open):
             level = level + 100
-        self.out.append((kind, level, text))
+        self.sinks[-1].append((kind, level, text))
+
+    # -- about the page
+    def _ld_text(self, key: str) -> str | None:
+        return next((d[key].strip() for d in self.ld if isinstance(d.get(key), str) and d[key].strip()), None)
+
+    def _site(self) -> str | None:
+        return self.meta.get("og:site_name") or self.meta.get("application-name")
+
+    def _page_title(self) -> str | None:
+        comparable = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+        social = self.meta.get("og:title") or self.meta.get("twitter:title")
+        headline, heading = self._ld_text("headline"), comparable(self.heading)
+        titles = [comparable(t) for t in (self.title, social) if comparable(t)]
+        related = lambda x, y: x in y or y in x
+        h = comparable(headline)
+        if h and heading and any(related(heading, t) for t in titles) and not related(h, heading) and not any(related(h, t) for t in titles):
+            headline = None  # it describes the page instead of naming it
+        clean = lambda x: clean_title(x, self._site())
+        title = next((t for x in (headline, self._ld_text("name"), self.title, social) if x and (t := clean(x))), None)
+        if title and title.endswith(("…", "...")):
+            stem = title.removesuffix("…").removesuffix("...").rstrip()
+            longer = [t for x in (self.title, social) if x and (t := clean(x)) and not t.endswith(("…", "...")) and len(t) > len(title) and t.startswith(stem)]
+            title = longer[0] if longer else title
+        for x in (headline, self.heading):
+            if title and x and title.startswith(" ".join(x.split()) + " | "):
+                return " ".join(x.split())
+        return title
+
+    def _author(self) -> str | None:
+        address = lambda x: x.startswith("//") or ("://" in x and not re.search(r"\s", x))
+
+        def names(value, follow=True):
+            if isinstance(value, str):
+                return [" ".join(value.split())] if value.strip() and not address(value.strip()) else []
+            if isinstance(value, dict):
+                if isinstance(value.get("name"), str):
+                    return names(value["name"])
+                return next((names(d, False) for d in self.ld if follow and value.get("@id") and d.get("@id") == value["@id"]), [])
+            if isinstance(value, list):
+                person = lambda v: isinstance(v, dict) and "Person" in (v.get("@type") if isinstance(v.get("@type"), list) else [v.get("@type")])
+                some = [v for v in value if person(v)] or value
+                return list(dict.fromkeys(n for v in some for n in names(v, follow)))
+            return []
+
+        own = self.meta.get("author")
+        if own and not address(own):
+            return own
+        found = next((n for d in self.ld if (n := names(d.get("author")))), [])
+        other = self.meta.get("article:author")
+        return ", ".join(found) or (other if other and not address(other) else None)
+
+    def about(self) -> Iterator[tuple[str, int, str]]:
+        if title := self._page_title():
+            yield "title", 0, title
+        publisher = next((d["publisher"] for d in self.ld if d.get("publisher")), None)
+        publisher = publisher.get("name") if isinstance(publisher, dict) else publisher
+        canonical = self.meta.get("canonical")
+        if canonical and urlsplit(self.base).path.strip("/") and not urlsplit(canonical).path.strip("/"):
+            canonical = None  # a home page is not the name of a deeper one
+        found = {
+            "author": self._author(), "site": self._site() or (publisher if isinstance(publisher, str) else None),
+            "published": self.meta.get("article:published_time") or self._ld_text("datePublished") or self.time,
+            "description": next((self.meta[k] for k in ("description", "og:description", "twitter:description") if k in self.meta), None), "canonical": canonical,
+        }
+        for key, value in found.items():
+            if value:
+                yield "meta", 0, f"{key}\x1f{value}"
+
+
+def clean_title(text: str, site: str | None) -> str | None:
+    """A title without the site's name before or behind it, cut at a word beyond 300 characters."""
+    title, site = " ".join(text.split()), " ".join((site or "").split())
+    changed = bool(site)
+    while changed:
+        before = title
+        for s in SEPARATORS:
+            title = title.removesuffix(s + site).removeprefix(site + s)
+        changed = title != before
+    if len(title) > 300:
+        title = title[:300]
+        title = (title[: title.rfind(" ")] if title.rfind(" ") > 0 else title) + "…"
+    return title or None
 
 
 def page_blocks(html: str, url: str | None) -> Iterator[tuple[str, int, str]]:
@@ -197,17 +477,27 @@ def page_blocks(html: str, url: str | None) -> Iterator[tuple[str, int, str]]:
     while parser.open:
         parser._end(parser.open.pop())
     parser._flush()
-    yield from parser.out
+    yield from parser.about()
+    for sink in parser.sinks:
+        yield from sink
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Blocks of pages without chrome. Where an article or main element holds three fifths of a page's text or more, only
-    its blocks stay; nulls give no block."""
-    raw = B.read(pages, key, html, page_blocks, url)
+    its blocks stay; nulls give no block. Each page is parsed once, and one shuffle by key serves all that follows."""
     inner = F.col("level") >= 100
     shown = ~F.col("kind").isin("title", "meta", "warning", "error", "chrome")
-    size = F.length("text")
-    mass = raw.groupBy("key").agg((F.sum(F.when(shown & inner, size).otherwise(0)) * 5 >= F.sum(F.when(shown, size).otherwise(0)) * 3).alias("article"))
-    kept = raw.filter("kind <> 'chrome'").join(mass, "key").filter(~shown | inner | ~F.col("article"))
+    size, page = F.length("text"), Window.partitionBy("key")
+    mass = lambda x: F.sum(F.when(x, size).otherwise(0)).over(page)
+    raw = B.read(pages, key, html, page_blocks, url).withColumn("__article", mass(shown & inner) * 5 >= mass(shown) * 3)
+    kept = raw.filter((F.col("kind") != "chrome") & (~shown | inner | ~F.col("__article")))
     level = F.when(inner, F.col("level") - 100).otherwise(F.col("level")).cast("int")
     return kept.select("key", "pos", "kind", level.alias("level"), "text")
+
+
+def metadata(blocks: DataFrame) -> DataFrame:
+    """key, title, author, site, published, description and canonical address of each page; null where it names none."""
+    value = F.split_part("text", F.lit("\x1f"), F.lit(2))
+    named = lambda k: F.max(F.when((F.col("kind") == "meta") & F.col("text").startswith(k + "\x1f"), value)).alias(k)
+    title = F.max(F.when(F.col("kind") == "title", F.col("text"))).alias("title")
+    return blocks.groupBy("key").agg(title, *[named(k) for k in ("author", "site", "published", "description", "canonical")])
