@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -110,20 +111,28 @@ def periodic_tail(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else tail_unit(x))
 
 
+TAIL_BYTES = 256 << 10
+
+
 def tail_unit(text: str, least: int = 16, copies: int = 6) -> str | None:
-    data = text.rstrip().encode()[-(256 << 10) :][::-1]
-    n = len(data)
-    fall = [0] * n  # prefix function of the reversed text: periods of its prefixes are periods of the text's tail
-    best = None
-    for k in range(1, n):
-        j = fall[k - 1]
-        while j and data[k] != data[j]:
-            j = fall[j - 1]
-        fall[k] = j + (data[k] == data[j])
-        period = k + 1 - fall[k]
-        if period >= least and (k + 1) >= period * copies:
-            best = (k + 1, period)
-    if best is None:
+    """The unit that repeats at a text's end. It is looked for in the last TAIL_BYTES, where `copies` of it must fit: what
+    repeats in longer units is no loop of a generator. A period is where the tail's last bytes stand once more."""
+    data = text.rstrip().encode()[-TAIL_BYTES:][::-1]
+    n, x = len(data), np.frombuffer(data, np.uint8)
+
+    def run(period: int) -> int:
+        differ = np.flatnonzero(x[:-period] != x[period:])
+        return period + (int(differ[0]) if len(differ) else n - period)
+
+    best, short = (0, 0), max((run(p) for p in range(1, min(least, n))), default=0)
+    at = data.find(data[:least], least) if n >= least * copies else -1
+    while 0 < at <= n // copies:
+        size = run(at)
+        if size >= at * copies and size > best[0]:
+            best = (size, at)
+        # periods that end within a run are multiples of its own
+        at = data.find(data[:least], max(at + 1, size - at if size >= at * copies else 0))
+    if best[0] <= max(short, 0) or not best[1]:
         return None
     unit = data[: best[1]][::-1].decode("utf-8", "ignore")
     solid = [c for c in unit if not c.isspace()]

@@ -130,14 +130,33 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda s, c: s - count(c) * F.log2(count(c)))
 
 
+#: Device names that no file may have, and the bytes of a name.
+DEVICES = "(?i)^(?:con|prn|aux|nul|conin\\$|conout\\$|(?:com|lpt)[0-9¹²³]) *(?:\\.|$)"
+NAME_BYTES = 180
+
+
+def left_bytes(text: Column, n: Column) -> Column:
+    """The longest beginning of a text that has at most n bytes in UTF-8."""
+    cut = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), n), "UTF-8")
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it stands in the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def file_name(text: Column, fallback: str = "unnamed") -> Column:
     """One safe file name: reserved characters become underscores, outer spaces and dots go, devices get a prefix, and
-    what is longer than 180 ASCII characters is cut before its extension."""
-    clean = F.regexp_replace(text, "[\\x00-\\x1F\\x7F-\\x9F<>:\"/\\\\|?*]", "_")
-    clean = F.regexp_replace(clean, "^[ .]+|[ .]+$", "")
-    clean = F.when(clean == "", F.lit(fallback)).otherwise(clean)
-    device = clean.rlike("(?i)^(?:con|prn|aux|nul|conin\\$|conout\\$|(?:com|lpt)[0-9¹²³]) *(?:\\.|$)")
-    clean = F.when(device, F.concat(F.lit("_"), clean)).otherwise(clean)
-    ext = F.regexp_extract(clean, "^.+(\\.[^.]{1,89})$", 1)
-    cut = F.concat(F.left(clean, F.lit(180) - F.length(ext)), ext)
-    return F.when(F.octet_length(clean) > 180, F.regexp_replace(cut, "[ .]+$", "")).otherwise(clean)
+    what is longer than 180 bytes of UTF-8 is cut before its extension."""
+
+    def shortened(name: Column) -> Column:
+        ext = F.regexp_extract(name, "^.+(\\.[^.]{1,89})$", 1)
+        stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+        cut = F.concat(left_bytes(stem, F.lit(NAME_BYTES) - F.octet_length(ext)), ext)
+        return F.when(F.octet_length(name) > NAME_BYTES, F.regexp_replace(cut, "[ .]+$", "")).otherwise(name)
+
+    clean = F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x1F\\x7F-\\x9F<>:\"/\\\\|?*]", "_"), "^[ .]+|[ .]+$", "")
+    clean = F.coalesce(F.nullif(clean, F.lit("")), F.when(text.isNotNull(), F.lit(fallback)))
+    clean = let(clean, lambda c: F.when(c.rlike(DEVICES), F.concat(F.lit("_"), c)).otherwise(c))
+    return let(clean, shortened)

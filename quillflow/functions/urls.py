@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import entropy, file_name
+from .text import entropy, file_name, let
 
 #: Words that make a parameter secret wherever they stand in its name, and whole names or parts that do.
 SECRET_ANYWHERE = "token|key|secret|password|signature|credential"
@@ -57,14 +57,26 @@ def secret_parameter(name: Column) -> Column:
     return F.lower(name).rlike(SECRET_ANYWHERE) | s.rlike(f"^(?:{SECRET_WHOLE})$") | part | api
 
 
+def form_pairs(text: Column) -> Column:
+    """Parameters of a form-encoded text as array<struct<k, v>>, decoded; what does not decode stays as written."""
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    parts = F.filter(F.split(text, "&"), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(plain(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), plain(F.regexp_extract(p, "^[^=]*=((?s).*)$", 1)).alias("v")))
+
+
+def redacted_form(text: Column) -> Column:
+    """A form-encoded text; if one of its parameters is secret, all are encoded anew and the secret values are REDACTED."""
+    found = form_pairs(text)
+    spelt = F.transform(found, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.when(secret_parameter(p["k"]), F.lit("REDACTED")).otherwise(F.url_encode(p["v"]))))
+    return F.when(F.exists(found, lambda p: secret_parameter(p["k"])), F.array_join(spelt, "&")).otherwise(text)
+
+
 def redact(url: Column) -> Column:
-    """Without userinfo; if a query parameter is secret, every parameter is spelt anew and its value is REDACTED."""
+    """Without userinfo, and without the values of secret parameters of the query and of a form-like fragment."""
     bare = F.regexp_replace(url, "^((?i:https?)://)[^/?#@]*@", "$1")
-    found = pairs(url)
-    secret = F.exists(found, lambda p: secret_parameter(p["k"]))
-    spelt = F.transform(found, lambda p: F.concat(p["k"], F.lit("="), F.when(secret_parameter(p["k"]), F.lit("REDACTED")).otherwise(p["v"])))
-    before, after = F.regexp_extract(bare, "^([^?#]*)", 1), F.regexp_extract(bare, "(#.*)$", 1)
-    return F.when(secret, F.concat(before, F.lit("?"), F.array_join(spelt, "&"), after)).otherwise(bare)
+    before, query, fragment = (F.regexp_extract(bare, p, 1) for p in ("^([^?#]*)", "^[^?#]*\\?([^#]*)", "#((?s).*)$"))
+    with_query = F.when(bare.rlike("^[^?#]*\\?"), F.concat(F.lit("?"), redacted_form(query))).otherwise("")
+    return F.concat(before, with_query, F.when(F.contains(bare, F.lit("#")), F.concat(F.lit("#"), redacted_form(fragment))).otherwise(""))
 
 
 def output_name(url: Column) -> Column:
@@ -72,17 +84,21 @@ def output_name(url: Column) -> Column:
     place = F.regexp_replace(F.regexp_replace(authority(url), ":", "_"), "\\.", "_")
     path = F.regexp_extract(url, "^(?i:https?)://[^/?#]*([^?#]*)", 1)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    last = F.element_at(segments, -1)
-    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(last, "\\+", "%2B")), last)
     named = F.filter(pairs(url), lambda p: F.lower(p["k"]).rlike(IDENTIFIES))
     clean = lambda v: F.substring(F.regexp_replace(F.regexp_replace(v, "[^\\p{L}\\p{N}_.]+", "-"), "^[-.]+|[-.]+$", ""), 1, 64)
     identity = F.get(F.filter(F.transform(named, lambda p: clean(p["v"])), lambda v: v != ""), F.lit(0))
-    queried = F.instr(url, "?") > 0
-    with_path = F.when(identity.isNotNull() & ~F.contains(decoded, identity), F.concat_ws("_", place, decoded, identity)).otherwise(F.concat_ws("_", place, decoded))
-    raw = F.when(F.size(segments) > 0, F.when(queried, with_path).otherwise(decoded)).otherwise(
-        F.when(identity.isNotNull(), F.concat_ws("_", place, identity)).otherwise(place)
-    )
-    return file_name(raw)
+    last = F.try_element_at(segments, F.lit(-1))
+    known = F.struct(place.alias("place"), last.alias("last"), identity.alias("identity"), (F.instr(url, "?") > 0).alias("queried"))
+
+    def raw(k: Column) -> Column:
+        def with_path(decoded: Column) -> Column:
+            more = F.when(k["identity"].isNotNull() & ~F.contains(decoded, k["identity"]), k["identity"])
+            return F.when(k["queried"], F.concat_ws("_", k["place"], decoded, more)).otherwise(decoded)
+
+        decoded = F.coalesce(F.try_url_decode(F.regexp_replace(k["last"], "\\+", "%2B")), k["last"])
+        return F.when(k["last"].isNotNull(), let(decoded, with_path)).otherwise(F.concat_ws("_", k["place"], k["identity"]))
+
+    return let(let(known, raw), lambda name: file_name(name))
 
 
 def is_opaque(segment: Column) -> Column:

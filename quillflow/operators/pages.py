@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 STRUCTURE = "^[#!\\[\\-*|>`~<]"
@@ -84,3 +84,30 @@ def table_warnings(docs: DataFrame, key: str, text: str) -> DataFrame:
     first = Window.partitionBy("key", "table").orderBy("pos")
     sized = tables.withColumn("cells", cells).withColumn("expected", F.first("cells").over(first))
     return sized.filter("cells <> expected").select("key", "pos", "cells", "expected")
+
+
+def header_text(page: Column) -> Column:
+    """What a page's first block says if it may be a running header: one plain line of 8 to 160 characters, its emphasis and
+    the page number at either end aside; null otherwise."""
+    block = F.trim(F.element_at(F.split(F.regexp_replace(page, "^\\s+", ""), "\n\n", 2), 1))
+    structure = block.rlike("\n|^[#|>`!<\\[]|^[-*+] |^[0-9]+[.)]")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(block, "\\*|</?u>|\\\\", ""), "\\s+", " "))
+    core = F.regexp_replace(plain, "^[0-9\\s|·•–—/-]+|[0-9\\s|·•–—/-]+$", "")
+    return F.when(~structure & F.length(core).between(8, 160) & core.rlike("\\p{L}"), core)
+
+
+def running_headers(pages: DataFrame, book: str, page: str, text: str) -> DataFrame:
+    """book, page and header of the pages that open with what opens over half of their book's pages, three at least.
+
+    Positions on the page are not known here: what must stand in its top band is taken from the order of the text alone."""
+    keyed = pages.select(book, page, (F.trim(text) != "").alias("__text"), header_text(F.col(text)).alias("header"))
+    sized = keyed.groupBy(book).agg(F.count_if("__text").alias("__pages"))
+    counts = keyed.filter("header is not null").groupBy(book, "header").agg(F.count("*").alias("__n"))
+    enough = counts.join(sized, book).filter("__n >= 3 and __n * 2 > __pages").select(book, "header")
+    return keyed.join(enough, [book, "header"]).select(book, page, "header")
+
+
+def layout_percentiles(boxes: DataFrame, page: str, size: str) -> DataFrame:
+    """Median, 90th and 95th percentile of a measure of each page's boxes."""
+    at = lambda p: F.percentile(F.col(size), p)
+    return boxes.groupBy(page).agg(F.median(size).alias("median"), at(0.9).alias("p90"), at(0.95).alias("p95"))

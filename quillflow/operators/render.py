@@ -44,17 +44,17 @@ def okf(meta: Column, by: str, at: Column) -> Column:
 
 
 def envelope(items: DataFrame, order: str, version: int = 1) -> DataFrame:
-    """One JSON document per batch (column `batch`): version, ok, error, batch, items in order, totals."""
-    item = F.struct(*[F.col(c) for c in items.columns if c != "batch"])
-    failed, n = F.count_if(F.col("status") == "failed"), F.count("*")
-    body = items.groupBy("batch").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), item.alias("x")))).alias("xs"),
-        F.struct(n.alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "skipped").alias("skipped"), failed.alias("failed")).alias("totals"),
-    )
+    """The JSON lines of each batch (column `batch`): first one with version, ok, error and totals (`order` null), then one
+    for each item. A batch may have any number of items; no row holds them all."""
+    n, failed = F.count("*"), F.count_if(F.col("status") == "failed")
+    counts = [n.alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("completed", "skipped")], failed.alias("failed")]
+    totals = items.groupBy("batch").agg(F.struct(*counts).alias("totals"))
     ok = F.col("totals.failed") == 0
-    error = F.when(ok, F.lit(None).cast("string")).otherwise(F.concat(F.col("totals.failed").cast("string"), F.lit(" items failed")))
-    json = F.to_json(F.struct(F.lit(version).alias("version"), ok.alias("ok"), error.alias("error"), F.col("batch"), F.transform("xs", lambda s: s["x"]).alias("items"), "totals"), {"ignoreNullFields": "false"})
-    return body.select("batch", json.alias("envelope"))
+    error = F.when(~ok, F.concat(F.col("totals.failed").cast("string"), F.lit(" items failed")))
+    spell = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("line")
+    nothing = F.lit(None).cast(items.schema[order].dataType).alias(order)
+    head = totals.select("batch", nothing, spell(F.lit(version).alias("version"), ok.alias("ok"), error.alias("error"), F.col("batch"), F.col("totals")))
+    return head.unionByName(items.select("batch", order, spell(*[F.col(c) for c in items.columns if c != "batch"])))
 
 
 def merge_images(old: DataFrame, new: DataFrame, key: str = "asset") -> DataFrame:

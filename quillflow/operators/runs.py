@@ -56,17 +56,33 @@ def per_minute(calls: DataFrame, route: str, at: str, value: str) -> DataFrame:
     return calls.groupBy(F.col(route).alias("route"), minute.alias("minute")).agg(F.count("*").alias("calls"), F.round(F.sum(value), 4).alias("total"))
 
 
-def strategy_order(private: Column, credentialed: Column, learnt: Column, hops: int = 4) -> Column:
-    """Fetch strategies in order: static first unless the route is known to need a browser; remote ones never see private or
-    credentialed addresses."""
-    order = F.when(learnt, F.array(*map(F.lit, ("browser", "static", "remote_a", "remote_b")))).otherwise(
-        F.array(*map(F.lit, ("static", "browser", "remote_a", "remote_b")))
-    )
-    local = F.filter(order, lambda s: ~s.startswith("remote"))
-    return F.slice(F.when(private | credentialed, local).otherwise(order), 1, hops)
-
-
 def batches(frames: DataFrame, group: str, order: str, size: int = 10) -> DataFrame:
     """Adds `batch`: numbers of consecutive frames of a group, `size` to a batch."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     return frames.withColumn("batch", F.floor(n / size).cast("int"))
+
+
+def option_differences(saved: DataFrame, now: DataFrame, run: list[str], ignored: tuple[str, ...] = ("concurrency",)) -> DataFrame:
+    """run, option, difference: the options (option, value as JSON text) of each run that are not what they were."""
+    s, n = saved.withColumnRenamed("value", "__saved"), now.withColumnRenamed("value", "__now")
+    both = s.join(n, [*run, "option"], "full_outer").filter(~F.col("__saved").eqNullSafe(F.col("__now")) & ~F.col("option").isin(*ignored))
+    shown = lambda c: F.coalesce(c, F.lit("unset"))
+    said = F.concat("option", F.lit(" (saved "), shown(F.col("__saved")), F.lit(", now "), shown(F.col("__now")), F.lit(")"))
+    return both.select(*run, "option", said.alias("difference"))
+
+
+def usage_block(items: DataFrame, batch: str, url_list: bool) -> DataFrame:
+    """Items and tokens of each batch; of a URL list only completed items count."""
+    counted = items.filter("status = 'completed'") if url_list else items
+    return counted.groupBy(batch).agg(F.count("*").alias("items"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+def task_order(tasks: DataFrame, group: str, key: Column, order: list[str]) -> DataFrame:
+    """Adds `place` (from 1) within a group; of several tasks with one key the first in order stays."""
+    once = tasks.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__k = 1").drop("__k")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
+def numbered(parts: DataFrame, group: str, order: str) -> DataFrame:
+    """Adds `number`, from 0."""
+    return parts.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 MONEY = "decimal(38,12)"
+CATALOGUE = 100_000  # tariffs that are broadcast at most, some megabytes
 
 
 def merge_usage(ledger: DataFrame) -> DataFrame:
@@ -33,10 +34,12 @@ def quote(requests: DataFrame, tariffs: DataFrame) -> DataFrame:
     """Adds `cost_usd` from tariffs(model, low, high, input, output) in picodollars a token.
 
     The band is chosen by the prompt's tokens; between bands and for unknown models the cost stays null. Cached tokens are
-    part of the prompt and cost a tenth; batch requests cost half. Tariffs are a small catalogue (one row per model and
-    band), broadcast only while they are under Spark's own threshold.
+    part of the prompt and cost a tenth; batch requests cost half. Tariffs are a catalogue (one row per model and band) and
+    are broadcast after a count of them; a larger one meets the requests by model.
     """
     t = tariffs.select(F.col("model").alias("__model"), "low", "high", "input", "output")
+    if t.limit(CATALOGUE + 1).count() <= CATALOGUE:
+        t = F.broadcast(t)
     band = (F.col("model") == F.col("__model")) & F.col("prompt_tokens").between(F.col("low"), F.col("high"))
     joined = requests.join(t, band, "left")
     d = lambda c: F.col(c).cast("decimal(20,0)")

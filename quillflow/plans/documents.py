@@ -65,13 +65,25 @@ def rendered_pages(spark, sf_dir):
     return out.select("key", F.col("unique_name").alias("target"), "rendered")
 
 
-@query()
+@query("""
+WITH i AS (SELECT c_mktsegment AS batch, o_orderkey AS source, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'skipped' ELSE 'failed' END AS status FROM orders JOIN customer ON o_custkey = c_custkey),
+t AS (SELECT batch, count(*) AS n, count(*) FILTER (status = 'completed') AS c, count(*) FILTER (status = 'skipped') AS s, count(*) FILTER (status = 'failed') AS f FROM i GROUP BY 1)
+SELECT batch, source, '{"source":' || source || ',"status":"' || status || '"}' AS line FROM i
+UNION ALL SELECT batch, NULL, '{"version":1,"ok":' || CASE WHEN f = 0 THEN 'true,"error":null' ELSE 'false,"error":"' || f || ' items failed"' END
+  || ',"batch":"' || batch || '","totals":{"total":' || n || ',"completed":' || c || ',"skipped":' || s || ',"failed":' || f || '}}' FROM t
+""")
 def run_envelopes(spark, sf_dir):
     """Orders stand in for run items, customers' segments for batches."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "skipped").otherwise("failed")
     items = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(F.col("c_mktsegment").alias("batch"), F.col("o_orderkey").alias("source"), status.alias("status"))
-    return render.envelope(items, "source").select("batch", F.length("envelope").alias("characters"), F.get_json_object("envelope", "$.totals.total").cast("long").alias("total"))
+    return render.envelope(items, "source")
+
+
+@query()
+def page_metadata(spark, sf_dir):
+    """Title, author, site, date, description and canonical address of pages."""
+    return H.metadata(H.extract(table(spark, sf_dir, "pages")))
 
 
 @query()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as T, urls as U
+from ..functions import fields as X, text as T, urls as U
 from ..operators import caches, naming, pages, routing, runs, usage
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,19 +148,16 @@ def url_parts(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') || CASE WHEN page_id % 3 = 1 THEN '' WHEN contains(regexp_replace(url, '#.*$', ''), '?') THEN '&' ELSE '?' END || CASE page_id % 3 WHEN 0 THEN 'apiKey=abc' WHEN 1 THEN '' ELSE 'sessionToken=q1' END AS url FROM pages),
-q AS (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '') AS ps FROM p),
-s AS (SELECT page_id, url, list_transform(ps, lambda x: {'k': string_split(x, '=')[1], 'v': regexp_extract(x, '^[^=]*=(.*)$', 1)}) AS ps FROM q)
-SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN regexp_extract(url, '^([^?#]*)', 1) || '?' || array_to_string(list_transform(ps,
-  lambda x: x.k || '=' || CASE WHEN regexp_matches(lower(x.k), 'token|key|secret|password|signature|credential') THEN 'REDACTED' ELSE x.v END), '&') || regexp_extract(url, '(#.*)$', 1)
-  ELSE url END AS redacted FROM s
+WITH p AS (SELECT page_id, page_id % 5 AS k, 'https://' || regexp_extract(url, '^https?://([^?#]*)', 1) AS u FROM pages)
+SELECT page_id, u || CASE k WHEN 0 THEN '?a=b+c%26d&apiKey=REDACTED&e=' WHEN 1 THEN '?a=%7Eb&x=%2f' WHEN 2 THEN '#access_token=REDACTED&type=bearer' WHEN 3 THEN '?token=REDACTED#sec-2' ELSE '?q=1#part-two' END AS redacted FROM p
 """)
 def url_redaction(spark, sf_dir):
-    """Pages' URLs, two thirds of them with a secret parameter added."""
-    n = F.col("page_id") % 3
-    url = F.regexp_replace("url", "#.*$", "")
-    added = F.concat(url, F.when(n == 1, "").when(F.contains(url, F.lit("?")), "&").otherwise("?"), F.when(n == 0, "apiKey=abc").when(n == 1, "").otherwise("sessionToken=q1"))
-    return table(spark, sf_dir, "pages").select("page_id", U.redact(added).alias("redacted"))
+    """Pages' addresses with credentials before the host, and with secret parameters in the query, the fragment or nowhere."""
+    bare = F.regexp_extract("url", "^https?://([^?#]*)", 1)
+    more = F.element_at(
+        F.array(*map(F.lit, ("?a=b%20c%26d&apiKey=abc&e", "?a=%7Eb&x=%2f", "#access_token=abc.def&type=bearer", "?token=q#sec-2", "?q=1#part-two"))), (F.col("page_id") % 5 + 1).cast("int")
+    )
+    return table(spark, sf_dir, "pages").select("page_id", U.redact(F.concat(F.lit("https://me:secret@"), bare, more)).alias("redacted"))
 
 
 @query("""
@@ -251,39 +248,45 @@ def learnt_routes(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT p_partkey, p_brand AS name, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS k FROM part)
-SELECT p_partkey, CASE WHEN k > 1 THEN name || '.v' || k ELSE name END AS unique_name FROM n
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN upper(p_brand) || '.V' || (p_partkey % 9 + 1) ELSE p_brand END AS name FROM part),
+n AS (SELECT p_partkey, name, lower(name) AS base, row_number() OVER (PARTITION BY lower(name) ORDER BY p_partkey) AS k FROM p),
+free AS (SELECT base, v, row_number() OVER (PARTITION BY base ORDER BY v) AS j FROM (SELECT base, unnest(range(2, count(*) + 100)) AS v FROM n GROUP BY base) f
+  WHERE base || '.v' || v NOT IN (SELECT base FROM n))
+SELECT p_partkey, CASE WHEN k > 1 THEN name || '.v' || v ELSE name END AS unique_name FROM n LEFT JOIN free ON n.base = free.base AND free.j = n.k - 1
 """)
 def unique_names(spark, sf_dir):
-    return naming.unique_names(table(spark, sf_dir, "part"), "p_brand", ["p_partkey"]).select("p_partkey", "unique_name")
+    """Parts' brands as names; some rows already bear the name of a version."""
+    n = F.col("p_partkey")
+    name = F.when(n % 5 == 0, F.concat(F.upper("p_brand"), F.lit(".V"), (n % 9 + 1).cast("string"))).otherwise(F.col("p_brand"))
+    return naming.unique_names(table(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name", ["p_partkey"]).select("p_partkey", "unique_name")
 
 
 @query("""
-WITH e AS (SELECT lower(p_name) AS base FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
-SELECT p_partkey, 'write' AS action, CASE WHEN base IS NULL THEN p_name ELSE p_name || '.v2' END AS target FROM part LEFT JOIN e ON lower(p_name) = base
+WITH e AS (SELECT lower(p_name) || CASE p_partkey % 6 WHEN 0 THEN '.v7' ELSE '' END AS n FROM part WHERE p_partkey % 3 = 0),
+i AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 10 = 0 THEN '.v7' ELSE '' END AS name FROM part)
+SELECT p_partkey, 'write' AS action, CASE WHEN lower(name) NOT IN (SELECT n FROM e) THEN name WHEN lower(name) || '.v7' IN (SELECT n FROM e) THEN name || '.v8' ELSE name || '.v2' END AS target FROM i
 """)
 def output_plan(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    existing = part.filter("p_partkey % 3 = 0").select(F.col("p_name").alias("name"))
-    return naming.plan_outputs(part, existing, "p_name", "rename").select("p_partkey", "action", "target")
+    """A third of the parts' names exist, half of these only as a seventh version; some new names are such a version too."""
+    part, n = table(spark, sf_dir, "part"), F.col("p_partkey")
+    existing = part.filter("p_partkey % 3 = 0").select(F.concat("p_name", F.when(n % 6 == 0, ".v7").otherwise("")).alias("name"))
+    items = part.select("p_partkey", F.concat("p_name", F.when(n % 10 == 0, ".v7").otherwise("")).alias("new"))
+    return naming.plan_outputs(items, existing, "new", "rename").select("p_partkey", "action", "target")
 
 
 @query("""
-WITH t AS (SELECT page_id % 7 AS list_id, string_agg(CASE WHEN page_id % 5 = 0 THEN '# note' || chr(10) ELSE '' END || url || CASE WHEN page_id % 4 = 0 THEN ' "n' || page_id || '"' ELSE '' END, chr(10) ORDER BY page_id) AS body FROM pages GROUP BY 1),
+WITH t AS (SELECT page_id AS list_id, CASE WHEN page_id % 5 = 0 THEN '# note' || chr(10) ELSE '' END || url || CASE WHEN page_id % 4 = 0 THEN ' "n' || page_id || '"' ELSE '' END || chr(10) || url AS body FROM pages),
 l AS (SELECT list_id, trim(unnest(string_split(body, chr(10)))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS place FROM t),
 e AS (SELECT list_id, place, regexp_extract(line, '^(\\S+)', 1) AS url, nullif(trim(regexp_replace(regexp_extract(line, '^\\S+\\s+(.*)$', 1), '^[''"]|[''"]$', '', 'g')), '') AS name FROM l WHERE line <> '' AND line[1] <> '#'),
 k AS (SELECT *, row_number() OVER (PARTITION BY concat_ws(' ', url, name) ORDER BY list_id, place) AS k FROM e)
 SELECT list_id, CAST(place AS INT) AS place, url, name FROM k WHERE k = 1
 """)
 def url_lists(spark, sf_dir):
-    """URL lists of the pages' addresses, parsed and de-duplicated; the first of each address and name stays."""
-    p = table(spark, sf_dir, "pages")
-    line = F.concat(
-        F.when(F.col("page_id") % 5 == 0, "# note\n").otherwise(""), "url",
-        F.when(F.col("page_id") % 4 == 0, F.concat(F.lit(' "n'), F.col("page_id").cast("string"), F.lit('"'))).otherwise(""),
-    )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\n")
-    lists = p.groupBy((F.col("page_id") % 7).alias("list_id")).agg(body.alias("body"))
+    """A URL list of every page's address, with a note, a name and a second line here and there, parsed and de-duplicated; the
+    first of each address and name stays."""
+    n = F.col("page_id")
+    name = F.when(n % 4 == 0, F.concat(F.lit(' "n'), n.cast("string"), F.lit('"'))).otherwise("")
+    lists = table(spark, sf_dir, "pages").select(n.alias("list_id"), F.concat(F.when(n % 5 == 0, "# note\n").otherwise(""), "url", name, F.lit("\n"), "url").alias("body"))
     entries = naming.parse_url_list(lists, "list_id", "body")
     return naming.first_of_each(entries, F.concat_ws(" ", "url", "name"), ["list_id", "place"]).select("list_id", "place", "url", "name")
 
@@ -392,11 +395,12 @@ def routing_minutes(spark, sf_dir):
     return runs.per_minute(table(spark, sf_dir, "events"), "event_type", "ts", "value")
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN ['browser', 'static'] ELSE ['static', 'browser'] END
-  ELSE CASE WHEN page_id % 2 = 0 THEN ['browser', 'static', 'remote_a', 'remote_b'] ELSE ['static', 'browser', 'remote_a', 'remote_b'] END END AS strategies FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN ['playwright'] ELSE ['static', 'playwright'] END
+  WHEN page_id % 2 = 0 THEN ['playwright', 'defuddle', 'jina', 'cloudflare'] ELSE ['static', 'playwright', 'defuddle', 'jina'] END AS strategies FROM pages""")
 def fetch_strategies(spark, sf_dir):
-    n = F.col("page_id")
-    return table(spark, sf_dir, "pages").select("page_id", runs.strategy_order(n % 3 == 0, F.lit(False), n % 2 == 0).alias("strategies"))
+    n, no, none = F.col("page_id"), F.lit(False), F.lit(None).cast("string")
+    order = X.strategy_order(n % 3 == 0, no, n % 2 == 0, no, F.lit(True), F.array().cast("array<string>"), none, F.lit(True), F.lit(4))
+    return table(spark, sf_dir, "pages").select("page_id", order.alias("strategies"))
 
 
 @query("SELECT conv_id, turn, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS INT) AS batch FROM conversations")
@@ -514,7 +518,7 @@ def unpriced_warnings(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import documents  # noqa: F401  registers the queries that need Python functions
+    from . import documents, fields  # noqa: F401  they register their queries
 
     return dict(_queries)
 

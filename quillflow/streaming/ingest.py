@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,7 +28,9 @@ def convert_and_publish(pages: DataFrame, table: str, checkpoint: str, name: Cal
         named = name(once.select(F.col("page_id").cast("string").alias("key"), "url")).join(docs, "key")
         try:
             before = spark.read.parquet(table).filter(F.col("batch") != number).select(F.col("target").alias("name"))
-        except Exception:  # nothing is published yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise  # else nothing is published yet
             before = spark.createDataFrame([], "name string")
         planned = naming.plan_outputs(naming.unique_names(named, "name", ["key"]).withColumn("name", F.col("unique_name")), before, "name", "rename")
         planned.select("key", "url", "target", "markdown", "title", "word_count", "error").write.mode("overwrite").parquet(f"{table}/batch={number}")
