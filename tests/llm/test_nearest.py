@@ -37,6 +37,24 @@ def test_unequal_lengths(spark, monkeypatch, spread):
     assert recall(spark, v) >= 0.95
 
 
+def test_several_rotations(spark, monkeypatch):
+    """Buckets named by two rotations, as in a table of many millions; clustered vectors, whose neighbours are near."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(ann, "BUCKET", 4)
+    monkeypatch.setattr(ann, "CHUNK", 64)
+    assert ann.layout(4000, 32)[0] == 2
+    centres = unit(100, 32, rng)
+    v = centres[rng.integers(0, 100, 4000)] + 0.08 * rng.normal(size=(4000, 32))
+    assert recall(spark, v / np.linalg.norm(v, axis=1)[:, None]) >= 0.93
+
+
+def test_layout_keeps_buckets_small():
+    for n in (10**3, 10**6, 10**8, 10**10):
+        functions, last = ann.layout(n, 64)
+        buckets = 128 ** (functions - 1) * 2 * last
+        assert n <= 4096 * buckets and (functions == 1 or n > 1024 * buckets)
+
+
 def test_dimensions(spark):
     rng = np.random.default_rng(4)
     v = [*unit(60, 8, rng), np.ones(9), *unit(5, 3, rng)]
