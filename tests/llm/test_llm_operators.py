@@ -203,6 +203,12 @@ def test_mixing(docs, rows):
     found = out.join(docs.select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     for r in found:
         assert abs(r["target"] - target[r["source"]]) < 1e-6
+    taken = {}
+    for r in out.join(docs.select("doc_id", "text", "source").distinct(), "doc_id").collect():
+        if r["doc_id"] != 305:  # its rows are one to the join
+            taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    for s, t in target.items():  # what is open is less than the next rows of a source, here of at most 450 words
+        assert t - 200 <= taken.get(s, 0) <= t + 1
     assert out.filter("taken > 2 * size").count() == 0 and got(out, *out.columns) == got(mixing.mix_report(docs), *out.columns)
     mixed = mixing.mix(docs, F.array("source"))
     assert mixed.columns == docs.columns and mixing.n_words is not None
@@ -216,6 +222,33 @@ def test_mixing_overlapping_sources():
     assert twice == {(0, "a"): 15, (1, "b"): 20}
 
 
+def test_mixing_of_arrays_of_sources(spark):
+    """Documents of one and of two sources, end to end: every source comes near its quota, no document is used over twice."""
+    rng = random.Random(8)
+    data = [(k, " ".join(["w"] * rng.randint(1, 9)), rng.choice([["a"], ["b"], ["a", "b"], ["c"], ["b", "a", "a"]])) for k in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, tags array<string>")
+    mixed = mixing.mix(df, F.col("tags"), weights=(1, 1, 2), share=1.2)
+    words = sum(len(t.split()) for _, t, _ in data)
+    uses = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    size = {k: len(t.split()) for k, t, _ in data}
+    c = sum(size[k] for k, _, s in data if s == ["c"])
+    of_c = sum(size[k] * uses.get(k, 0) for k, _, s in data if s == ["c"])
+    assert max(uses.values()) <= 2 and of_c == 2 * c  # its share is more than twice its words
+    rest = sum(size[k] * uses.get(k, 0) for k, _, s in data if s != ["c"])
+    assert abs(rest - (1.2 * words - 2 * c)) <= 12
+
+
+def test_flow_of_many_sources():
+    rng = random.Random(2)
+    patterns = [((f"s{k}",), rng.randint(1, 99)) for k in range(3000)] + [((f"s{rng.randrange(1500)}", f"s{1500 + rng.randrange(1500)}"), rng.randint(1, 99)) for _ in range(3000)]
+    flow = mixing.route(patterns, {f"s{k}": 60 for k in range(3000)}, 2)
+    used, got_ = {}, {}
+    for (k, s), v in flow.items():
+        used[k], got_[s] = used.get(k, 0) + v, got_.get(s, 0) + v
+    assert all(v <= 2 * patterns[k][1] for k, v in used.items()) and all(v <= 60 for v in got_.values())
+    assert sum(got_.values()) > 0.9 * 60 * 3000
+
+
 def test_byte_bpe(docs, rows):
     import public_tokenizers
     import tiktoken
