@@ -101,17 +101,21 @@ def _spread(bits: int, tables: int):
 
 
 def near_pairs(fps: np.ndarray, n: np.ndarray, label: np.ndarray, first: np.ndarray, last: np.ndarray, most: int, similarity: float):
-    """Positions (i, j), first[i] <= j < last[i], of nodes with different labels that may be similar, the first `most` of each
-    i, and the positions that have more."""
+    """Positions (i, j), first[i] <= j < last[i], of nodes with different labels that may be similar, at most `most` of each i,
+    and the positions that have more. Where last[i] is i, the 64 around i are searched before those from first[i] on: links
+    then run to the first near node of every 64 and from there to the first of all, not along a chain."""
     _, coarse, fine = limits(similarity)
     planes, one = planes_of(fps[0]), np.uint64(1)
     found, more = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
     pairs = [np.zeros((2, 0), np.int64)]
     live = np.flatnonzero(first < last)
-    word = first[live] >> 6
+    home = last[live] == live
+    stop = np.where(home, last[live] >> 6, -(-last[live] // 64))  # its own 64 come first
+    word = np.where(home, last[live] >> 6, first[live] >> 6)
     while len(live):
         lo, hi = np.maximum(first[live] - (word << 6), 0), np.minimum(last[live] - (word << 6), 64)
-        lanes = (~np.uint64(0) << lo.astype(np.uint64)) & (~np.uint64(0) >> (64 - hi).astype(np.uint64))
+        lanes = (~np.uint64(0) << lo.astype(np.uint64)) & (~np.uint64(0) >> (64 - np.maximum(hi, 1)).astype(np.uint64))
+        lanes = np.where(lo < hi, lanes, np.uint64(0))
         for at in range(0, len(live), 1 << 14):
             part = slice(at, at + (1 << 14))
             hit = within(planes, fps[0][live[part]], word[part], lanes[part], coarse)
@@ -127,9 +131,10 @@ def near_pairs(fps: np.ndarray, n: np.ndarray, label: np.ndarray, first: np.ndar
             pairs.append(np.stack([i, j])[:, rank < most])
             more[i[rank >= most]] = True
             found += np.bincount(i, minlength=len(n))
-        word += 1
-        go_on = ((word << 6) < last[live]) & ~more[live]
-        live, word = live[go_on], word[go_on]
+        word = np.where(home, first[live] >> 6, word + 1)
+        home = np.zeros(len(live), bool)
+        go_on = (word < stop) & ~more[live]
+        live, word, home, stop = live[go_on], word[go_on], home[go_on], stop[go_on]
     return *np.concatenate(pairs, axis=1), more
 
 
@@ -143,11 +148,11 @@ def _meet(most: int, similarity: float):
         new[1:] = (bucket[1:] != bucket[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         cut = np.flatnonzero(new)
         length = np.diff(np.append(cut, size))
-        start, end = np.repeat(cut, length), np.repeat(cut + length, length)
+        start = np.repeat(cut, length)
         targets = np.repeat(np.add.reduceat((probe < 1).astype(np.int64), cut), length)
-        # 0: meets those that follow; 1: only meets others' targets; -1: is only a target
-        first = np.where(probe == 0, np.arange(1, size + 1), start)
-        last = np.where(probe == 0, end, np.where(probe == 1, start + targets, start))
+        # 0: meets those before it; 1: only meets others' targets; -1: is only a target
+        last = np.where(probe == 0, np.arange(size), np.where(probe == 1, start + targets, start))
+        first = start
         i, j, more = near_pairs(np.stack(fps).view(np.uint64), n, label, first, last, most, similarity)
         x, y = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         again = np.unique(bucket[more])
