@@ -125,6 +125,76 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def fnmatch_pattern(glob: str) -> str:
+    """A shell pattern as a regular expression; slashes are ordinary characters, braces stand for themselves."""
+    out, k = "", 0
+    while k < len(glob):
+        c, end = glob[k], glob.find("]", k + 2)
+        if c == "[" and end > 0:
+            own = glob[k + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            out, k = out + "[" + ("^" + own[1:] if own[0] == "!" else own) + "]", end
+        else:
+            out += ".*" if c == "*" else "." if c == "?" else c if c.isalnum() or c in "_/" else "\\" + c
+        k += 1
+    return f"^(?s:{out})$"
+
+
+def lower_authority(url: Column) -> Column:
+    """An address with its scheme and authority in lower case."""
+    head = F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return F.concat(F.lower(head), F.substring(url, F.length(head) + 1, F.length(url)))
+
+
+def matches_patterns(url: Column, patterns: list[str]) -> Column:
+    """Whether a shell pattern matches the address (with or without its scheme), its host with or without the port, or its last
+    path segment. A leading `**/` may match nothing."""
+    whole = lower_authority(url)
+    rest = F.regexp_replace(whole, "^[a-z][a-z0-9+.-]*://", "")
+    authority_ = F.regexp_extract(rest, "^([^/?#]*)", 1)
+    name = F.regexp_replace(F.regexp_replace(authority_, "^.*@", ""), ":[0-9]*$", "")
+    path = F.regexp_replace(F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*([^?#]*)", 1), "/+$", "")
+    last = F.regexp_extract(path, "([^/]*)$", 1)
+    found = F.lit(False)
+    for pattern in filter(None, map(str.strip, patterns)):
+        for variant in {pattern, pattern.removeprefix("**/")}:
+            head, sep, tail = variant.partition("://")
+            host_end = next((k for k, c in enumerate(tail or head) if c in "/?#"), len(tail or head))
+            folded = (head.lower() + sep + tail[:host_end].lower() + tail[host_end:]) if sep else head[:host_end].lower() + head[host_end:]
+            found = found | whole.rlike(fnmatch_pattern(folded)) | rest.rlike(fnmatch_pattern(folded))
+            found = found | authority_.rlike(fnmatch_pattern(variant.lower())) | name.rlike(fnmatch_pattern(variant.lower())) | last.rlike(fnmatch_pattern(variant))
+    return found
+
+
+def ipv4(text: Column) -> Column:
+    """An IPv4 literal as a number; null for anything else."""
+    parts = F.transform(F.split(F.when(text.rlike("^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$"), text), "\\."), lambda p: p.cast("long"))
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: s * 256 + p)
+    return F.when(F.forall(parts, lambda p: p <= 255), number)
+
+
+def bypasses_proxy(url: Column, rules: list[str]) -> Column:
+    """Whether a NO_PROXY list names the address's host: `*` every one, `.name` and `*.name` what is below a name, an IPv4 block
+    (a prefix length or a mask) its addresses, and anything else exactly itself. What is no rule is passed over."""
+    import ipaddress
+
+    h = F.regexp_replace(host(url), "\\.$", "")
+    number, found = ipv4(h), F.lit(False)
+    for rule in filter(None, map(str.strip, rules)):
+        if rule == "*":
+            return F.lit(True)
+        if "/" in rule:
+            try:
+                net = ipaddress.IPv4Network(rule, strict=False)
+            except ValueError:
+                continue
+            found = found | F.coalesce(number.between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
+        elif rule.startswith((".", "*.")) and "*" not in rule.removeprefix("*."):
+            found = found | h.endswith("." + rule.removeprefix("*.").removeprefix(".").lower())
+        elif not set("*:@?#<>%; ") & set(rule):
+            found = found | (h == rule.lower().rstrip("."))
+    return found
+
+
 #: Hosts of posts and their mirrors, and names that say a host is local.
 POST_HOSTS = "x\\.com|twitter\\.com|fxtwitter\\.com|vxtwitter\\.com|fixupx\\.com|fixvx\\.com|twittpr\\.com"
 LOCAL_NAMES = "^localhost$|\\.(?:localhost|local|internal|lan|home|corp)$"

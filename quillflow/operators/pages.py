@@ -111,3 +111,20 @@ def layout_percentiles(boxes: DataFrame, page: str, size: str) -> DataFrame:
     """Median, 90th and 95th percentile of a measure of each page's boxes."""
     at = lambda p: F.percentile(F.col(size), p)
     return boxes.groupBy(page).agg(F.median(size).alias("median"), at(0.9).alias("p90"), at(0.95).alias("p95"))
+
+
+def continued_tables(pages: DataFrame, book: str, page: str, text: str) -> DataFrame:
+    """book, page, owner and rows of every page that opens with the table the page before ends with, its header row repeated.
+
+    owner is the page where the table begins: pages that hold nothing else are passed over. rows are the lines that move there.
+    """
+    blocks = F.split(F.trim(F.regexp_replace(text, "^\\s+|\\s+$", "")), "\n\\s*\n")
+    table = lambda b: F.when(b.rlike("^\\|[^\n]*\\|[^\n]*\n\\|[ :|-]+\\|"), b)
+    header = lambda b: F.regexp_extract(table(b), "^([^\n]*)", 1)
+    cut = pages.select(book, page, F.element_at(blocks, 1).alias("__first"), F.element_at(blocks, -1).alias("__last"), F.size(blocks).alias("__n"))
+    order = Window.partitionBy(book).orderBy(page)
+    opens = cut.withColumn("__opens", F.coalesce(header(F.col("__first")) == F.lag(header(F.col("__last"))).over(order), F.lit(False)))
+    own = F.when(~(F.col("__opens") & (F.col("__n") == 1)), F.col(page))
+    owned = opens.withColumn("owner", F.max(own).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = F.slice(F.split("__first", "\n"), F.lit(3), F.size(F.split("__first", "\n")))
+    return owned.filter("__opens").select(book, page, "owner", rows.alias("rows"))

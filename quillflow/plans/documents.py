@@ -10,17 +10,21 @@ from ..sources import blocks as B, html as H
 from .registry import query, table
 
 
+def _converted(pages):
+    return B.assemble(B.without_empty_sections(B.without_repeats(H.extract(pages))))
+
+
 @query()
 def page_markdown(spark, sf_dir):
     """Pages as Markdown with title, words and error."""
-    return B.assemble(B.without_repeats(H.extract(table(spark, sf_dir, "pages"))))
+    return _converted(table(spark, sf_dir, "pages"))
 
 
 @query()
 def pages_by_domain(spark, sf_dir):
     """Per domain: pages, pages with content, words, and the longest title."""
     pages = table(spark, sf_dir, "pages")
-    docs = B.assemble(B.without_repeats(H.extract(pages)))
+    docs = _converted(pages)
     joined = pages.select(F.col("page_id").cast("string").alias("key"), U.host(F.col("url")).alias("domain")).join(docs, "key", "left")
     longest = F.max_by("title", F.struct(F.coalesce(F.length("title"), F.lit(0)), F.col("key")))
     return joined.groupBy("domain").agg(
@@ -58,7 +62,7 @@ def protected_literals(spark, sf_dir):
 def rendered_pages(spark, sf_dir):
     """Pages with front matter, under names that do not collide."""
     pages = table(spark, sf_dir, "pages")
-    docs = B.assemble(B.without_repeats(H.extract(pages)))
+    docs = _converted(pages)
     named = pages.select(F.col("page_id").cast("string").alias("key"), U.redact(F.col("url")).alias("source"), F.concat(U.output_name(F.col("url")), F.lit(".md")).alias("name"))
     joined = naming.unique_names(named.join(docs, "key"), "name", ["key"])
     out = render.render(joined, {"title": F.col("title"), "source": F.col("source")})

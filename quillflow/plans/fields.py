@@ -344,3 +344,40 @@ def terminal_texts(spark, sf_dir):
 @query("""SELECT page_id, regexp_matches(url, '^https?://(?:[^/?#]*\\.)?example\\.(?:com|net)(?:[/?#:]|$)') AS fallback FROM pages""")
 def fallback_domains(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.fallback_domain(F.col("url"), ["example.com", "example.net"]).alias("fallback"))
+
+
+@query("""
+SELECT page_id, regexp_matches(lower(url), '^https?://[^/?#]*example\\.net(?:[/?#]|$)') OR regexp_matches(url, '^https?://[^?#]*/[0-9]+[05]/?(?:[?#]|$)') OR lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) LIKE 'm.%' AS bypass FROM pages
+""")
+def cache_bypasses(spark, sf_dir):
+    """Addresses that a cache passes over: by whole address, by last segment, and by host."""
+    patterns = ["*://*EXAMPLE.net", "*://*example.net/*", "*example.net[?#]*", "**/*[0-9][05]", "m.*", " "]
+    return table(spark, sf_dir, "pages").select("page_id", U.matches_patterns(F.col("url"), patterns).alias("bypass"))
+
+
+@query("""
+WITH h AS (SELECT event_id, 'https://' || CASE event_id % 7 WHEN 0 THEN '10.' || event_id % 256 || '.3.4' WHEN 1 THEN 'Example.com' WHEN 2 THEN 'a.example.com' WHEN 3 THEN '192.168.' || event_id % 9 || '.1' WHEN 4 THEN 'corp.example' WHEN 5 THEN 'x.corp.example.' ELSE '300.1.1.1' END AS url FROM events)
+SELECT event_id, event_id % 7 = 2 OR event_id % 7 = 4 OR (event_id % 7 = 0 AND event_id % 256 BETWEEN 16 AND 31) OR (event_id % 7 = 3 AND event_id % 9 IN (4, 5)) AS bypass FROM h
+""")
+def proxy_bypasses(spark, sf_dir):
+    """Events stand in for requests, with names and addresses as hosts."""
+    n = F.col("event_id")
+    s = lambda x: x.cast("string")
+    h = pick(n, F.concat(F.lit("10."), s(n % 256), F.lit(".3.4")), "Example.com", "a.example.com", F.concat(F.lit("192.168."), s(n % 9), F.lit(".1")), "corp.example", "x.corp.example.", "300.1.1.1")
+    url = F.concat(F.lit("https://"), h, F.lit(":8443/p?q=1"))
+    rules = [".example.com", "10.16.0.0/12", "192.168.4.0/255.255.254.0", "CORP.example", "host:80", "<local>", "10.0.0.0/40"]
+    return table(spark, sf_dir, "events").select("event_id", U.bypasses_proxy(url, rules).alias("bypass"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, conv_id % 3 AS k, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)
+SELECT conv_id, turn, CASE WHEN k = 0 THEN first ELSE before END AS owner, ['|' || turn || '|x|', '|b|y|'] AS rows FROM p WHERE k < 2 AND before IS NOT NULL
+""")
+def table_continuations(spark, sf_dir):
+    """Turns stand in for pages: a table over whole pages, one that begins and ends amid other text, and tables of another header."""
+    t, k = F.col("turn").cast("string"), F.col("conv_id") % 3
+    head = F.when(k == 2, F.concat(F.lit("|Name|"), t, F.lit("|\n|---|---|\n|"))).otherwise("|Name|Count|\n|---|---|\n|")
+    part = F.concat(head, t, F.lit("|x|\n|b|y|"))
+    last = F.concat(head, F.lit("z|z|"))
+    page = F.when(k == 1, F.concat(part, F.lit("\n\nSome text.\n\n"), last)).otherwise(part)
+    return P.continued_tables(table(spark, sf_dir, "conversations").withColumn("md", page), "conv_id", "turn", "md")

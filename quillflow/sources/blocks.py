@@ -49,6 +49,23 @@ def without_repeats(blocks: DataFrame, least: int = 30) -> DataFrame:
     return marked.filter("not __same").drop("__aside", "__same")
 
 
+def without_empty_sections(blocks: DataFrame) -> DataFrame:
+    """Without headings that nothing stands under: no content before the next heading of their level or a higher one, or the
+    end. Headings over deeper ones go only if those do. The first heading stays if it is a title (level 1)."""
+    head, level = F.col("kind") == "heading", F.col("level")
+    content = ~F.col("kind").isin("heading", "title", "meta", "warning", "error", "chrome")
+    after = Window.partitionBy("key").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    first = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # running minima from the end: where content comes next, and a heading of each level or higher
+    marked = blocks.withColumn("__content", F.min(F.when(content, F.col("pos"))).over(after))
+    nexts = [F.min(F.when(head & (level <= k), F.col("pos"))).over(after).alias(f"__h{k}") for k in range(1, 7)]
+    marked = marked.select("*", *nexts, F.count_if(head).over(first).alias("__heads"))
+    until = F.element_at(F.array(*[F.col(f"__h{k}") for k in range(1, 7)]), F.least(F.greatest(level, F.lit(1)), F.lit(6)))
+    empty = F.col("__content").isNull() | F.coalesce(until < F.col("__content"), F.lit(False))
+    title = (level == 1) & (F.col("__heads") == 0)
+    return marked.filter(~(head & empty & ~title)).select(*blocks.columns)
+
+
 def table_rows(blocks: DataFrame) -> DataFrame:
     """Pads the rows of each table to its widest and adds the separator below the first. A row's cells are joined by U+001F."""
     per = Window.partitionBy("key", "__row", "level")

@@ -72,6 +72,8 @@ class Blocks(HTMLParser):
         self.table_count, self.lang, self.lazy, self.raw = 0, "", False, None
         self.depth_warned = False
         self.title, self.heading, self.meta, self.ld, self.time = None, None, {}, [], None
+        self.ids: set[str] = set()  # that headings have
+        self.contents: list[list] = []  # outermost lists: their blocks, fragments of links, whether anything else is said
 
     # -- element stack
     def _names(self) -> list[str]:
@@ -138,6 +140,8 @@ class Blocks(HTMLParser):
             self.sinks[0].append(("warning", 0, "elements nested deeper than 256 are read as text"))
         if self.skip:
             return
+        if any(len(n) == 2 and n[0] == "h" and n[1].isdigit() for n in (*names, tag)):
+            self.ids.update(x for x in (a.get("id"), a.get("name")) if x)
         if tag in ("pre", "code") or self.pre:
             self._language(a)
         if tag == "pre":
@@ -149,6 +153,9 @@ class Blocks(HTMLParser):
             self.tables[-1]["rows"].append((any(n == "thead" for n in names), []))
         elif tag in ("ol", "ul"):
             start = a.get("start", "")
+            if not self.numbers:
+                self.contents.append([[], False])
+                self.sinks.append([])
             self.numbers.append((int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1) if tag == "ol" else None)
         elif tag == "q":
             self.text.append("“")
@@ -202,6 +209,8 @@ class Blocks(HTMLParser):
             return
         if tag == "a" and self.links:
             href, at = self.links.pop()
+            if self.contents and self.numbers:
+                self.contents[-1][0].append(href.strip()[1:] if href.strip().startswith("#") else None)
             label = "".join(self.text[at:]).strip()
             if href and not href.lower().startswith(("javascript:", "data:")):
                 self.text[at:] = [f"[{label}]({urljoin(self.base, href)})"] if label else []
@@ -227,8 +236,17 @@ class Blocks(HTMLParser):
             self.lang = "" if not self.pre else self.lang
         elif tag in ("ol", "ul") and self.numbers:
             self.numbers.pop()
+            if not self.numbers and self.contents:
+                self._end_list(*self.contents.pop(), self.sinks.pop())
 
     # -- what is judged as a whole
+    def _end_list(self, fragments: list, other: bool, blocks: list) -> None:
+        """A list of three links or more that all lead into the page, and say nothing else, may be its table of contents:
+        whether they lead to headings is known at the page's end."""
+        if len(fragments) >= 3 and None not in fragments and not other:
+            blocks = [(f"{kind}\x1f" + "\x1f".join(fragments), level, text) for kind, level, text in blocks]
+        self.sinks[-1].extend(blocks)
+
     def _form(self, a: dict, blocks: list) -> None:
         """An entry box goes: a form of few words, or of some more if its names say what is entered."""
         words = sum(len(text.split()) for kind, _, text in blocks if kind != "chrome")
@@ -343,6 +361,8 @@ class Blocks(HTMLParser):
         elif names and names[-1] == "title" and "body" not in names:
             self.title = self.title or " ".join(data.split()) or None
         elif not self.skip:
+            if self.contents and self.numbers and not self.links and any(c.isalpha() for c in data):
+                self.contents[-1][1] = True
             self.text.append(data if self.pre else " ".join(data.split()).join((" " * data[:1].isspace(), " " * data[-1:].isspace())) if data.strip() else " ")
 
     def _take(self) -> str:
@@ -479,7 +499,10 @@ def page_blocks(html: str, url: str | None) -> Iterator[tuple[str, int, str]]:
     parser._flush()
     yield from parser.about()
     for sink in parser.sinks:
-        yield from sink
+        for kind, level, text in sink:
+            kind, *fragments = kind.split("\x1f")
+            if not fragments or not parser.ids.issuperset(fragments):
+                yield kind, level, text
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:

@@ -55,6 +55,23 @@ def test_page_metadata():
     assert about("<title>T</title><link rel=canonical href='/a/c'><meta name=author content='https://x.com/me'>") == {"title": "T", "canonical": "https://ex.com/a/c"}
 
 
+def test_tables_of_contents_go():
+    toc = "<ul><li><a href='#a'>A</a><li>2. <a href='#b'>B</a><ul><li><a href=#c>C</a></ul></ul>"
+    heads = "<h2 id=a>A</h2><p>x</p><h2><a name=b></a>B</h2><h3><span id=c>C</span></h3><p>y</p>"
+    assert [k for k, *_ in shown(toc + heads)] == ["heading", "paragraph", "heading", "heading", "paragraph"]
+    assert [k for k, *_ in shown(toc.replace("#c", "#other") + heads)].count("item") == 3
+    assert [k for k, *_ in shown(toc.replace("2. ", "See ") + heads)].count("item") == 3
+
+
+def test_empty_sections(spark):
+    rows = [("heading", 1, "T"), ("heading", 1, "gone"), ("heading", 2, "over"), ("heading", 3, "kept"), ("paragraph", 0, "x"), ("heading", 2, "gone"), ("heading", 3, "gone"),
+            ("heading", 2, "last"), ("row", 1, "a"), ("heading", 2, "gone")]
+    df = spark.createDataFrame([("k", n, *r) for n, r in enumerate(rows)] + [("e", 0, "heading", 2, "gone"), ("t", 0, "heading", 1, "T")], B.SCHEMA)
+    left = B.without_empty_sections(df)
+    assert left.filter("text = 'gone'").count() == 1 and left.count() == 8  # the second of level 1 has sections with content
+    assert left.filter("key = 't'").count() == 1
+
+
 def test_pages_are_parsed_once(spark, sf_dir):
     df = documents.page_markdown(spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
