@@ -48,7 +48,7 @@ def mail_fields(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.safe_header(v).alias("header"), X.link_label(v).alias("label"))
 
 
-@query("SELECT doc_id, length(replace(t, chr(173), '')) AS characters, sha256(replace(t, chr(173), '')) AS digest FROM (SELECT doc_id, replace(text, 'e', 'e' || chr(173)) AS t FROM documents)")
+@query("SELECT doc_id, CAST(length(replace(t, chr(173), '')) AS INT) AS characters, sha256(replace(t, chr(173), '')) AS digest FROM (SELECT doc_id, replace(text, 'e', 'e' || chr(173)) AS t FROM documents)")
 def soft_hyphens(spark, sf_dir):
     t = X.without_soft_hyphens(F.regexp_replace("text", "e", "e­"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("characters"), F.sha2(t, 256).alias("digest"))
@@ -219,7 +219,7 @@ def option_changes(spark, sf_dir):
     return runs.option_differences(side(0), side(1), ["run"], ("1-URGENT",))
 
 
-@query("""SELECT c_nationkey AS batch, count(*) AS items, sum(o_custkey) AS input_tokens, sum(o_orderkey) AS output_tokens FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1""")
+@query("""SELECT c_nationkey AS batch, count(*) AS items, CAST(sum(o_custkey) AS BIGINT) AS input_tokens, CAST(sum(o_orderkey) AS BIGINT) AS output_tokens FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1""")
 def usage_of_runs(spark, sf_dir):
     """Orders stand in for items of URL lists: only the completed ones count."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -231,7 +231,7 @@ def usage_of_runs(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT page_id, url, row_number() OVER (PARTITION BY lower(regexp_replace(url, '[?#].*$', '')) ORDER BY url, page_id) AS k FROM pages)
-SELECT page_id, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]*)', 1) ORDER BY url, page_id) AS place FROM t WHERE k = 1
+SELECT page_id, CAST(row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]*)', 1) ORDER BY url, page_id) AS INT) AS place FROM t WHERE k = 1
 """)
 def task_order(spark, sf_dir):
     """Addresses in the order in which they are shown, host by host, each once."""
@@ -240,7 +240,7 @@ def task_order(spark, sf_dir):
     return runs.task_order(pages_.withColumn("group", group), "group", key, ["url", "page_id"]).select("page_id", "place")
 
 
-@query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS number FROM conversations WHERE role <> 'user'""")
+@query("""SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS number FROM conversations WHERE role <> 'user'""")
 def attachment_numbers(spark, sf_dir):
     """Turns that are not the user's stand in for a mail's attachments."""
     parts = table(spark, sf_dir, "conversations").filter("role <> 'user'")
@@ -282,7 +282,7 @@ def refresh_targets(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.meta_refresh(F.concat(tag, "html")).alias("target"))
 
 
-USAGE = "SELECT event_type AS model, count(*) AS requests, sum(user_id) AS input_tokens, sum(event_id) AS output_tokens FROM events"
+USAGE = "SELECT event_type AS model, count(*) AS requests, CAST(sum(user_id) AS BIGINT) AS input_tokens, CAST(sum(event_id) AS BIGINT) AS output_tokens FROM events"
 
 
 @query(f"""WITH a AS ({USAGE} GROUP BY 1), b AS ({USAGE} WHERE event_id % 4 = 0 GROUP BY 1)
@@ -303,7 +303,7 @@ def cost_states(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, sum(length(text) + 1) AS characters, count(*) AS parts, count(*) AS rag FROM conversations WHERE NOT contains(text, '<!--') GROUP BY 1
+SELECT conv_id, CAST(sum(length(text) + 1) AS BIGINT) AS characters, count(*) AS parts, count(*) AS rag FROM conversations WHERE NOT contains(text, '<!--') GROUP BY 1
 """)
 def marked_pages(spark, sf_dir):
     """Turns stand in for pages: with markers, without them, in parts, and with the markers of a chunker."""
