@@ -176,10 +176,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     rank = F.xxhash64(F.lit(5), "id")
     few = [known.filter(F.col("y") == y).orderBy(rank, "id").limit(SAMPLE[y]) for y in (0, 1)]
     few = F.broadcast(few[0].unionByName(few[1]))  # at most sum(SAMPLE) ids
+    # sizes first, so that no task ever holds more texts than the bound
+    sizes = docs.join(few, "id").groupBy("id", "y").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    upto = F.sum("size").over(Window.orderBy(rank, "id"))  # over at most sum(SAMPLE) numbers
+    few = F.broadcast(sizes.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("id", "y"))
     # of several texts of an id the last in order
-    sample = docs.join(few, "id").groupBy("id", "y").agg(F.max("text").alias("text"))
-    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(rank, "id"))  # over at most sum(SAMPLE) rows
-    sample = sample.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("id", "text", "y").repartition(1)
+    sample = docs.join(few, "id").groupBy("id", "y").agg(F.max("text").alias("text")).select("id", "text", "y").repartition(1)
 
     def go(batches):
         rows = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))))
