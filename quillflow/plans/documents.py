@@ -84,7 +84,12 @@ def run_envelopes(spark, sf_dir):
     return render.envelope(items, "source")
 
 
-@query()
+@query("""
+WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages),
+u AS (SELECT page_id, list_transform([t, h], lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS p FROM t)
+SELECT CAST(page_id AS VARCHAR) AS key, CASE WHEN p[2] <> '' AND starts_with(p[1], p[2] || ' | ') THEN p[2] ELSE p[1] END AS title,
+  CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS site, CAST(NULL AS VARCHAR) AS published, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS canonical FROM u
+""")
 def page_metadata(spark, sf_dir):
     """Title, author, site, date, description and canonical address of pages."""
     return H.metadata(H.extract(table(spark, sf_dir, "pages")))
