@@ -24,7 +24,7 @@ TABLES, ROUNDS = 16, 3
 BUCKET = 4096  # rows that a bucket is planned for, where one rotation's axes do not suffice
 SAMPLE = 128  # queries whose true neighbours are sought to measure how many probes the others need
 RECALL = 0.97  # share of the sample's neighbours that the probes must reach
-MOST_PROBES = 1024  # combinations that a query is given in order, at most; all axes where one rotation names a bucket
+MOST_PROBES = 1024  # combinations that a query is given in order, at most; if RECALL needs more, the dimension is searched whole
 BAND = np.log(1.1)  # rows of a hashed group differ in length by at most a factor of 1.1
 WHOLE = 2048  # bands of at most so many rows are not hashed; neighbouring ones are met together, up to CHUNK rows
 CHUNK = 8192  # rows of a bucket that meet the queries in one unit of work
@@ -144,7 +144,7 @@ def _groups(sizes: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int,
 
 def _probes(rows: DataFrame, groups: list[tuple[int, int, int, int, int]], k: int, seed: int) -> dict[int, int]:
     """By dimension, the buckets of each table that a query visits: so many that RECALL of the true k nearest of at most SAMPLE
-    queries stand in one of them. The sample's neighbours, SAMPLE x k vectors, are found in one pass over all rows."""
+    queries stand in one of them; 0 where MOST_PROBES are not enough. The sample's neighbours, SAMPLE x k vectors, are found in one pass over all rows."""
     sample = rows.filter("query").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v", "dim").collect()
     asked = {d: (np.array([r["id"] for r in sample if r["dim"] == d]), np.stack([_vector(r["v"], d) for r in sample if r["dim"] == d])) for d in {r["dim"] for r in sample}}
 
@@ -185,9 +185,10 @@ def _probes(rows: DataFrame, groups: list[tuple[int, int, int, int, int]], k: in
             stands = names(_unit(np.stack([_vector(r["v"], d) for r in own])), f, last, 1, seed)[:, :, 0]
             for r, bucket in zip(own, stands):
                 hit = (visits[r["query_id"]] == bucket[:, None]).any(0)
-                needed.append(int(hit.argmax()) + 1 if hit.any() else MOST_PROBES)
+                needed.append(int(hit.argmax()) + 1 if hit.any() else MOST_PROBES + 1)
         if needed:
-            out[d] = int(np.sort(needed)[min(int(np.ceil(RECALL * len(needed))), len(needed)) - 1])
+            enough = int(np.sort(needed)[min(int(np.ceil(RECALL * len(needed))), len(needed)) - 1])
+            out[d] = enough if enough <= MOST_PROBES else 0
     return out
 
 
@@ -249,7 +250,8 @@ def nearest(
     Nearness is the largest inner product, in double precision; ties go to the smaller id. Vectors that are null, zero or
     hold null or non-finite components take no part, nor do null ids; the others meet those of their own dimension. Rows
     with the same id are one row (the first vector in order). A query that met fewer than k rows is searched exactly,
-    against all rows in blocks, so it has k results or all candidates. Every row is indexed; no bucket is capped.
+    against all rows in blocks, so it has k results or all candidates; so are all queries of a dimension where a sample shows
+    that the probes would not reach RECALL. Every row is indexed; no bucket is capped.
     """
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -264,12 +266,13 @@ def nearest(
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     groups = _groups(sizes)
+    probes = _probes(rows, groups, k, seed)
+    groups = [(d, b, g, *((f, last) if probes[d] else (0, 0))) for d, b, g, f, last in groups]  # a group without rotations is met whole
     layouts = "group int, functions int, last int"
     of_band = F.broadcast(spark.createDataFrame(groups, f"dim int, band int, {layouts}"))
     of_dim = F.broadcast(spark.createDataFrame(sorted({(d, *g) for d, _, *g in groups}), f"dim int, {layouts}"))
     cols = ["id", "query", "v", "dim", "group", "functions", "last"]
     placed = rows.withColumn("query", F.lit(False)).join(of_band, ["dim", "band"]).select(*cols).unionByName(rows.filter("query").join(of_dim, "dim").select(*cols))
-    probes = _probes(rows, groups, k, seed)
     hashed = placed.mapInArrow(_buckets(seed, probes), "id long, query boolean, v binary, dim int, group int, buckets array<long>")
     hashed = stored(hashed)
     spread = hashed.select("id", "query", "v", "dim", "group", F.explode("buckets").alias("bucket"))

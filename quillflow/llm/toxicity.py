@@ -11,7 +11,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from . import scan
 from .batches import small_batches
@@ -21,7 +20,7 @@ GRAMS = (4, 5, 6)
 DIM = 4
 #: Training reads at most this many labelled rows of classes 0 and 1, the first by a seeded hash of their ids.
 SAMPLE = (4000, 2000)
-SAMPLE_BYTES = 64 << 20  # and of these, in the same order, at most so many bytes of texts
+SAMPLE_BYTES = 64 << 20  # and of these, in the same order, at most so many bytes of whole texts, two thirds of class 0; a text that does not fit is left out alone
 EPOCHS, UPDATES = 12, 400  # passes over the sample, more of them until there were this many updates
 BATCH = 64
 ONE_CLASS = 4.0  # bias where the sample has one class, or none: what is not shown to be toxic counts as clean
@@ -164,6 +163,17 @@ def score(texts: list[str], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out + weights[-1], -60, 60)))
 
 
+def _that_fit(batches):
+    """Rows (id, y, size) in order, less those whose text does not fit what its class has left of its share of SAMPLE_BYTES."""
+    left = [SAMPLE_BYTES * SAMPLE[y] // (SAMPLE[0] + SAMPLE[1]) for y in (0, 1)]
+    for batch in batches:
+        keep = []
+        for y, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            keep.append(size <= left[y])
+            left[y] -= size * keep[-1]
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["id", "y"])
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> np.ndarray:
     """Trains in one task on at most SAMPLE labelled rows that are not held out; the weights (4 MB) come back."""
     known = (
@@ -178,8 +188,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     few = F.broadcast(few[0].unionByName(few[1]))  # at most sum(SAMPLE) ids
     # sizes first, so that no task ever holds more texts than the bound
     sizes = docs.join(few, "id").groupBy("id", "y").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
-    upto = F.sum("size").over(Window.orderBy(rank, "id"))  # over at most sum(SAMPLE) numbers
-    few = F.broadcast(sizes.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_BYTES).select("id", "y"))
+    few = F.broadcast(sizes.repartition(1).sortWithinPartitions(rank, "id").mapInArrow(_that_fit, "id long, y int"))
     # of several texts of an id the last in order
     sample = docs.join(few, "id").groupBy("id", "y").agg(F.max("text").alias("text")).select("id", "text", "y").repartition(1)
 

@@ -66,3 +66,11 @@ def test_dimensions(spark):
         score = {i: float(y @ x) for i, y in enumerate(v) if i != q and len(y) == len(x)}
         best = sorted(score, key=lambda i: (-score[i], i))[:20]
         assert found.get(q, []) == best
+
+
+def test_too_few_probes_mean_a_whole_search(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MOST_PROBES", 1)
+    monkeypatch.setattr(ann, "WHOLE", 50)
+    monkeypatch.setattr(ann, "BUCKET", 8)
+    monkeypatch.setattr(ann, "TABLES", 2)
+    assert recall(spark, unit(3000, 32, np.random.default_rng(9))) == 1.0
