@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M, text as T, urls as U
 from ..operators import naming, render
-from ..sources import blocks as B, html as H
-from .registry import query, table
+from ..sources import blocks as B, html as H, regions
+from .registry import WORDS, query, table
 
 
 def _converted(pages):
@@ -84,6 +84,58 @@ def run_envelopes(spark, sf_dir):
     return render.envelope(items, "source")
 
 
+def _without_articles(html):
+    """The page with a main element instead of an article: its advertisement, its text, and the advertisement once more."""
+    advert = F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1)
+    shaped = F.replace(F.replace(html, F.lit('<div class="ad">'), F.lit("<main><div>")), F.lit("<article>"), F.lit('<div class="text">'))
+    return F.replace(shaped, F.lit("</article>"), F.concat(F.lit("</div><div><p>"), advert, F.lit("</p></div></main>")))
+
+
+_TEXT_WORDS = WORDS.replace("text", "txt")
+
+
+@query(f"""
+WITH RECURSIVE shapes AS (SELECT page_id || '-article' AS key, html FROM pages UNION ALL
+  SELECT page_id || '-main', replace(replace(replace(html, '<div class="ad">', '<main><div>'), '<article>', '<div class="text">'), '</article>',
+    '</div><div><p>' || regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) || '</p></div></main>') FROM pages),
+said AS (SELECT key, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style|title)[^>]*>.*?</(?:script|style|title)>', '', 'g'), '(?s)<!.*?>', '', 'g'), '<[^>]*>[^<]*') AS toks FROM shapes),
+tok AS (SELECT key, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM said),
+part AS (SELECT key, i, regexp_extract(tok, '^</?([a-z0-9]+)', 1) AS tag, starts_with(tok, '</') AS closing, tok LIKE '<a href%' AS link,
+  replace(replace(replace(replace(regexp_extract(tok, '>([^<]*)$', 1), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS txt FROM tok),
+step AS (SELECT *, tag IN ('html', 'body', 'nav', 'main', 'div', 'article', 'h1', 'footer', 'ul', 'li', 'a') AS box,
+  sum(CASE WHEN tag IN ('html', 'body', 'nav', 'main', 'div', 'article', 'h1', 'footer', 'ul', 'li', 'a') THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS d FROM part),
+ends AS (SELECT key, i, tag, closing, d, lead(i, 1, 1000000) OVER (PARTITION BY key, CASE WHEN closing THEN d + 1 ELSE d END ORDER BY i) AS z FROM step WHERE box),
+el AS MATERIALIZED (SELECT key, i AS a, z, tag, d FROM ends WHERE NOT closing),
+up AS MATERIALIZED (SELECT c.key, c.a, p.a AS parent FROM el c JOIN el p ON p.key = c.key AND p.d = c.d - 1 AND p.a < c.a AND p.z > c.a),
+anc AS (SELECT key, a, a AS over FROM el UNION ALL SELECT anc.key, anc.a, up.parent FROM anc JOIN up ON up.key = anc.key AND up.a = anc.over),
+own AS (SELECT s.key, el.a, sum(octet_length(encode(trim(txt)))) + 40 * count(*) FILTER (s.tag = 'p' AND NOT closing) AS score, sum({_TEXT_WORDS}) AS words,
+  count(*) FILTER ({_TEXT_WORDS} >= 14) AS runs FROM step s JOIN el ON el.key = s.key AND el.d = s.d AND el.a <= s.i AND s.i < el.z GROUP BY 1, 2),
+held AS MATERIALIZED (SELECT o.key, anc.over AS a, sum(score) AS score, sum(words) AS words, coalesce(sum(words) FILTER (e.tag <> 'h1'), 0) AS plain, coalesce(sum(runs) FILTER (e.tag <> 'h1'), 0) AS runs
+  FROM own o JOIN anc ON anc.key = o.key AND anc.a = o.a JOIN el e ON e.key = o.key AND e.a = o.a
+  WHERE NOT EXISTS (SELECT 1 FROM anc g JOIN el ge ON ge.key = g.key AND ge.a = g.over WHERE g.key = o.key AND g.a = o.a AND ge.tag IN ('nav', 'footer')) GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT el.*, coalesce(h.score, 0) AS score, coalesce(h.words, 0) AS words, coalesce(h.plain, 0) AS plain, coalesce(h.runs, 0) AS runs FROM el LEFT JOIN held h ON h.key = el.key AND h.a = el.a),
+root AS (SELECT key, arg_max(m, score) AS r FROM m WHERE tag IN ('main', 'body') AND (tag = 'main' OR NOT ends_with(key, '-main')) GROUP BY 1),
+reg AS (SELECT root.key, CASE WHEN c.score * 5 >= (c.score + greatest(r.score - c.score, 0)) * 3 THEN c ELSE r END AS g FROM root LEFT JOIN m c ON c.key = root.key AND c.tag = 'article'),
+b AS (SELECT reg.key, arg_max(m, m.a) AS b FROM reg JOIN m ON m.key = reg.key AND m.a >= reg.g.a AND m.z <= reg.g.z AND m.tag <> 'nav' AND m.plain * 5 >= reg.g.plain * 3 GROUP BY 1),
+one AS (SELECT s.key, max({_TEXT_WORDS}) AS n FROM step s JOIN reg ON reg.key = s.key AND reg.g.a <= s.i AND s.i < reg.g.z
+  JOIN el ON el.key = s.key AND el.d = s.d AND el.a <= s.i AND s.i < el.z AND el.tag IN ('body', 'main', 'div', 'article') GROUP BY 1),
+bod AS (SELECT reg.key, reg.g, CASE WHEN b.b.plain >= 70 AND b.b.runs >= 2 AND NOT one.n * 5 >= reg.g.plain * 3 THEN b.b END AS b
+  FROM reg LEFT JOIN b ON b.key = reg.key LEFT JOIN one ON one.key = reg.key),
+beside AS (SELECT bod.key, m.* EXCLUDE (key), m.a > b.z AS behind FROM bod JOIN m ON m.key = bod.key JOIN up ON up.key = m.key AND up.a = m.a JOIN anc ON anc.key = bod.key AND anc.a = bod.b.a AND anc.over = up.parent AND anc.over <> bod.b.a
+  WHERE up.parent >= bod.g.a AND NOT (m.a <= bod.b.a AND m.z >= bod.b.z) AND m.tag NOT IN ('nav', 'footer', 'h1')),
+loose AS (SELECT key, sum(plain) AS n FROM beside WHERE behind AND runs = 0 GROUP BY 1),
+gone AS (SELECT beside.key, sum(words) AS n FROM beside LEFT JOIN loose ON loose.key = beside.key JOIN bod ON bod.key = beside.key
+  WHERE (NOT behind AND plain <= 2) OR (behind AND runs = 0 AND loose.n < 50 AND loose.n * 3 < bod.b.plain) GROUP BY 1)
+SELECT bod.key, bod.g.tag AS region, bod.b.tag AS body, CAST(bod.g.words AS BIGINT) AS words, CAST(coalesce(gone.n, 0) AS BIGINT) AS left_out FROM bod LEFT JOIN gone ON gone.key = bod.key
+""")
+def page_regions(spark, sf_dir):
+    """Per page, as it is and with a main element instead of its article: the region and the body chosen, words, and words left out."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    shaped = pages.select(F.concat("page_id", F.lit("-article")).alias("page_id"), "url", "html")
+    other = pages.select(F.concat("page_id", F.lit("-main")).alias("page_id"), "url", _without_articles(F.col("html")).alias("html"))
+    return regions.summary(H.elements(shaped.unionByName(other)))
+
+
 @query("""
 WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages),
 u AS (SELECT page_id, list_transform([t, h], lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS p FROM t)

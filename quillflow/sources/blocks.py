@@ -18,12 +18,18 @@ SCHEMA = "key string, pos int, kind string, level int, text string"
 KINDS = ("title", "meta", "heading", "paragraph", "item", "ordered", "quote", "code", "row", "image", "rule", "chrome", "warning", "error")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, its rows dealt out anew if it has fewer partitions than the cluster has cores: a small file is one partition."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def read(df: DataFrame, key: str, content: str, reader: Callable[..., Iterator[tuple]], *more: str) -> DataFrame:
     """Blocks of each row's content: reader(content, *more) yields (kind, level, text).
 
     A row that fails gives one `error` block and does not stop the job; null content gives no block.
     """
-    df = df.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"), *[F.col(c) for c in more])
+    df = dealt(df.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"), *[F.col(c) for c in more]))
 
     def go(frames):
         for frame in frames:

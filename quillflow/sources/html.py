@@ -1,8 +1,9 @@
 """HTML pages as blocks.
 
 A small tree builder on the standard library's tokenizer knows raw text, void elements and implied end tags; it emits each
-block with the chrome it stands in. What stands in a form, a table cell or a callout is collected apart and judged when the
-element ends. What counts as the article is then decided over all blocks of a page with windows.
+block with the element it stands in, and each element with its interval in document order and what it holds itself. What
+stands in a form, a table cell or a callout is collected apart and judged when the element ends. Which part of a page is its
+article, and what of it is furniture, is then decided over the table of elements (`regions`).
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from . import blocks as B
+from . import blocks as B, regions, tree as R
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = set("script style template noscript svg iframe object canvas select button textarea math".split())
@@ -24,8 +25,7 @@ BLOCK = set(
     "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main "
     "nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CHROME = set("nav footer aside header".split())
-CHROME_WORDS = set("ad ads advert banner breadcrumb breadcrumbs cookie menu nav navbar promo related share sidebar social sponsor toc".split())
+CHROME = set("nav footer".split())
 #: What an opening tag closes: itself and its kind, up to the containers that bound it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -74,10 +74,26 @@ class Blocks(HTMLParser):
         self.title, self.heading, self.meta, self.ld, self.time = None, None, {}, [], None
         self.ids: set[str] = set()  # that headings have
         self.contents: list[list] = []  # outermost lists: their blocks, fragments of links, whether anything else is said
+        self.names: list[str] = []  # tags of the open elements
+        self.chrome, self.inner, self.here = 0, 0, None  # open chrome, open article or main, the element that just ends
+        self.tree, self.spoken = R.Tree(), set()  # elements that the text since the last block stands in
 
     # -- element stack
-    def _names(self) -> list[str]:
-        return [x[0] for x in self.open]
+    def _push(self, tag: str, mark: str, a: dict) -> None:
+        node = self.tree.start(tag, a, mark == "chrome") if mark != "skip" and not self.skip else None
+        self.open.append((tag, mark, a, node))
+        self.names.append(tag)
+        self.chrome += mark == "chrome"
+        self.inner += tag in ("article", "main")
+
+    def _pop(self) -> None:
+        entry = self.open.pop()
+        self.names.pop()
+        self._end(entry)
+        self.chrome -= entry[1] == "chrome"
+        self.inner -= entry[0] in ("article", "main")
+        if entry[3] is not None:
+            self.tree.end(entry[3])
 
     def _close_to(self, names: set[str], bounds: set[str]) -> None:
         found = None
@@ -88,7 +104,7 @@ class Blocks(HTMLParser):
             if tag in names:
                 found = k
         while found is not None and len(self.open) > found:
-            self._end(self.open.pop())
+            self._pop()
 
     def _hidden(self, a: dict) -> bool:
         style, classes = a.get("style", "").replace(" ", "").lower(), a.get("class", "").split()
@@ -99,20 +115,16 @@ class Blocks(HTMLParser):
         return any(c.rsplit(":", 1)[-1] in ("hidden", "invisible", "is-hidden", "d-none") for c in classes if "[" not in c)
 
     def _chrome(self, tag: str, a: dict) -> bool:
-        names = self._names()
-        if a.get("role") in ("navigation", "banner", "contentinfo"):
+        if R.chrome(tag, a):
             return True
-        if tag == "header":
-            return "article" not in names
         if tag == "footer":  # one of a part of the page belongs to it
-            inner = next((n for n in reversed(names) if n in ("article", "section", "figure", "blockquote", "aside", "nav", "td", "th", "body")), None)
+            inner = next((n for n in reversed(self.names) if n in ("article", "section", "figure", "blockquote", "aside", "nav", "td", "th", "body")), None)
             return inner not in ("article", "section", "figure", "blockquote")
-        words = set((a.get("class", "") + " " + a.get("id", "")).lower().replace("-", " ").replace("_", " ").split())
-        return tag in CHROME or bool(tag in BLOCK and words & CHROME_WORDS)
+        return tag in CHROME
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        names = self._names()
+        names = self.names
         if tag in BLOCK and "p" in names:
             self._close_to({"p"}, {"td", "th", "table", "li", "button"})
         if tag in CLOSES:
@@ -125,8 +137,8 @@ class Blocks(HTMLParser):
                 self.raw = []
             elif tag == "math":
                 self.math = "$$" if a.get("display") == "block" else "$"
+            self._push(tag, "skip", a)
             self.skip += 1
-            self.open.append((tag, "skip", a))
             return
         if tag == "annotation" and "tex" in a.get("encoding", "") and "math" in names:
             self.raw = []
@@ -134,13 +146,14 @@ class Blocks(HTMLParser):
         chrome = not callout and self._chrome(tag, a)
         if tag in BLOCK or chrome or callout:
             self._flush()
-        self.open.append((tag, "chrome" if chrome else "callout" if callout else "", a))
+            self.here = None
+        self._push(tag, "chrome" if chrome else "callout" if callout else "", a)
         if len(self.open) > 256 and not self.depth_warned:
             self.depth_warned = True
-            self.sinks[0].append(("warning", 0, "elements nested deeper than 256 are read as text"))
+            self.sinks[0].append(("warning", 0, "elements nested deeper than 256 are read as text", 0))
         if self.skip:
             return
-        if any(len(n) == 2 and n[0] == "h" and n[1].isdigit() for n in (*names, tag)):
+        if any(len(n) == 2 and n[0] == "h" and n[1].isdigit() for n in names):
             self.ids.update(x for x in (a.get("id"), a.get("name")) if x)
         if tag in ("pre", "code") or self.pre:
             self._language(a)
@@ -185,17 +198,21 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        names = self._names()
+        names = self.names
         if tag not in names:
             return
         at = len(names) - 1 - names[::-1].index(tag)
         if tag not in BLOCK and any(n in BLOCK and n != "p" for n in names[at + 1 :]):
             return  # a stray inline end tag does not close the blocks within it
         while len(self.open) > at:
-            self._end(self.open.pop())
+            self._pop()
 
     def _end(self, entry: tuple) -> None:
-        tag, mark, a = entry
+        self.here = entry[3]
+        self._ended(*entry)
+        self.here = None
+
+    def _ended(self, tag: str, mark: str, a: dict, node: int | None) -> None:
         if tag == "annotation" and self.raw is not None:
             tex, self.raw = "".join(self.raw).strip(), None
             self.text.append(f"{self.math}{tex}{self.math}" if tex and self.skip == 1 else "")
@@ -220,6 +237,7 @@ class Blocks(HTMLParser):
             self.text.append("”")
         elif tag in BLOCK or mark:
             self._flush(tag, mark, a)
+            self.here = node
         if tag in ("td", "th"):
             self._cell(tag, a, self.sinks.pop())
         elif tag == "caption":
@@ -244,18 +262,18 @@ class Blocks(HTMLParser):
         """A list of three links or more that all lead into the page, and say nothing else, may be its table of contents:
         whether they lead to headings is known at the page's end."""
         if len(fragments) >= 3 and None not in fragments and not other:
-            blocks = [(f"{kind}\x1f" + "\x1f".join(fragments), level, text) for kind, level, text in blocks]
+            blocks = [(f"{kind}\x1f" + "\x1f".join(fragments), *rest) for kind, *rest in blocks]
         self.sinks[-1].extend(blocks)
 
     def _form(self, a: dict, blocks: list) -> None:
         """An entry box goes: a form of few words, or of some more if its names say what is entered."""
-        words = sum(len(text.split()) for kind, _, text in blocks if kind != "chrome")
+        words = sum(len(text.split()) for kind, _, text, _ in blocks if kind != "chrome")
         named = a.get("role", "").strip().lower() == "search" or any(re.match(ENTRY_NAMES, w) for w in _tokens(*(a.get(k, "") for k in ("class", "id", "name", "action"))))
         if words > (NAMED_ENTRY_WORDS if named else ENTRY_WORDS):
             self.sinks[-1].extend(blocks)
 
     def _end_callout(self, kind: str, blocks: list) -> None:
-        shown = [(k, text) for k, _, text in blocks if k not in ("chrome", "warning")]
+        shown = [(k, text) for k, _, text, _ in blocks if k not in ("chrome", "warning")]
         if shown:
             title = shown.pop(0)[1] if len(shown) > 1 and len(shown[0][1]) <= 60 and shown[0][0] in ("paragraph", "heading") else kind.capitalize()
             body = "\n\n".join(("- " if k == "item" else "") + text for k, text in shown)
@@ -271,7 +289,7 @@ class Blocks(HTMLParser):
     def _table(self, table: dict, mark: str) -> None:
         """A grid with header cells or of short, mostly filled cells becomes rows; other tables lay out a page."""
         rows = [r for r in table["rows"] if r[1]]
-        text = lambda cell: " ".join(t.replace("\n", " ") for k, _, t in cell[3] if k != "warning")
+        text = lambda cell: " ".join(t.replace("\n", " ") for k, _, t, _ in cell[3] if k != "warning")
         headed = any(head or any(c[0] for c in cells) for head, cells in rows)
         cells = [c for _, row in rows for c in row]
         shown = [c for c in cells if text(c)]
@@ -283,6 +301,8 @@ class Blocks(HTMLParser):
             for c in cells:
                 self.sinks[-1].extend(c[3])
             return
+        if self.here is not None:
+            self.tree.data_table(self.here)
         grid, carry = [], [0] * (width + SPAN)
         for _, row in rows:
             line: list[str] = []
@@ -335,15 +355,17 @@ class Blocks(HTMLParser):
 
     def _void(self, tag, a):
         if self.skip:
-            if tag == "img" and self.lazy and self.skip == 1 and "noscript" in self._names():  # a lazy image's real address
+            if tag == "img" and self.lazy and self.skip == 1 and "noscript" in self.names:  # a lazy image's real address
                 self._image(a)
             return
         if tag == "br":
             self.text.append("\n")
         elif tag == "hr":
             self._flush()
+            self.here = None
             self._emit("rule", 0, "---", "")
         elif tag == "img":
+            self.tree.end(self.tree.start(tag, a, False))
             self._image(a)
         elif tag == "base" and a.get("href"):
             self.base = urljoin(self.base, a["href"])
@@ -355,7 +377,7 @@ class Blocks(HTMLParser):
             self.meta.setdefault("canonical", urljoin(self.base, a["href"]))
 
     def handle_data(self, data):
-        names = self._names()
+        names = self.names
         if self.raw is not None:
             self.raw.append(data)
         elif names and names[-1] == "title" and "body" not in names:
@@ -363,6 +385,8 @@ class Blocks(HTMLParser):
         elif not self.skip:
             if self.contents and self.numbers and not self.links and any(c.isalpha() for c in data):
                 self.contents[-1][1] = True
+            if data.strip():
+                self.spoken.add(self.tree.text(data))
             self.text.append(data if self.pre else " ".join(data.split()).join((" " * data[:1].isspace(), " " * data[-1:].isspace())) if data.strip() else " ")
 
     def _take(self) -> str:
@@ -376,10 +400,12 @@ class Blocks(HTMLParser):
         return text.replace("\1", "").replace("\2", "").strip("\n" if self.pre else None)
 
     def _flush(self, tag: str = "", mark: str = "", a: dict | None = None) -> None:
-        text = self._take()
+        text, spoken, self.spoken = self._take(), self.spoken, set()
         if not text:
             return
-        names = [*self._names(), tag]
+        if spoken:
+            self.here = self.tree.common(spoken)
+        names = [*self.names, tag]
         bound = max((k for k, n in enumerate(names) if n in ("td", "th", "caption")), default=-1)
         names = names[bound + 1 :] if bound < len(names) - 1 else []
         head = next((n for n in reversed(names) if len(n) == 2 and n[0] == "h" and n[1].isdigit()), None)
@@ -401,11 +427,12 @@ class Blocks(HTMLParser):
             self._emit("paragraph", 0, text.replace("\n", "  \n"), mark)
 
     def _emit(self, kind, level, text, mark):
-        if mark == "chrome" or any(x[1] == "chrome" for x in self.open):
+        if mark == "chrome" or self.chrome:
             kind = "chrome"
-        elif any(x[0] in ("article", "main") for x in self.open):
+        elif self.inner:
             level = level + 100
-        self.sinks[-1].append((kind, level, text))
+        at = self.here if self.here is not None else next((x[3] for x in reversed(self.open) if x[3] is not None), 0)
+        self.sinks[-1].append((kind, level, text, at))
 
     # -- about the page
     def _ld_text(self, key: str) -> str | None:
@@ -490,32 +517,68 @@ def clean_title(text: str, site: str | None) -> str | None:
     return title or None
 
 
-def page_blocks(html: str, url: str | None) -> Iterator[tuple[str, int, str]]:
+def _parsed(html: str, url: str | None) -> Blocks:
     parser = Blocks(url)
     parser.feed(html)
     parser.close()
     while parser.open:
-        parser._end(parser.open.pop())
+        parser._pop()
     parser._flush()
-    yield from parser.about()
+    return parser
+
+
+def _shown(parser: Blocks) -> Iterator[tuple[str, int, str, int]]:
     for sink in parser.sinks:
-        for kind, level, text in sink:
+        for kind, level, text, at in sink:
             kind, *fragments = kind.split("\x1f")
             if not fragments or not parser.ids.issuperset(fragments):
-                yield kind, level, text
+                yield kind, level, text, at
+
+
+def page_blocks(html: str, url: str | None) -> Iterator[tuple[str, int, str]]:
+    """Blocks of a whole page, chrome included; those within an article or main element have a level 100 higher."""
+    parser = _parsed(html, url)
+    yield from parser.about()
+    for kind, level, text, _ in _shown(parser):
+        yield kind, level, text
+
+
+_BLOCK = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("at", pa.int32())])
+_KINDS = {"int": pa.int32(), "string": pa.string()}
+
+
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """The elements of each page, one row each, as `tree.SCHEMA` has them, in front of which stand key and blocks: all blocks
+    of the page with the element that each stands in, on the row of element 0 only. A page that fails has an error block."""
+    fields = [(name, _KINDS[kind]) for name, kind in (c.split() for c in R.SCHEMA.split(", "))]
+    rows = B.dealt(pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"), F.col(url).alias("url")))
+
+    def go(batches):
+        for batch in batches:
+            keys, blocks, nodes = [], [], []
+            for k, page, address in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if page is None:
+                    continue
+                try:
+                    parser = _parsed(page, address)
+                    own = [(*block, 0) for block in parser.about()] + [(kind, level % 100, text, at) for kind, level, text, at in _shown(parser)]
+                    found = list(parser.tree.rows())
+                except Exception as e:  # a damaged page is a row, not a failure
+                    own, found = [("error", 0, f"{type(e).__name__}: {e}"[:500], 0)], list(R.Tree().rows())
+                keys += [k] * len(found)
+                blocks += [[dict(zip(("pos", "kind", "level", "text", "at"), (pos, *b))) for pos, b in enumerate(own)]] + [None] * (len(found) - 1)
+                nodes += found
+            columns = zip(*nodes) if nodes else [()] * len(fields)
+            arrays = [pa.array(keys, pa.string()), pa.array(blocks, pa.list_(_BLOCK)), *(pa.array(c, t) for c, (_, t) in zip(columns, fields))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "blocks", *(name for name, _ in fields)])
+
+    return rows.mapInArrow(go, f"key string, blocks array<struct<pos int, kind string, level int, text string, at int>>, {R.SCHEMA}")
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """Blocks of pages without chrome. Where an article or main element holds three fifths of a page's text or more, only
-    its blocks stay; nulls give no block. Each page is parsed once, and one shuffle by key serves all that follows."""
-    inner = F.col("level") >= 100
-    shown = ~F.col("kind").isin("title", "meta", "warning", "error", "chrome")
-    size, page = F.length("text"), Window.partitionBy("key")
-    mass = lambda x: F.sum(F.when(x, size).otherwise(0)).over(page)
-    raw = B.read(pages, key, html, page_blocks, url).withColumn("__article", mass(shown & inner) * 5 >= mass(shown) * 3)
-    kept = raw.filter((F.col("kind") != "chrome") & (~shown | inner | ~F.col("__article")))
-    level = F.when(inner, F.col("level") - 100).otherwise(F.col("level")).cast("int")
-    return kept.select("key", "pos", "kind", level.alias("level"), "text")
+    """Blocks of each page's article, without chrome and furniture; nulls give no block. Each page is parsed once, and one
+    shuffle by key serves all that follows."""
+    return regions.article(elements(pages, key, html, url))
 
 
 def metadata(blocks: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def test_empty_sections(spark):
 def test_pages_are_parsed_once(spark, sf_dir):
     df = documents.page_markdown(spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInPandas") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_assembly(spark):
