@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M, text as T, urls as U
 from ..operators import naming, render
-from ..sources import blocks as B, html as H, regions
+from ..sources import blocks as B, html as H, references, regions
 from .registry import WORDS, query, table
 
 
@@ -152,3 +152,30 @@ def looping_documents(spark, sf_dir):
     """Documents that end in one passage over and over."""
     docs = table(spark, sf_dir, "documents").withColumn("unit", M.periodic_tail(F.col("text")))
     return docs.filter("unit is not null").select("doc_id", "unit")
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a>', 1) AS words, regexp_extract_all(html, '<p>([^<]+)</p>', 1) AS paras FROM pages),
+def AS (SELECT page_id, unnest(words) AS note, generate_subscripts(words, 1) AS k FROM p),
+asked AS (SELECT page_id, length(t) % 8 + 1 AS k, count(*) AS mentions FROM (SELECT page_id, unnest(paras) AS t FROM p) GROUP BY 1, 2),
+met AS (SELECT asked.page_id, asked.k, note, mentions FROM asked JOIN def USING (page_id, k) WHERE regexp_matches(note, '[\\p{L}\\p{N}]'))
+SELECT CAST(page_id AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INT) AS number, note, mentions FROM met
+UNION ALL SELECT CAST(page_id AS VARCHAR), 0, NULL, CAST(sum(mentions) AS BIGINT) FROM asked ANTI JOIN met USING (page_id, k) GROUP BY 1
+""")
+def footnotes(spark, sf_dir):
+    """Pages whose paragraphs refer to notes, by their length, of which there are as many as the page's menu has entries: each
+    note that is found with its number and mentions, and (number 0) the references without one."""
+    pages = table(spark, sf_dir, "pages")
+    words = F.regexp_extract_all("html", F.lit('<li><a href="/[^"]*">([^<]*)</a>'), F.lit(1))
+    paras = F.regexp_extract_all("html", F.lit("<p>([^<]+)</p>"), F.lit(1))
+    number = lambda t: (F.length(t) % 8 + 1).cast("string")
+    body = F.array_join(F.transform(paras, lambda t: F.concat(F.lit("<p>"), t, F.lit('<sup><a href="#fn:'), number(t), F.lit('">'), number(t), F.lit("</a></sup></p>"))), "")
+    notes = F.array_join(F.transform(words, lambda w, k: F.concat(F.lit('<li id="fn:'), (k + 1).cast("string"), F.lit('">'), w, F.lit("</li>"))), "")
+    made = F.concat(F.lit("<body><article>"), body, F.lit('</article><section class="footnotes"><ol>'), notes, F.lit("</ol></section></body>"))
+    blocks = references.resolved(H.extract(pages.select("page_id", F.lit(None).cast("string").alias("url"), made.alias("html"))), B.markdown_of)
+    text = F.when(F.col("kind") != "definition", F.col("text"))
+    met = F.transform(F.regexp_extract_all(text, F.lit("\\[\\^([0-9]+)\\]"), F.lit(1)), lambda n: n.cast("int"))
+    lost = F.transform(F.regexp_extract_all(text, F.lit("\\]\\(#fn:[0-9]+\\)"), F.lit(0)), lambda _: F.lit(0))
+    mentions = blocks.select("key", F.explode(F.concat(met, lost)).alias("number")).groupBy("key", "number").agg(F.count("*").alias("mentions"))
+    found = blocks.filter("kind = 'definition'").select("key", F.regexp_extract("text", "^\\[\\^([0-9]+)\\]", 1).cast("int").alias("number"), F.regexp_extract("text", "^[^:]*: (.*)$", 1).alias("note"))
+    return mentions.join(found, ["key", "number"], "left").select("key", "number", "note", "mentions")

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import references
 
 SCHEMA = "key string, pos int, kind string, level int, text string"
-KINDS = ("title", "meta", "heading", "paragraph", "item", "ordered", "quote", "code", "row", "image", "rule", "chrome", "warning", "error")
+KINDS = ("title", "meta", "heading", "paragraph", "item", "ordered", "quote", "code", "row", "image", "rule", "note", "definition", "asset", "chrome", "warning", "error")
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -102,10 +103,10 @@ def markdown_of(kind: Column, level: Column, text: Column) -> Column:
 def assemble(blocks: DataFrame) -> DataFrame:
     """key, markdown, title, word_count, warnings, error: one row per document.
 
-    Items and table rows follow each other closely, other blocks stand apart by a blank line.
+    References to notes and assets are resolved first. Items and table rows follow each other closely, other blocks stand apart by a blank line.
     """
     shown = ~F.col("kind").isin("title", "meta", "warning", "error", "chrome")
-    laid = table_rows(blocks)
+    laid = table_rows(references.resolved(blocks, markdown_of))
     part = F.struct("pos", "kind", markdown_of(F.col("kind"), F.col("level"), F.col("text")).alias("md"))
     grouped = laid.groupBy("key").agg(
         F.array_sort(F.collect_list(F.when(shown, part))).alias("parts"),
@@ -123,7 +124,7 @@ def assemble(blocks: DataFrame) -> DataFrame:
             ).alias("md"), p["kind"].alias("kind"),
         ),
     )
-    out = grouped.withColumn("markdown", joined["md"])
+    out = grouped.withColumn("markdown", joined["md"]).withColumn("heading", F.regexp_replace("heading", "\\[\\^[0-9]+\\]", ""))
     none = (F.trim("markdown") == "") & F.col("error").isNull()
     return out.select(
         "key", F.when(F.col("markdown") == "", "").otherwise(F.concat("markdown", F.lit("\n"))).alias("markdown"),

@@ -12,12 +12,12 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import unquote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import blocks as B, regions, tree as R
+from . import blocks as B, references, regions, tree as R
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = set("script style template noscript svg iframe object canvas select button textarea math".split())
@@ -38,6 +38,14 @@ ENTRY_WORDS, NAMED_ENTRY_WORDS = 20, 60
 #: Limits of a data table without header cells, and the pixels below which an image shows nothing.
 CELL_WORDS, COLUMNS, SPAN, SMALL = 40, 256, 64, 33
 SEPARATORS = (" | ", " - ", " -- ", " · ", " — ", " – ")
+# Names of sections of notes, ids of notes and of what refers to them, and signs that stand for numbers or lead back.
+NOTE_ROLES = {"doc-footnote", "doc-footnotes", "doc-endnote", "doc-endnotes"}
+NOTE_CLASSES = {"footnote", "footnotes", "footnotes-list", "footnote-definition", "endnotes", "references", "reflist"}
+NOTE_HEADINGS = {"footnote", "footnotes", "foot notes", "endnotes", "end notes", "note", "notes", "reference", "references", "sidenotes"}
+NOTE_ID = re.compile(r"(?:user-content-)?(?:_?(?:fn|ftn|ftnt|edn|footnote|endnote)|cite_note)(?![-_:]?ref)[-_:]?\w", re.I)
+BACK_ID = re.compile(r"(?:user-content-)?(?:_?(?:fn|ftn|ftnt|edn|footnote|endnote|cite)[-_:]?_?ref|r(?:ef)?[-_:]?\d)", re.I)
+NOTE_SIGN = re.compile(r"[\[(]?(?:[1-9][0-9]{0,3}|[*†‡§]{1,3}|[a-z])[\])]?")
+BACK_SIGNS = set("↩ ↩︎ ↑ ⤴ ^ ⏎ ← 🔙".split())
 META = (
     "author description og:description twitter:description og:title twitter:title og:site_name application-name article:published_time article:author"
 ).split()
@@ -75,6 +83,8 @@ class Blocks(HTMLParser):
         self.ids: set[str] = set()  # that headings have
         self.contents: list[list] = []  # outermost lists: their blocks, fragments of links, whether anything else is said
         self.names: list[str] = []  # tags of the open elements
+        self.note, self.note_depth = None, 0  # the note whose definition is open
+        self.note_section, self.note_heading = 0, False  # open sections of notes; whether the last heading names one
         self.chrome, self.inner, self.here = 0, 0, None  # open chrome, open article or main, the element that just ends
         self.tree, self.spoken = R.Tree(), set()  # elements that the text since the last block stands in
 
@@ -85,6 +95,28 @@ class Blocks(HTMLParser):
         self.names.append(tag)
         self.chrome += mark == "chrome"
         self.inner += tag in ("article", "main")
+        self.note_section += self._notes(a)
+        if mark != "skip" and not self.skip and self.note is None:
+            self._defines(tag, a)
+
+    def _notes(self, a: dict) -> bool:
+        """Whether an element is a section of notes, or a note, by its role, class or id."""
+        names = {*a.get("class", "").lower().split(), a.get("id", "").lower()}
+        return bool(NOTE_ROLES & set(a.get("role", "").split()) or NOTE_CLASSES & names or "data-footnotes" in a or a.get("data-type") == "footnote")
+
+    def _defines(self, tag: str, a: dict) -> None:
+        """Begins the definition of a note: a block in a section of notes, or one whose id (or that of an anchor or label in
+        front of its text) is a note's."""
+        name = a.get("id") or (a.get("name") if tag == "a" else None)
+        if not name or BACK_ID.match(name):
+            return
+        here = self.note_section or self.note_heading
+        if tag in ("li", "p", "div", "dd", "aside", "tr") and (NOTE_ID.match(name) or (here and not self._notes({"id": name}) and tag != "div") or "doc-footnote" in a.get("role", "")):
+            self.note, self.note_depth = name, len(self.open)
+        elif tag in ("a", "sup", "span", "b", "strong") and (NOTE_ID.match(name) or here) and not "".join(self.text).strip("\1\2* "):
+            block = next((k for k in range(len(self.names) - 1, -1, -1) if self.names[k] in ("p", "li", "dd", "div")), None)
+            if block is not None:
+                self.note, self.note_depth = name, block + 1
 
     def _pop(self) -> None:
         entry = self.open.pop()
@@ -92,6 +124,9 @@ class Blocks(HTMLParser):
         self._end(entry)
         self.chrome -= entry[1] == "chrome"
         self.inner -= entry[0] in ("article", "main")
+        self.note_section -= self._notes(entry[2])
+        if self.note is not None and len(self.open) < self.note_depth:
+            self.note = None
         if entry[3] is not None:
             self.tree.end(entry[3])
 
@@ -229,8 +264,11 @@ class Blocks(HTMLParser):
             if self.contents and self.numbers:
                 self.contents[-1][0].append(href.strip()[1:] if href.strip().startswith("#") else None)
             label = "".join(self.text[at:]).strip()
-            if href and not href.lower().startswith(("javascript:", "data:")):
-                self.text[at:] = [f"[{label}]({urljoin(self.base, href)})"] if label else []
+            if self._leads_back(href, label, a):
+                self.text[at:] = []
+            elif href and not href.lower().startswith(("javascript:", "data:")):
+                link = f"[{label}]({urljoin(self.base, href)})" if label else ""
+                self.text[at:] = [references.mark(fragment, label, link)] if label and (fragment := self._refers(href, label, a)) else [link]
         elif tag in WRAP and not self.pre:
             self.text.append(WRAP[tag] + "\2")
         elif tag == "q":
@@ -257,6 +295,28 @@ class Blocks(HTMLParser):
             if not self.numbers and self.contents:
                 self._end_list(*self.contents.pop(), self.sinks.pop())
 
+    # -- notes
+    def _fragment(self, href: str) -> str | None:
+        """The fragment of an address within the page."""
+        where, _, fragment = href.strip().partition("#")
+        return unquote(fragment) if fragment and (not where or where == self.base.partition("#")[0]) else None
+
+    def _refers(self, href: str, label: str, a: dict) -> str | None:
+        """The note that a link may refer to: it says so, or it has a number or sign for a label and looks like a reference."""
+        fragment, label = self._fragment(href), label.replace("\1", "").replace("\2", "").strip("*` ")
+        if not fragment or self.note is not None or self.pre or BACK_ID.match(fragment):
+            return None
+        said = "doc-noteref" in a.get("role", "") or "data-footnote-ref" in a or bool({"footnote-ref", "footnote", "footnote-reference", "noteref"} & set(a.get("class", "").lower().split()))
+        sign = bool(NOTE_SIGN.fullmatch(label))
+        return fragment if said or (sign and (label.strip("[]()").isdigit() or "sup" in self.names or NOTE_ID.match(fragment))) else None
+
+    def _leads_back(self, href: str, label: str, a: dict) -> bool:
+        fragment = self._fragment(href)
+        if self.note is None or fragment is None:
+            return False
+        classes = a.get("class", "").lower()
+        return label.strip("\1\2* ") in BACK_SIGNS or "doc-backlink" in a.get("role", "") or "backref" in classes or "backlink" in classes or bool(BACK_ID.match(fragment))
+
     # -- what is judged as a whole
     def _end_list(self, fragments: list, other: bool, blocks: list) -> None:
         """A list of three links or more that all lead into the page, and say nothing else, may be its table of contents:
@@ -413,6 +473,7 @@ class Blocks(HTMLParser):
             self._emit("code", 0, f"{self.lang}\x1f{text}" if self.lang else text, mark)
         elif head:
             self.heading = self.heading or (text.replace("\n", " ") if head == "h1" else None)
+            self.note_heading = text.strip(" :").lower() in NOTE_HEADINGS
             self._emit("heading", int(head[1]), text.replace("\n", " "), mark)
         elif "li" in names and self.numbers:
             level = sum(1 if n is None else 2 for n in self.numbers[:-1])
@@ -431,6 +492,8 @@ class Blocks(HTMLParser):
             kind = "chrome"
         elif self.inner:
             level = level + 100
+        if self.note is not None and kind != "chrome":
+            kind, level, text = "note", level - level % 100, references.note_text(self.note, kind, level % 100, text)
         at = self.here if self.here is not None else next((x[3] for x in reversed(self.open) if x[3] is not None), 0)
         self.sinks[-1].append((kind, level, text, at))
 

@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 
 from .html import page_blocks
 from .plain import markdown_blocks
+from .references import mark, note_text
 
 #: Bounds of untrusted packages: bytes of a part, parts, cells of a sheet.
 PART_BYTES, PARTS, CELLS = 128 << 20, 4096, 4 << 20
@@ -65,6 +66,12 @@ def _runs(p, links) -> str:
         elif e.tag in ("ins", "smartTag", "sdt", "sdtContent", "fldSimple"):
             out.append(_runs(e, links))
         elif e.tag == "r":
+            for c in e:
+                if c.tag in ("footnoteReference", "endnoteReference"):
+                    out.append(mark(c.tag[:1] + c.get("id", ""), c.get("id", ""), ""))
+                elif c.tag in ("drawing", "pict") and (blip := next((x for x in c.iter() if x.tag in ("blip", "imagedata")), None)) is not None:
+                    about = next((x.get("descr") or "" for x in c.iter("docPr")), "")
+                    out.append(f"![{re.sub(r'[][()]', '_', ' '.join(about.split()))}](cid:{blip.get('embed') or blip.get('id')})")
             text = "".join({"t": c.text or "", "tab": "\t", "br": "  \n", "cr": "  \n", "noBreakHyphen": "-"}.get(c.tag, "") for c in e)
             on = lambda name: (x := e.find(f"rPr/{name}")) is not None and x.get("val") not in ("0", "false")  # noqa: B023, E731
             mark = ("**" if on("b") else "") + ("*" if on("i") else "")
@@ -110,8 +117,10 @@ def docx_blocks(data: bytes) -> Iterator[tuple]:
     for note in ("footnotes", "endnotes"):
         if f"word/{note}.xml" in z.names:
             for n in z.xml(f"word/{note}.xml"):
-                if n.get("type") is None and (text := " ".join(_runs(p, {}) for p in n.iter("p")).strip()):
-                    yield "paragraph", 0, f"[^{n.get('id')}]: {text}"
+                for p in n.iter("p") if n.get("type") is None else ():
+                    if text := _runs(p, {}).strip():
+                        yield "note", 0, note_text(note[0] + n.get("id", ""), "paragraph", 0, text)
+    yield from (("asset", 0, f"{k}\x1f{posixpath.basename(v)}") for k, v in links.items() if v in z.names and "/media/" in v)
 
 
 def _serial(value: float) -> str:
@@ -297,6 +306,9 @@ def _message(m, depth: int) -> Iterator[tuple]:
             yield from ((k, level % 100, t) for k, level, t in page_blocks(text, None) if k not in ("title", "meta"))
         else:
             yield from markdown_blocks(text)
+    for part in m.walk():  # parts that an image of the body may name
+        if cid := str(part.get("Content-ID", "")).strip().strip("<>"):
+            yield "asset", 0, f"{cid}\x1f{part.get_filename() or cid}"
     names = []
     for k, part in enumerate(m.iter_attachments()):
         if part.get_content_type() == "message/rfc822" and depth == 0:

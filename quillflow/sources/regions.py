@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .references import OUTSIDE
+
 # Limits that the rules speak of, in words unless said otherwise.
 BODY_WORDS, BODY_RUNS = 70, 2
 AFTER_WORDS, AFTER_SHARE = 50, 3
@@ -192,7 +194,10 @@ def article(elements: DataFrame) -> DataFrame:
     one = e.select("key", F.explode("blocks").alias("b"), "a", "z", "cuts").select("key", "b.*", "a", "z", "cuts")
     aside = F.col("kind").isin("title", "meta", "warning", "error")
     gone = F.exists("cuts", lambda c: F.col("at").between(c["at"], c["last"]))
-    return one.filter(aside | ((F.col("kind") != "chrome") & F.col("at").between(F.col("a"), F.col("z")) & ~gone)).select("key", "pos", "kind", "level", "text")
+    shown = (F.col("kind") != "chrome") & F.col("at").between(F.col("a"), F.col("z")) & ~gone
+    note = F.col("kind") == "note"  # one beside the article is still found by what refers to it
+    level = F.when(note & ~shown, OUTSIDE).otherwise(F.col("level")).cast("int").alias("level")
+    return one.filter(aside | note | shown).select("key", "pos", "kind", level, "text")
 
 
 def summary(elements: DataFrame) -> DataFrame:
