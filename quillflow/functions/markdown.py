@@ -143,16 +143,3 @@ def tail_unit(text: str, least: int = 16, copies: int = 6) -> str | None:
 def page_parts(text: Column) -> Column:
     """Array of page texts of a document with `<!-- Page number: N -->` markers; what stands before the first is part 0."""
     return F.split(text, "<!-- Page number: [0-9]+ -->")
-
-
-def without_page_markers(text: Column) -> Column:
-    return F.regexp_replace(text, "(?m)^<!-- (?:Page|Slide) number: [0-9]+ -->\n*", "")
-
-
-def rag_markers(text: Column) -> Column:
-    """Page markers in the spelling that chunkers keep as provenance."""
-    return F.regexp_replace(text, "<!-- Page number: ([0-9]+) -->", "<!-- page: $1 -->")
-
-
-def obsidian_images(text: Column) -> Column:
-    return F.regexp_replace(text, "!\\[[^\\]]*\\]\\((assets/[^)\\s]+)\\)", "![[$1]]")

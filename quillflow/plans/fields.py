@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields as X, markdown as M, text as T, urls as U
-from ..operators import pages as P, render, routing, runs, usage
+from ..operators import pages as P, render, rewriting, routing, runs, usage
 from ..sources import plain
 from .registry import query, table
 
@@ -311,17 +311,55 @@ def marked_pages(spark, sf_dir):
     md = F.concat(F.lit("<!-- Page number: "), F.col("turn").cast("string"), F.lit(" -->\n"), "text", F.lit("\n"))
     pages_ = turns.select("conv_id", md.alias("md"))
     one = pages_.select(
-        "conv_id", F.length(M.without_page_markers(F.col("md"))).alias("n"), (F.size(M.page_parts(F.col("md"))) - 1).alias("parts"),
-        F.regexp_count(M.rag_markers(F.col("md")), F.lit("<!-- page: [0-9]+ -->")).alias("rag"),
+        "conv_id", F.length(rewriting.without_page_markers(F.col("md"))).alias("n"), (F.size(M.page_parts(F.col("md"))) - 1).alias("parts"),
+        F.regexp_count(rewriting.rag_markers(F.col("md")), F.lit("<!-- page: [0-9]+ -->")).alias("rag"),
     )
     return one.groupBy("conv_id").agg(F.sum("n").alias("characters"), F.sum("parts").alias("parts"), F.sum("rag").alias("rag"))
 
 
-@query("""SELECT p_partkey, 'see ![[assets/' || p_partkey || '.png]] and ![b](https://ex.com/' || p_partkey || '.png)' AS obsidian FROM part""")
+MENU = "list_transform(regexp_extract_all(html, '<li><a href=\"/[^\"]*\">([^<]*)</a>', 1), lambda w: regexp_replace(w, '[^\\p{L}]', '', 'g'))"
+
+
+def _menu():
+    """The words of a page's menu, letters only."""
+    return F.transform(F.regexp_extract_all("html", F.lit('<li><a href="/[^"]*">([^<]*)</a>'), F.lit(1)), lambda w: F.regexp_replace(w, "[^\\p{L}]", ""))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {MENU} AS w FROM pages),
+i AS (SELECT page_id, list_transform(w, lambda x: CASE WHEN x = '' THEN '![m](assets/)' ELSE '![[assets/' || x || ']]' END) AS made,
+  list_transform(w, lambda x: '`![m](assets/' || x || ')` ![m](other/' || x || ')') AS kept FROM p)
+SELECT page_id, array_to_string(made, ' ') || ' ' || array_to_string(kept, ' ') AS obsidian FROM i
+""")
 def obsidian_documents(spark, sf_dir):
-    s = F.col("p_partkey").cast("string")
-    md = F.concat(F.lit("see ![a](assets/"), s, F.lit(".png) and ![b](https://ex.com/"), s, F.lit(".png)"))
-    return table(spark, sf_dir, "part").select("p_partkey", M.obsidian_images(md).alias("obsidian"))
+    """Images named by a page's menu: shown ones become embeds, those in code or elsewhere stay."""
+    images = F.array_join(F.transform(_menu(), lambda w: F.concat(F.lit("![m](.data/assets/"), w, F.lit(")"))), " ")
+    others = F.array_join(F.transform(_menu(), lambda w: F.concat(F.lit("`![m](assets/"), w, F.lit(")` ![m](other/"), w, F.lit(")"))), " ")
+    return table(spark, sf_dir, "pages").select("page_id", rewriting.obsidian_images(F.concat(images, F.lit(" "), others)).alias("obsidian"))
+
+
+_FORMS = ("See [a](", ") and `[a](assets/", ")`.\n\n[r]: ", "\n\n![[", '|x]]\n\n<img src="', '" srcset="', " 1x, ", ' 2x">\n\n<style>p{background:url(', ")}</style>\n\n```\n[a](assets/", ")\n```\n")
+_AT = (1, None, 2, 3, 4, 5, 6, 1, None)  # the word that stands behind each piece; None: the first or second word, in code
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {MENU} AS w FROM pages),
+m AS (SELECT DISTINCT x FROM (SELECT unnest(w) AS x FROM p) WHERE x <> '' AND length(x) % 2 = 0),
+t AS (SELECT page_id, list(CASE WHEN m.x IS NULL THEN 'assets/' || p.x ELSE 'files/' || md5(p.x) END ORDER BY k) AS n, list(p.x ORDER BY k) AS w
+  FROM (SELECT page_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM p) p LEFT JOIN m ON m.x = p.x GROUP BY 1)
+SELECT page_id, 'See [a](' || n[1] || ') and `[a](assets/' || w[1] || ')`.' || chr(10) || chr(10) || '[r]: ' || n[2] || chr(10) || chr(10) || '![[' || n[3] || '|x]]' || chr(10) || chr(10) || '<img src="' || n[4]
+  || '" srcset="' || n[5] || ' 1x, ' || n[6] || ' 2x">' || chr(10) || chr(10) || '<style>p{{background:url(' || n[1] || ')}}</style>' || chr(10) || chr(10) || '```' || chr(10) || '[a](assets/' || w[2] || ')' || chr(10) || '```' || chr(10) AS text
+FROM t WHERE len(w) >= 6
+""")
+def moved_references(spark, sf_dir):
+    """Documents that name a page's menu words as files in all forms; files whose names have an even length have moved."""
+    pages = table(spark, sf_dir, "pages").select("page_id", _menu().alias("w")).filter(F.size("w") >= 6)
+    word = lambda k: F.element_at("w", k)
+    behind = [F.concat(F.lit("assets/"), word(k)) if k else word(1 if n < 5 else 2) for n, k in enumerate(_AT)]
+    docs = pages.select("page_id", F.concat(F.lit(_FORMS[0]), *[c for piece, w in zip(_FORMS[1:], behind) for c in (w, F.lit(piece))]).alias("text"))
+    known = pages.select(F.explode("w").alias("x")).filter("x <> '' AND length(x) % 2 = 0").distinct()
+    moved = known.select(F.concat(F.lit("assets/"), "x").alias("target"), F.concat(F.lit("files/"), F.md5("x")).alias("path"))
+    return rewriting.rewritten(docs, "page_id", "text", moved)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Note' ELSE 'Document' END AS type, p_name AS resource, 'quillflow 2024-01-02T03:04:05Z' AS generated FROM part""")
