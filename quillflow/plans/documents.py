@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import markdown as M, text as T, urls as U
+from ..functions import escaping as E, markdown as M, text as T, urls as U
 from ..operators import naming, render
 from ..sources import blocks as B, html as H, references, regions
 from .registry import WORDS, query, table
@@ -179,3 +179,26 @@ def footnotes(spark, sf_dir):
     mentions = blocks.select("key", F.explode(F.concat(met, lost)).alias("number")).groupBy("key", "number").agg(F.count("*").alias("mentions"))
     found = blocks.filter("kind = 'definition'").select("key", F.regexp_extract("text", "^\\[\\^([0-9]+)\\]", 1).cast("int").alias("number"), F.regexp_extract("text", "^[^:]*: (.*)$", 1).alias("note"))
     return mentions.join(found, ["key", "number"], "left").select("key", "number", "note", "mentions")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, replace(replace(text, ' a', ' *a'), '.', '*') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+cut AS (SELECT doc_id, n, line, regexp_split_to_array(line, '\*+') AS between, regexp_extract_all(line, '\*+') AS marks FROM l WHERE contains(line, '*')),
+run AS (SELECT doc_id, n, unnest(marks) AS mark, generate_subscripts(marks, 1) AS k, between FROM cut),
+side AS (SELECT doc_id, n, k, length(mark) AS size, coalesce(nullif(right(between[k], 1), ''), ' ') AS b, coalesce(nullif(left(between[k + 1], 1), ''), ' ') AS a FROM run),
+kind AS (SELECT *, regexp_matches(a, '\s') AS sa, regexp_matches(b, '\s') AS sb, regexp_matches(a, '[\p{P}\p{S}]') AS pa, regexp_matches(b, '[\p{P}\p{S}]') AS pb, a IN ('_', '~') OR b IN ('_', '~') AS beside FROM side),
+flank AS (SELECT *, beside OR (NOT sa AND (NOT pa OR sb OR pb)) AS opens, beside OR (NOT sb AND (NOT pb OR sa OR pa)) AS closes FROM kind),
+paired AS (SELECT doc_id, n, size, (opens AND coalesce(max(closes::INT) OVER (PARTITION BY doc_id, n ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1)
+  OR (closes AND coalesce(max(opens::INT) OVER (PARTITION BY doc_id, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1) AS hit FROM flank),
+per AS (SELECT doc_id, n, coalesce(sum(size) FILTER (hit), 0) AS stars FROM paired GROUP BY 1, 2),
+starts AS (SELECT doc_id, n, CASE WHEN regexp_matches(trim(line), '^\*(?:[ \t]*\*){2,}[ \t]*$') THEN length(line) - length(replace(line, '*', '')) WHEN regexp_matches(trim(line), '^\*(\s|$)') THEN 1 ELSE 0 END AS more FROM cut)
+SELECT doc_id, CAST(sum(greatest(stars, more)) AS BIGINT) AS stars FROM per JOIN starts USING (doc_id, n) GROUP BY 1 HAVING sum(greatest(stars, more)) > 0
+""")
+def escaped_stars(spark, sf_dir):
+    """Documents with asterisks before words in a and for full stops: how many of them their lines, as paragraphs, have escaped."""
+    starred = F.replace(F.replace("text", F.lit(" a"), F.lit(" *a")), F.lit("."), F.lit("*"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(starred, "\n")).alias("line")).filter(F.contains("line", F.lit("*")))
+    count = lambda c: F.size(F.regexp_extract_all(c, F.lit("(\\\\\\*)"), F.lit(1)))
+    added = count(E.escaped_text(F.col("line"))) - count(F.col("line"))
+    return lines.groupBy("doc_id").agg(F.sum(added).alias("stars")).filter("stars > 0")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+from ..functions.escaping import styled
 from .html import page_blocks
 from .plain import markdown_blocks
 from .references import mark, note_text
@@ -56,28 +57,43 @@ class Package:
         return out
 
 
-def _runs(p, links) -> str:
-    """Text of a paragraph of WordprocessingML with bold, italic, links, tabs and breaks."""
-    out = []
+def _styled(p, links, link: str = "") -> Iterator[tuple]:
+    """Runs of a paragraph of WordprocessingML: (text, styles, link), and finished Markdown of marks and images (styles None)."""
     for e in p:
         if e.tag == "hyperlink":
-            inner = _runs(e, links)
-            out.append(f"[{inner}]({links[e.get('id')]})" if e.get("id") in links and inner else inner)
+            yield from _styled(e, links, links.get(e.get("id"), link))
         elif e.tag in ("ins", "smartTag", "sdt", "sdtContent", "fldSimple"):
-            out.append(_runs(e, links))
+            yield from _styled(e, links, link)
         elif e.tag == "r":
+            on = lambda *names: any((x := e.find(f"rPr/{n}")) is not None and x.get("val") not in ("0", "false") for n in names)  # noqa: B023, E731
+            styles = frozenset(s for s, names in (("strong", "b"), ("em", "i")) if on(names)) | (frozenset(["del"]) if on("strike", "dstrike") else frozenset())
             for c in e:
                 if c.tag in ("footnoteReference", "endnoteReference"):
-                    out.append(mark(c.tag[:1] + c.get("id", ""), c.get("id", ""), ""))
+                    yield mark(c.tag[:1] + c.get("id", ""), c.get("id", ""), ""), None, ""
                 elif c.tag in ("drawing", "pict") and (blip := next((x for x in c.iter() if x.tag in ("blip", "imagedata")), None)) is not None:
                     about = next((x.get("descr") or "" for x in c.iter("docPr")), "")
-                    out.append(f"![{re.sub(r'[][()]', '_', ' '.join(about.split()))}](cid:{blip.get('embed') or blip.get('id')})")
-            text = "".join({"t": c.text or "", "tab": "\t", "br": "  \n", "cr": "  \n", "noBreakHyphen": "-"}.get(c.tag, "") for c in e)
-            on = lambda name: (x := e.find(f"rPr/{name}")) is not None and x.get("val") not in ("0", "false")  # noqa: B023, E731
-            mark = ("**" if on("b") else "") + ("*" if on("i") else "")
-            core = text.strip()
-            out.append(text.replace(core, mark + core + mark[::-1]) if mark and core else text)
-    return re.sub(r"\*\*\*\*", "", "".join(out))
+                    yield f"![{re.sub(r'[][()]', '_', ' '.join(about.split()))}](cid:{blip.get('embed') or blip.get('id')})", None, ""
+                elif text := {"t": c.text or "", "tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}.get(c.tag, ""):
+                    yield text, styles, link
+
+
+def _runs(p, links, place: str = "paragraph") -> str:
+    """Text of a paragraph of WordprocessingML as Markdown: styles, links, breaks, references and images; plain text is
+    escaped where it would be read as a mark."""
+    return _joined(_styled(p, links), place)
+
+
+def _joined(runs, place: str) -> str:
+    out, held = [], []
+    for text, styles, link in [*runs, ("", None, "")]:
+        if styles is None:
+            if held:
+                out.append(styled(held, place if not out else "cell" if place == "cell" else "rest"))
+            out.append(text)
+            held = []
+        else:
+            held.append((text, styles, link))
+    return "".join(out).replace("\n", "  \n")
 
 
 def docx_blocks(data: bytes) -> Iterator[tuple]:
@@ -99,10 +115,9 @@ def docx_blocks(data: bytes) -> Iterator[tuple]:
             style = e.find("pPr/pStyle")
             name = styles.get(style.get("val"), style.get("val").lower()) if style is not None else ""
             number = e.find("pPr/numPr")
-            if m := re.match(r"heading\s*(\d)", name):
-                yield "heading", int(m[1]), text.replace("**", "")
-            elif name == "title":
-                yield "heading", 1, text.replace("**", "")
+            if name == "title" or re.match(r"heading\s*\d", name):
+                plain = [(t, s and s - {"strong"}, link) if s is not None else (t, s, link) for t, s, link in _styled(e, links)]
+                yield "heading", 1 if name == "title" else int(re.search(r"\d", name)[0]), _joined(plain, "heading").strip().replace("\n", " ")
             elif number is not None or name.startswith("list"):
                 level = number.find("ilvl") if number is not None else None
                 yield "item", int(level.get("val")) if level is not None else 0, text
@@ -113,7 +128,7 @@ def docx_blocks(data: bytes) -> Iterator[tuple]:
         elif e.tag == "tbl":
             tables += 1
             for row in e.iter("tr"):
-                yield "row", tables, "\x1f".join("\n".join(_runs(p, links).strip() for p in c.iter("p")) for c in row.findall("tc"))
+                yield "row", tables, "\x1f".join("\n".join(_runs(p, links, "rest").strip().replace("  \n", "\n") for p in c.iter("p")) for c in row.findall("tc"))
     for note in ("footnotes", "endnotes"):
         if f"word/{note}.xml" in z.names:
             for n in z.xml(f"word/{note}.xml"):
