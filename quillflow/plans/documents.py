@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import escaping as E, markdown as M, text as T, urls as U
-from ..operators import naming, render
+from ..operators import naming, render, threads
 from ..sources import blocks as B, html as H, references, regions
 from .registry import WORDS, query, table
 
@@ -202,3 +202,19 @@ def escaped_stars(spark, sf_dir):
     count = lambda c: F.size(F.regexp_extract_all(c, F.lit("(\\\\\\*)"), F.lit(1)))
     added = count(E.escaped_text(F.col("line"))) - count(F.col("line"))
     return lines.groupBy("doc_id").agg(F.sum(added).alias("stars")).filter("stars > 0")
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT DISTINCT conv_id, turn, length(text) % 5 AS d FROM conversations),
+p AS (SELECT i.conv_id, i.turn, max(j.turn) AS parent FROM i LEFT JOIN i j ON j.conv_id = i.conv_id AND j.turn < i.turn AND j.d < i.d GROUP BY 1, 2),
+t AS (SELECT conv_id, turn, parent, 0 AS depth, turn AS root, [turn] AS path FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, p.parent, t.depth + 1, t.root, list_append(t.path, p.turn) FROM p JOIN t ON t.conv_id = p.conv_id AND t.turn = p.parent),
+b AS (SELECT conv_id, x AS turn, count(*) AS n FROM (SELECT conv_id, turn, unnest(path) AS x FROM t) WHERE x <> turn GROUP BY 1, 2)
+SELECT t.conv_id, t.turn, parent AS parent_turn, CAST(depth AS INT) AS depth, root, CAST(row_number() OVER (PARTITION BY t.conv_id ORDER BY path) AS INT) AS number, coalesce(b.n, 0) AS n_below
+FROM t LEFT JOIN b ON b.conv_id = t.conv_id AND b.turn = t.turn
+""")
+def conversation_trees(spark, sf_dir):
+    """Conversations as reply trees; the length of a turn, modulo 5, stands in for its indent."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 5).alias("indent")).distinct()
+    placed = threads.trees(threads.with_parents(turns, "conv_id", "turn", "indent"), "conv_id", "turn", "parent_pos")
+    return placed.select("conv_id", "turn", F.col("parent_pos").alias("parent_turn"), "depth", "root", "number", "n_below")

@@ -46,6 +46,8 @@ NOTE_ID = re.compile(r"(?:user-content-)?(?:_?(?:fn|ftn|ftnt|edn|footnote|endnot
 BACK_ID = re.compile(r"(?:user-content-)?(?:_?(?:fn|ftn|ftnt|edn|footnote|endnote|cite)[-_:]?_?ref|r(?:ef)?[-_:]?\d)", re.I)
 NOTE_SIGN = re.compile(r"[\[(]?(?:[1-9][0-9]{0,3}|[*†‡§]{1,3}|[a-z])[\])]?")
 BACK_SIGNS = set("↩ ↩︎ ↑ ⤴ ^ ⏎ ← 🔙".split())
+# What a saved message body of a web mail folds away.
+MAIL_BODY, MAIL_HISTORY, MAIL_HEADER = "a3s", {"gmail_quote", "gmail_attr", "adL"}, "divRplyFwdMsg"
 META = (
     "author description og:description twitter:description og:title twitter:title og:site_name application-name article:published_time article:author"
 ).split()
@@ -85,6 +87,7 @@ class Blocks(HTMLParser):
         self.names: list[str] = []  # tags of the open elements
         self.note, self.note_depth = None, 0  # the note whose definition is open
         self.note_section, self.note_heading = 0, False  # open sections of notes; whether the last heading names one
+        self.mail, self.mail_over = 0, False  # open bodies of saved messages; whether what follows is history
         self.chrome, self.inner, self.here = 0, 0, None  # open chrome, open article or main, the element that just ends
         self.tree, self.spoken = R.Tree(), set()  # elements that the text since the last block stands in
 
@@ -96,6 +99,8 @@ class Blocks(HTMLParser):
         self.chrome += mark == "chrome"
         self.inner += tag in ("article", "main")
         self.note_section += self._notes(a)
+        if MAIL_BODY in a.get("class", "").split():
+            self.mail, self.mail_over = self.mail + 1, False
         if mark != "skip" and not self.skip and self.note is None:
             self._defines(tag, a)
 
@@ -125,6 +130,7 @@ class Blocks(HTMLParser):
         self.chrome -= entry[1] == "chrome"
         self.inner -= entry[0] in ("article", "main")
         self.note_section -= self._notes(entry[2])
+        self.mail -= MAIL_BODY in entry[2].get("class", "").split()
         if self.note is not None and len(self.open) < self.note_depth:
             self.note = None
         if entry[3] is not None:
@@ -167,7 +173,7 @@ class Blocks(HTMLParser):
         if tag in VOID:
             self._void(tag, a)
             return
-        if tag in SKIP or self._hidden(a):
+        if tag in SKIP or self._hidden(a) or self._history(tag, a):
             if tag == "script" and a.get("type", "").strip().lower() == "application/ld+json":
                 self.raw = []
             elif tag == "math":
@@ -216,6 +222,14 @@ class Blocks(HTMLParser):
         if tag in ("td", "th", "form", "caption") or callout:
             self.sinks.append([])
 
+    def _history(self, tag: str, a: dict) -> bool:
+        """Within a saved message: quoted history, the client's header of it and all behind, folded text and controls."""
+        if not self.mail:
+            return False
+        self.mail_over = self.mail_over or a.get("id") == MAIL_HEADER
+        cite = tag == "blockquote" and a.get("type", "").lower() == "cite"
+        return self.mail_over or cite or a.get("role") == "button" or bool(MAIL_HISTORY & set(a.get("class", "").split()))
+
     def _callout(self, tag: str, a: dict) -> str:
         classes = a.get("class", "").lower().split()
         if self.skip or not {"callout", "markdown-alert", "alert", "admonition"} & set(classes):
