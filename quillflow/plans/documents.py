@@ -218,3 +218,28 @@ def conversation_trees(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 5).alias("indent")).distinct()
     placed = threads.trees(threads.with_parents(turns, "conv_id", "turn", "indent"), "conv_id", "turn", "parent_pos")
     return placed.select("conv_id", "turn", F.col("parent_pos").alias("parent_turn"), "depth", "root", "number", "n_below")
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT page_id, list_transform(regexp_extract_all(html, '<p>([^<]+)</p>', 1), lambda t: length(t)) AS n FROM pages),
+k AS (SELECT page_id, unnest(n) AS n, generate_subscripts(n, 1) AS k FROM p),
+s AS (SELECT page_id, k, n % 3 <> 0 AS done, k = 1 OR n % 2 = 1 AS top FROM k),
+v AS (SELECT page_id, k FROM s WHERE done AND top UNION ALL SELECT s.page_id, s.k FROM s JOIN v ON v.page_id = s.page_id AND s.k = v.k + 1 WHERE s.done AND NOT s.top)
+SELECT CAST(page_id AS VARCHAR) AS key, string_agg('part' || k, ' ' ORDER BY k) AS shown FROM v GROUP BY 1
+""")
+def streamed_pages(spark, sf_dir):
+    """Pages sent in as many segments as they have paragraphs: a paragraph of even length has its place within the segment
+    before it, one whose length three divides is never completed."""
+    sizes = F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]+)</p>"), F.lit(1)), F.length)
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    name = lambda k: (k + 1).cast("string")
+    hole = lambda k: text('<template id="B:', name(k), '"></template>')
+    top = lambda n, k: (k == 0) | (n % 2 == 1)
+    holes = F.array_join(F.transform("n", lambda n, k: F.when(top(n, k), hole(k)).otherwise("")), "")
+    within = lambda k: F.when((k + 1 < F.size("n")) & ~top(F.get("n", k + 1), k + 1), hole(k + 1)).otherwise("")
+    segments = F.array_join(F.reverse(F.transform("n", lambda n, k: text('<div hidden id="S:', name(k), '"><p>part', name(k), "</p>", within(k), "</div>"))), "")
+    calls = F.array_join(F.transform("n", lambda n, k: F.when(n % 3 != 0, text('$RC("B:', name(k), '","S:', name(k), '");')).otherwise("")), "")
+    made = text("<body>", holes, segments, "<script>", calls, "</script></body>")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", sizes.alias("n")).select("page_id", "url", made.alias("html"))
+    parts = H.extract(pages).filter("kind = 'paragraph'").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
+    return parts.select("key", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("shown"))

@@ -17,7 +17,7 @@ from urllib.parse import unquote, urljoin, urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import blocks as B, references, regions, tree as R
+from . import blocks as B, references, regions, streams, tree as R
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = set("script style template noscript svg iframe object canvas select button textarea math".split())
@@ -596,7 +596,7 @@ def clean_title(text: str, site: str | None) -> str | None:
 
 def _parsed(html: str, url: str | None) -> Blocks:
     parser = Blocks(url)
-    parser.feed(html)
+    parser.feed(streams.opened(streams.restored(html)))
     parser.close()
     while parser.open:
         parser._pop()
