@@ -103,11 +103,11 @@ def markdown_of(kind: Column, level: Column, text: Column) -> Column:
 def assemble(blocks: DataFrame) -> DataFrame:
     """key, markdown, title, word_count, warnings, error: one row per document.
 
-    References to notes and assets are resolved first. Items and table rows follow each other closely, other blocks stand apart by a blank line.
+    References to notes and assets are resolved first. Items and rows of a table follow each other closely, other blocks stand apart by a blank line.
     """
     shown = ~F.col("kind").isin("title", "meta", "warning", "error", "chrome")
     laid = table_rows(references.resolved(blocks, markdown_of))
-    part = F.struct("pos", "kind", markdown_of(F.col("kind"), F.col("level"), F.col("text")).alias("md"))
+    part = F.struct("pos", "kind", markdown_of(F.col("kind"), F.col("level"), F.col("text")).alias("md"), "level")
     grouped = laid.groupBy("key").agg(
         F.array_sort(F.collect_list(F.when(shown, part))).alias("parts"),
         F.min_by(F.when(F.col("kind") == "title", F.col("text")), F.when(F.col("kind") == "title", F.col("pos"))).alias("own_title"),
@@ -117,11 +117,11 @@ def assemble(blocks: DataFrame) -> DataFrame:
     )
     close = lambda k: k.isin("item", "ordered", "row")
     joined = F.aggregate(
-        "parts", F.struct(F.lit("").alias("md"), F.lit("").alias("kind")),
+        "parts", F.struct(F.lit("").alias("md"), F.lit("").alias("kind"), F.lit(0).alias("level")),
         lambda s, p: F.struct(
             F.when(s["md"] == "", p["md"]).otherwise(
-                F.concat(s["md"], F.when(close(p["kind"]) & (s["kind"] == p["kind"]), "\n").otherwise("\n\n"), p["md"])
-            ).alias("md"), p["kind"].alias("kind"),
+                F.concat(s["md"], F.when(close(p["kind"]) & (s["kind"] == p["kind"]) & ((p["kind"] != "row") | (s["level"] == p["level"])), "\n").otherwise("\n\n"), p["md"])
+            ).alias("md"), p["kind"].alias("kind"), F.coalesce(p["level"], F.lit(0)).alias("level"),
         ),
     )
     out = grouped.withColumn("markdown", joined["md"]).withColumn("heading", F.regexp_replace("heading", "\\[\\^[0-9]+\\]", ""))

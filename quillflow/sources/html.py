@@ -17,7 +17,7 @@ from urllib.parse import unquote, urljoin, urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import blocks as B, references, regions, streams, tree as R
+from . import blocks as B, mathml, references, regions, streams, tree as R
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = set("script style template noscript svg iframe object canvas select button textarea math".split())
@@ -80,6 +80,7 @@ class Blocks(HTMLParser):
         self.sinks: list[list[tuple]] = [[]]  # the innermost form, cell or callout collects its own blocks
         self.skip, self.pre, self.links, self.tables, self.numbers = 0, 0, [], [], []
         self.table_count, self.lang, self.lazy, self.raw = 0, "", False, None
+        self.formula, self.told = None, False  # an open formula, and whether its own TeX was found
         self.depth_warned = False
         self.title, self.heading, self.meta, self.ld, self.time = None, None, {}, [], None
         self.ids: set[str] = set()  # that headings have
@@ -166,6 +167,12 @@ class Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         names = self.names
+        if self.formula is not None:
+            self.formula.start(tag, a)
+            if tag != "annotation" and tag != "math":
+                if tag not in VOID:
+                    self._push(tag, "", a)
+                return
         if tag in BLOCK and "p" in names:
             self._close_to({"p"}, {"td", "th", "table", "li", "button"})
         if tag in CLOSES:
@@ -178,6 +185,8 @@ class Blocks(HTMLParser):
                 self.raw = []
             elif tag == "math":
                 self.math = "$$" if a.get("display") == "block" else "$"
+                if self.formula is None and not self.skip and not self._hidden(a):
+                    self.formula, self.told = mathml.Formula(a), False
             self._push(tag, "skip", a)
             self.skip += 1
             return
@@ -248,6 +257,8 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag):
         names = self.names
+        if self.formula is not None:
+            self.formula.end(tag)
         if tag not in names:
             return
         at = len(names) - 1 - names[::-1].index(tag)
@@ -264,11 +275,20 @@ class Blocks(HTMLParser):
     def _ended(self, tag: str, mark: str, a: dict, node: int | None) -> None:
         if tag == "annotation" and self.raw is not None:
             tex, self.raw = "".join(self.raw).strip(), None
-            self.text.append(f"{self.math}{tex}{self.math}" if tex and self.skip == 1 else "")
+            if tex and self.skip == 1:
+                self.text.append(f"{self.math}{tex}{self.math}")
+                self.told = True
         if mark == "skip":
             if tag == "script" and self.raw is not None:
                 self._linked_data("".join(self.raw))
                 self.raw = None
+            elif tag == "math" and self.formula is not None and self.skip == 1:
+                tex, deep = a.get("alttext", "").strip() or self.formula.tex(), self.formula.deep
+                if deep:
+                    self.sinks[0].append(("warning", 0, "formulas nested deeper than 64 are read as text", 0))
+                if tex and not self.told:
+                    self.text.append(tex if deep else f"{self.math}{tex}{self.math}")
+                self.formula = None
             self.skip -= 1
             return
         if self.skip:
@@ -452,6 +472,8 @@ class Blocks(HTMLParser):
 
     def handle_data(self, data):
         names = self.names
+        if self.formula is not None:
+            self.formula.text(data)
         if self.raw is not None:
             self.raw.append(data)
         elif names and names[-1] == "title" and "body" not in names:

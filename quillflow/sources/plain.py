@@ -9,6 +9,8 @@ import re
 import xml.parsers.expat
 from collections.abc import Iterator
 
+from . import grids, references
+
 #: Delimiters in the order that breaks ties, and legacy encodings with the range of their frequent characters.
 DELIMITERS = (",", ";", "\t", "|")
 LEGACY = ("gb18030", "big5", "shift_jis", "euc_jp", "euc_kr")
@@ -210,10 +212,20 @@ def notebook_blocks(data: bytes) -> Iterator[tuple]:
 
 
 def rst_blocks(data: bytes) -> Iterator[tuple]:
-    """reStructuredText: section titles by the order of their underlines, literals, lists, simple directives and inline roles."""
+    """reStructuredText: section titles by the order of their underlines, literals, lists, drawn tables, footnotes, replacements,
+    simple directives and inline roles."""
     lines, levels, k, held = decode(data)[0].replace("\r\n", "\n").split("\n"), [], 0, []
+    replaced = {m[1]: m[2] for line in lines if (m := re.match(r"^\.\. \|([^|]+)\| replace:: ?(.*)$", line))}
+    tables, asked, defined = 0, 0, 0  # drawn so far; references and footnotes without a name
+
+    def note(m):
+        nonlocal asked
+        asked += m[1] == "#"
+        return references.mark(f"#{asked}" if m[1] == "#" else m[1].lstrip("#"), m[1].lstrip("#"), f"[{m[1]}]")
 
     def inline(x):
+        x = re.sub(r"\|([^|\s](?:[^|]*[^|\s])?)\|", lambda m: replaced.get(m[1], m[0]), x)
+        x = re.sub(r"\[(#?\w[\w.-]*|#|\*)\]_(?!\w)", note, x)
         x = re.sub(r"``(.+?)``", r"`\1`", x)
         x = re.sub(r"`([^`<]+?)\s*<([^>]+)>`__?", r"[\1](\2)", x)
         return re.sub(r":\w+:`([^`]+)`", r"`\1`", x)
@@ -225,6 +237,27 @@ def rst_blocks(data: bytes) -> Iterator[tuple]:
 
     while k < len(lines):
         line = lines[k]
+        if (drawn := grids.is_grid(line)) or grids.is_simple(line):
+            end = k + 1
+            while end < len(lines) and (lines[end].strip() if drawn else not (grids.is_simple(lines[end]) and not "".join(lines[end + 1 : end + 2]).strip())):
+                end += 1
+            found = grids.grid(lines[k:end]) if drawn else grids.simple(lines[k : end + 1])
+            if found:
+                yield from flush()
+                tables += 1
+                yield from ((kind, level, "\x1f".join(inline(c) for c in text.split("\x1f"))) for kind, level, text in grids.blocks(*found, tables))
+                k = end if drawn else end + 1
+                continue
+        if own := re.match(r"^\.\. \[(#?\w[\w.-]*|#|\*)\] ?(.*)$", line):
+            yield from flush()
+            body, k = [own[2]], k + 1
+            while k < len(lines) and lines[k][:1].isspace() and lines[k].strip():
+                body.append(lines[k].strip())
+                k += 1
+            defined += own[1] == "#"
+            name = f"#{defined}" if own[1] == "#" else own[1].lstrip("#")
+            yield "note", 0, references.note_text(name, "paragraph", 0, inline(" ".join(body).strip()))
+            continue
         under = lines[k + 1] if k + 1 < len(lines) else ""
         if line.strip() and re.fullmatch(r"([=\-~^\"'`#*+.:_])\1{2,}", under.rstrip()) and len(under.rstrip()) >= len(line.strip()):
             yield from flush()
@@ -267,10 +300,11 @@ def rst_blocks(data: bytes) -> Iterator[tuple]:
 
 
 def org_blocks(data: bytes) -> Iterator[tuple]:
-    """Org: headings, keywords, blocks, lists, tables, links and emphasis."""
-    held, code = [], None
+    """Org: headings, keywords, blocks, lists, tables, footnotes, links and emphasis."""
+    held, code, tables, in_table = [], None, 0, False
 
     def inline(x):
+        x = re.sub(r"\[fn:([\w-]+)\]", lambda m: references.mark(f"fn:{m[1]}", m[1], m[0]), x)
         x = re.sub(r"\[\[([^\]]+)\]\[([^\]]+)\]\]", r"[\2](\1)", x)
         x = re.sub(r"\[\[([^\]]+)\]\]", r"<\1>", x)
         x = re.sub(r"(?<!\S)[=~](\S(?:.*?\S)?)[=~](?=[\s.,;:!?)]|$)", r"`\1`", x)
@@ -301,8 +335,14 @@ def org_blocks(data: bytes) -> Iterator[tuple]:
                 yield "title", 0, word[2]
         elif line.lstrip().startswith("|"):
             yield from flush()
+            tables += not in_table
+            in_table = True
             if not re.match(r"^\s*\|[-+]+", line):
-                yield "row", 1, "\x1f".join(c.strip() for c in line.strip().strip("|").split("|"))
+                yield "row", tables, "\x1f".join(inline(c.strip()) for c in line.strip().strip("|").split("|"))
+            continue
+        elif own := re.match(r"^\[fn:([\w-]+)\]\s+(.*)$", line):
+            yield from flush()
+            yield "note", 0, references.note_text(f"fn:{own[1]}", "paragraph", 0, inline(own[2]))
         elif item := re.match(r"^(\s*)(?:[-+]|\d+[.)])\s+(.*)$", line):
             yield from flush()
             yield "item", len(item[1]) // 2, inline(item[2])
@@ -310,6 +350,7 @@ def org_blocks(data: bytes) -> Iterator[tuple]:
             held.append(line.strip())
         else:
             yield from flush()
+        in_table = False
     yield from flush()
 
 
