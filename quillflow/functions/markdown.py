@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -103,43 +102,3 @@ def chunks(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StructType().add("text", T.StringType()).add("literals", T.ArrayType(T.StringType())))
 def protected(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, None) if x is None else protect(x) for x in text], columns=["text", "literals"])
-
-
-@F.pandas_udf(T.StringType())
-def periodic_tail(text: pd.Series) -> pd.Series:
-    """The unit of 16 bytes or more that a text ends in at least six times over, else null."""
-    return text.map(lambda x: None if x is None else tail_unit(x))
-
-
-TAIL_BYTES = 256 << 10
-
-
-def tail_unit(text: str, least: int = 16, copies: int = 6) -> str | None:
-    """The unit that repeats at a text's end. It is looked for in the last TAIL_BYTES, where `copies` of it must fit: what
-    repeats in longer units is no loop of a generator. A period is where the tail's last bytes stand once more."""
-    data = text.rstrip().encode()[-TAIL_BYTES:][::-1]
-    n, x = len(data), np.frombuffer(data, np.uint8)
-
-    def run(period: int) -> int:
-        differ = np.flatnonzero(x[:-period] != x[period:])
-        return period + (int(differ[0]) if len(differ) else n - period)
-
-    best, short = (0, 0), max((run(p) for p in range(1, min(least, n))), default=0)
-    at = data.find(data[:least], least) if n >= least * copies else -1
-    while 0 < at <= n // copies:
-        size = run(at)
-        if size >= at * copies and size > best[0]:
-            best = (size, at)
-        # periods that end within a run are multiples of its own
-        at = data.find(data[:least], max(at + 1, size - at if size >= at * copies else 0))
-    if best[0] <= max(short, 0) or not best[1]:
-        return None
-    unit = data[: best[1]][::-1].decode("utf-8", "ignore")
-    solid = [c for c in unit if not c.isspace()]
-    weight = sum(1 if c.isascii() else 2 for c in solid)
-    return unit if solid and weight * (best[0] // best[1]) >= 120 and sum(c.isalnum() for c in solid) * 2 >= len(solid) else None
-
-
-def page_parts(text: Column) -> Column:
-    """Array of page texts of a document with `<!-- Page number: N -->` markers; what stands before the first is part 0."""
-    return F.split(text, "<!-- Page number: [0-9]+ -->")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import escaping as E, markdown as M, text as T, urls as U
+from ..functions import escaping as E, markdown as M, tails as L, text as T, urls as U
 from ..operators import naming, render, threads
 from ..sources import blocks as B, html as H, references, regions
 from .registry import WORDS, query, table
@@ -147,11 +147,18 @@ def page_metadata(spark, sf_dir):
     return H.metadata(H.extract(table(spark, sf_dir, "pages")))
 
 
-@query()
+@query("""
+WITH d AS (SELECT doc_id, regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g') || ' #' || doc_id || '. ' AS unit, length(text) % 13 AS k FROM documents),
+u AS (SELECT *, regexp_replace(unit, '\\s', '', 'g') AS solid FROM d),
+w AS (SELECT *, length(solid) * 2 - length(regexp_replace(solid, '[^\\x00-\\x7F]', '', 'g')) AS weight, length(regexp_replace(solid, '[^\\p{L}\\p{N}]', '', 'g')) * 2 < length(solid) AS plain FROM u)
+SELECT doc_id, CAST(k AS INT) AS copies, CAST((k - 1) * length(unit) AS INT) AS removed FROM w WHERE NOT plain AND k >= 6 AND k * weight >= 120 AND octet_length(encode(unit)) >= 16
+""")
 def looping_documents(spark, sf_dir):
-    """Documents that end in one passage over and over."""
-    docs = table(spark, sf_dir, "documents").withColumn("unit", M.periodic_tail(F.col("text")))
-    return docs.filter("unit is not null").select("doc_id", "unit")
+    """Answers that end in the beginning of a document, as often as its length modulo 13 says: which are loops, and what goes."""
+    unit = F.concat(F.regexp_replace(F.substring("text", 1, 60), "\\s+", " "), F.lit(" #"), F.col("doc_id").cast("string"), F.lit(". "))
+    answer = F.concat(F.lit("Answer. "), F.repeat(unit, F.length("text") % 13))
+    found = table(spark, sf_dir, "documents").select("doc_id", L.salvage(answer, F.lit("")).alias("s"))
+    return found.filter("s.copies is not null").select("doc_id", "s.copies", "s.removed")
 
 
 @query("""

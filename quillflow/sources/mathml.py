@@ -195,7 +195,7 @@ def _tex(node) -> str:
         fence = lambda x: _symbols(x) or "."
         return f"\\left{fence(a.get('open', '('))}{''.join(parts)}\\right{fence(a.get('close', ')'))}"
     if tag == "mspace":
-        return "\;" if a.get("width", "")[:1].isdigit() and not a["width"].startswith("0") else ""
+        return "\\;" if a.get("width", "")[:1].isdigit() and not a["width"].startswith("0") else ""
     if tag == "menclose" and "box" in a.get("notation", ""):
         return f"\\boxed{{{_row(node[2])}}}"
     if tag == "semantics" or tag == "maction":

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillflow.functions import markdown as M, text as T, urls as U
+from quillflow.functions import tails, markdown as M, text as T, urls as U
 
 
 def one(spark, column, **values):
@@ -93,5 +93,5 @@ def test_protect_and_chunks():
 
 
 def test_periodic_tail():
-    assert M.tail_unit("start " + "the same sentence again. " * 9)
-    assert M.tail_unit("nothing repeats here at all") is None and M.tail_unit("." * 500) is None
+    assert tails.salvaged("start " + "the same sentence again. " * 9)
+    assert tails.salvaged("nothing repeats here at all") is None and tails.salvaged("." * 500) is None
