@@ -58,39 +58,42 @@ def resolved(blocks: DataFrame, markdown_of) -> DataFrame:
     ones are indented. References within definitions are not followed: they show what they are otherwise."""
     page = Window.partitionBy("key")
     note = F.col("kind") == "note"
-    part = lambda k: F.element_at(F.split("text", "\x1f", 4), k)
-    b = blocks.withColumns({
-        "_name": F.when(note, part(1)), "_kind": F.when(note, part(2)), "_level": F.when(note, F.expr("try_cast(element_at(split(text, '\\u001f', 4), 3) AS int)")), "_body": F.when(note, part(4)),
-    })
-    readable = note & F.regexp_replace("_body", MARK, "").rlike("[\\p{L}\\p{N}]")
-    asset = F.when(F.col("kind") == "asset", F.struct(F.split_part("text", F.lit("\x1f"), F.lit(1)).alias("k"), F.split_part("text", F.lit("\x1f"), F.lit(2)).alias("v")))
+    parts = F.split("text", "\x1f", 4)
+    b = blocks.withColumn("_part", F.when(note, F.struct(parts[0].alias("name"), parts[1].alias("kind"), parts[2].try_cast("int").alias("level"), parts[3].alias("body"))))
+    readable = F.regexp_replace("_part.body", MARK, "").rlike("[\\p{L}\\p{N}]")
+    # what the document defines, what it asks for, and its assets: empty for most
+    asset = F.split("text", "\x1f", 2)
+    asks = F.when(~note & F.contains("text", F.lit(OPEN)), F.arrays_zip(_marks(F.col("text"), 1).alias("name"), _marks(F.col("text"), 2).alias("label")))
     b = b.withColumns({
-        "_defined": F.collect_list(F.when(readable, F.struct("pos", F.col("_name").alias("name")))).over(page),
-        "_asked": F.flatten(F.collect_list(F.when(~note & F.contains("text", F.lit(OPEN)), F.arrays_zip(_marks(F.col("text"), 1).alias("name"), _marks(F.col("text"), 2).alias("label")))).over(page)),
-        "_notes": F.collect_list(F.when(note, F.struct("pos", F.col("_name").alias("name"), F.col("_kind").alias("kind"), F.col("_level").alias("level"), F.col("_body").alias("body")))).over(page),
-        "_assets": F.collect_list(asset).over(page),
+        "_notes": F.collect_list(F.when(note, F.struct("pos", "_part", readable.alias("readable")))).over(page), "_asked": F.collect_list(asks).over(page),
+        "_assets": F.collect_list(F.when(F.col("kind") == "asset", F.struct(asset[0].alias("k"), asset[1].alias("v")))).over(page),
     })
-    names = F.array_distinct(F.transform(F.array_sort("_defined"), lambda d: d["name"]))
-    once = lambda pairs: F.map_from_entries(F.aggregate(pairs, F.slice(pairs, 1, 0), lambda out, x: F.when(F.exists(out, lambda o: o["k"] == x["k"]), out).otherwise(F.concat(out, F.array(x)))))
-    b = b.withColumns({"_ids": F.filter(names, lambda n: F.exists("_asked", lambda a: a["name"] == n)), "_files": once(F.col("_assets"))})
-    place = F.array_position("_ids", F.col("_name"))
-    own = F.array_sort(F.filter("_notes", lambda n: n["name"] == F.col("_name")))
-    head = F.element_at(own, 1)
-    lead = F.when(head["kind"] == "ordered", F.regexp_replace(head["body"], "^-?[0-9]+\\. ", "")).otherwise(head["body"])
-    labels = F.transform(F.filter("_asked", lambda a: a["name"] == F.col("_name")), lambda a: F.regexp_replace(a["label"], "[^\\p{L}\\p{N}*†‡§]", ""))
-    number = F.regexp_extract(lead, "^\\*{0,2}[\\[(]?([\\p{L}\\p{N}*†‡§]{1,8}?)[\\])]?[.:]?\\*{0,2}[\\])]?\\s", 1)
-    prefix = F.when((number != "") & F.array_contains(labels, number), F.regexp_extract(lead, "^(\\*{0,2}[\\[(]?[\\p{L}\\p{N}*†‡§]{1,8}?[\\])]?[.:]?\\*{0,2}[\\])]?\\s+)", 1)).otherwise("")
-    more = F.transform(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda n: markdown_of(n["kind"], n["level"], n["body"]))
-    plain = F.substr(lead, F.length(prefix) + 1)
-    first_text = F.when(head["kind"].isin("ordered", "item"), plain).otherwise(markdown_of(head["kind"], head["level"], plain))
-    body = F.array_join(F.concat(F.array(first_text), more), "\n\n")
+    b = b.withColumn("_asked", F.flatten("_asked"))
+    some = (F.size("_notes") > 0) & (F.size("_asked") > 0)
+    names = F.array_distinct(F.transform(F.filter(F.array_sort("_notes"), lambda n: n["readable"]), lambda n: n["_part"]["name"]))
+    once = F.aggregate("_assets", F.slice("_assets", 1, 0), lambda out, x: F.when(F.exists(out, lambda o: o["k"] == x["k"]), out).otherwise(F.concat(out, F.array(x))))
+    b = b.withColumns({
+        "_ids": F.when(some, F.filter(names, lambda n: F.exists("_asked", lambda a: a["name"] == n))).otherwise(F.array().cast("array<string>")), "_files": F.map_from_entries(once),
+    }).drop("_assets")
+    b = b.withColumn("_place", F.when(note & some, F.array_position("_ids", F.col("_part.name"))).otherwise(0))
+    found = F.col("_place") > 0
+    own = F.array_sort(F.filter("_notes", lambda n: n["_part"]["name"] == F.col("_part.name")))
+    labels = F.transform(F.filter("_asked", lambda a: a["name"] == F.col("_part.name")), lambda a: F.regexp_replace(a["label"], "[^\\p{L}\\p{N}*†‡§]", ""))
+    b = b.withColumns({"_own": F.when(found, own), "_labels": F.when(found, labels)}).drop("_notes", "_asked")
+    b = b.filter(~(found & (F.col("pos") != F.element_at("_own", 1)["pos"])) & ~(note & ~found & (F.col("level") == OUTSIDE)) & (F.col("kind") != "asset"))
+    # a definition's first block without the number that its references show
+    b = b.withColumn("_head", F.when(found, F.element_at("_own", 1)["_part"]))
+    b = b.withColumn("_lead", F.when(F.col("_head.kind") == "ordered", F.regexp_replace("_head.body", "^-?[0-9]+\\. ", "")).otherwise(F.col("_head.body")))
+    numbered = "^\\*{0,2}[\\[(]?([\\p{L}\\p{N}*†‡§]{1,8}?)[\\])]?[.:]?\\*{0,2}[\\])]?\\s+"
+    b = b.withColumn("_lead", F.when(found, F.when(F.array_contains("_labels", F.regexp_extract("_lead", numbered, 1)), F.regexp_replace("_lead", numbered, "")).otherwise(F.col("_lead"))))
+    b = b.withColumn("_first", F.when(found, F.when(F.col("_head.kind").isin("ordered", "item"), F.col("_lead")).otherwise(markdown_of(F.col("_head.kind"), F.col("_head.level"), F.col("_lead")))))
+    more = F.transform(F.slice("_own", 2, F.greatest(F.size("_own") - 1, F.lit(0))), lambda n: markdown_of(n["_part"]["kind"], n["_part"]["level"], n["_part"]["body"]))
+    b = b.withColumn("_body", F.when(found, F.array_join(F.concat(F.array("_first"), more), "\n\n")))
     # a mark within a definition is shown as what it is otherwise
-    written = F.regexp_replace(F.concat(F.lit("[^"), place, F.lit("]: "), _written(body, F.array().cast("array<string>"))), "\n(?=[^\n])", "\n    ")
-    first = F.col("pos") == F.element_at(own, 1)["pos"]
-    found = note & (place > 0)
-    text = F.when(found, written).when(note, _written(F.col("_body"), F.col("_ids"))).otherwise(_written(F.col("text"), F.col("_ids")))
-    out = b.filter(~(found & ~first) & ~(note & ~found & (F.col("level") == OUTSIDE)) & (F.col("kind") != "asset"))
-    return out.select(
-        "key", F.when(found, LAST + place).otherwise(F.col("pos")).cast("int").alias("pos"), F.when(found, "definition").when(note, F.col("_kind")).otherwise(F.col("kind")).alias("kind"),
-        F.when(found, 0).when(note, F.coalesce("_level", F.lit(0))).otherwise(F.col("level")).cast("int").alias("level"), _assets(text, F.col("_files")).alias("text"),
+    b = b.withColumn("_text", F.when(found, _written(F.col("_body"), F.array().cast("array<string>"))).when(note, _written(F.col("_part.body"), F.col("_ids"))).otherwise(_written(F.col("text"), F.col("_ids"))))
+    written = F.regexp_replace(F.concat(F.lit("[^"), "_place", F.lit("]: "), "_text"), "\n(?=[^\n])", "\n    ")
+    b = b.withColumn("_text", F.when(found, written).otherwise(F.col("_text")))
+    return b.select(
+        "key", F.when(found, LAST + F.col("_place")).otherwise(F.col("pos")).cast("int").alias("pos"), F.when(found, "definition").when(note, F.col("_part.kind")).otherwise(F.col("kind")).alias("kind"),
+        F.when(found, 0).when(note, F.coalesce("_part.level", F.lit(0))).otherwise(F.col("level")).cast("int").alias("level"), _assets(F.col("_text"), F.col("_files")).alias("text"),
     )

@@ -39,8 +39,9 @@ def _before(end: int = 0):
     return _page().orderBy("at").rowsBetween(Window.unboundedPreceding, end)
 
 
-def _after():
-    return _page().orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+def _behind(end: int = 0):
+    """The rows of the page from its end back to this one (0) or to the one behind it (-1)."""
+    return _page().orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, end)
 
 
 def _within(flag: Column, itself: bool = True) -> Column:
@@ -98,7 +99,7 @@ def chosen(e: DataFrame) -> DataFrame:
     enough = F.col("s_score") * 5 >= (F.col("s_score") + F.greatest(around - apart, F.lit(0))) * 3
     e = e.withColumn("found", F.coalesce("taken", best(single & enough), "root"))
     e = e.withColumns({"a": F.col("found.at"), "z": F.col("found.last"), "whole": F.col("taken").isNotNull()})
-    return e.drop("root", "taken", "candidate", "n_all", "n_own", "teasers", "found")
+    return e.drop("root", "taken", "candidate", "n_all", "n_own", "teasers", "found", "region", "neutral", "chars", "score", "apart", "s_score", "s_apart", "links", "heads", "linked_heads", "seen", "pictures", "authors", "keep")
 
 
 def body_of(e: DataFrame) -> DataFrame:
@@ -139,21 +140,21 @@ def furniture_of(e: DataFrame) -> DataFrame:
     prose = F.col("plain") > 0
     in_set = (F.col("featured") == 1) & F.col("in_body")
     e = e.withColumns({
-        "beside": off & ~_within(off, False), "posts": F.map_from_entries(F.collect_list(way).over(_page())), "introduced": F.coalesce(runs(text_of_body) == 1, F.lit(False)),
+        "beside": off & ~_within(off, False), "posts": F.collect_list(way).over(_page()), "introduced": F.coalesce(runs(text_of_body) == 1, F.lit(False)),
         "in_sentence": _within((F.col("sentence") == 1) & F.col("inside"), False), "h1": F.min(F.when(F.col("inside") & (F.col("tag") == "h1"), F.struct("at", "titles", "parent"))).over(_page()),
         "is_row": child & ~says & (links >= LINKS) & ~is_text & ~is_title, "last_text": F.greatest(F.max(F.when(is_text, last)).over(_page()), F.col("body.own_at")),
         "last_title": F.max(F.when(is_title, at)).over(_page()), "lede": F.coalesce(F.min(F.when(text_of_body & (F.col("runs") > 0), at)).over(_page()), b),
-        "stamps": F.collect_set(F.when(has, F.col("stamp"))).over(_before(-1)), "set_in": in_set & ~_within(in_set, False), "in_set": _within(in_set),
+        "stamps": F.collect_list(F.when(has & F.col("stamp").isNotNull(), F.struct("at", "stamp"))).over(_page()), "set_in": in_set & ~_within(in_set, False), "in_set": _within(in_set),
     })
     free = F.col("in_body") & ~F.col("in_set") & prose
-    again = F.array_contains("stamps", F.col("stamp")) & (at < F.col("lede"))
+    again = F.exists("stamps", lambda x: (x["stamp"] == F.col("stamp")) & (x["at"] < at)) & (at < F.col("lede"))
     closed = F.coalesce(at > F.col("last_text"), F.lit(True)) & (F.col("last_title").isNull() | F.coalesce(F.col("last_text") > F.col("last_title"), F.lit(False)))
     kicker = (F.col("s_words") > 0) & (F.col("s_words") <= EYEBROW) & ~stays & (F.col("s_titles") == 0) & ~seen & F.col("label").isNotNull() & ~F.col("label").rlike("[0-9.?!:;,]")
     above = has & (F.col("h1.titles") == 1) & (F.col("parent") == F.col("h1.parent")) & (at < F.col("h1.at"))
     card = (F.col("s_authors") > 0) & (F.col("s_pictures") > 0) & (F.col("s_runs") > 0) & (F.col("s_words") <= CARD_WORDS) & (F.col("s_titles") == 0) & (F.col("s_dates") == 0)
-    post = F.try_element_at("posts", F.col("depth"))
+    post = F.get(F.filter("posts", lambda w: w["depth"] == F.col("depth")), F.lit(0))["post"]
     same = (post["tag"] == F.col("tag")) & post["class"].eqNullSafe(F.col("class")) & (F.col("class").isNotNull() | (F.col("tag") == "article"))
-    reply = F.coalesce(same & post["dated"] & (F.col("s_dates") > 0) & (F.col("s_linked_heads") == 0) & (plain > 0), F.lit(False))
+    reply = F.coalesce(F.col("beside") & (at > y) & (F.col("s_dates") > 0) & (F.col("s_linked_heads") == 0) & (plain > 0) & post["dated"] & same, F.lit(False))
     after = F.col("beside") & (at > y) & ~stays
     next_ = F.min(F.when(F.col("beside") & (at > y), at)).over(_page())
     closing = (F.col("s_runs") > 0) & (links == 0) & ~seen
@@ -166,7 +167,7 @@ def furniture_of(e: DataFrame) -> DataFrame:
     })
     # the first date at or behind an element's beginning, the next card behind it, the words of all loose blocks, the first row
     e = e.withColumns({
-        "date": F.first("date", ignorenulls=True).over(_page().orderBy("at").rowsBetween(0, Window.unboundedFollowing)), "next_card": F.min(F.when(F.col("card"), at)).over(_after()),
+        "date": F.last("date", ignorenulls=True).over(_behind()), "next_card": F.min(F.when(F.col("card"), at)).over(_behind(-1)),
         "loose_words": F.sum(F.when(F.col("loose"), plain)).over(_page()), "first_row": F.min(F.when(F.col("trailing"), at)).over(_page()),
     })
     few = (F.col("loose_words") < AFTER_WORDS) & (F.col("loose_words") * AFTER_SHARE < F.col("body.plain"))
