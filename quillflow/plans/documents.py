@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import escaping as E, markdown as M, tails as L, text as T, urls as U
-from ..operators import naming, render, threads
+from ..operators import layout, naming, render, threads
 from ..sources import blocks as B, html as H, references, regions
 from .registry import WORDS, query, table
 
@@ -250,3 +250,30 @@ def streamed_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", sizes.alias("n")).select("page_id", "url", made.alias("html"))
     parts = H.extract(pages).filter("kind = 'paragraph'").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
     return parts.select("key", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("shown"))
+
+
+def _cut(k: int) -> str:
+    """A level of cuts, from a table r{k} of boxes with their region so far."""
+    return f"""g{k} AS (SELECT *, x0 - max(x1) OVER (PARTITION BY page, region ORDER BY x0, x1, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gx,
+  y0 - max(y1) OVER (PARTITION BY page, region ORDER BY y0, y1, box ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gy FROM r{k}),
+n{k} AS (SELECT *, count(*) FILTER (gx >= 12) OVER (PARTITION BY page, region ORDER BY x0, x1, box ROWS UNBOUNDED PRECEDING) AS nx, count(*) FILTER (gy >= 10) OVER (PARTITION BY page, region ORDER BY y0, y1, box ROWS UNBOUNDED PRECEDING) AS ny,
+  coalesce(max(gx) FILTER (gx >= 12) OVER (PARTITION BY page, region), 0) AS wide, coalesce(max(gy) FILTER (gy >= 10) OVER (PARTITION BY page, region), 0) AS high FROM g{k}),
+r{k + 1} AS (SELECT page, box, x0, y0, x1, y1, CASE WHEN wide > 0 AND wide >= high THEN list_append(region, nx) WHEN high > 0 THEN list_append(region, ny) ELSE region END AS region FROM n{k})"""
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2),
+r0 AS (SELECT l_orderkey // 10 AS page, l_orderkey * 10 + l_linenumber AS box, CAST(l_partkey % 3 * 180 AS DOUBLE) AS x0, CAST(l_suppkey % 40 * 14 AS DOUBLE) AS y0,
+  CAST(l_partkey % 3 * 180 + 60 + l_quantity * 4 AS DOUBLE) AS x1, CAST(l_suppkey % 40 * 14 + 11 AS DOUBLE) AS y1, CAST([] AS BIGINT[]) AS region FROM l),
+{_cut(0)}, {_cut(1)}, {_cut(2)}
+SELECT page, box, array_to_string(region, '.') AS region, CAST(row_number() OVER (PARTITION BY page ORDER BY region, y0, x0, box) AS INT) AS number FROM r3
+""")
+def box_order(spark, sf_dir):
+    """Order lines as boxes, ten orders on a page: columns by part, lines by supplier, widths by quantity; read by recursive cuts."""
+    x, y = (F.col("l_partkey") % 3 * 180).cast("double"), (F.col("l_suppkey") % 40 * 14).cast("double")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    boxes = lines.select(
+        F.floor(F.col("l_orderkey") / 10).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box"), x.alias("x0"), y.alias("y0"),
+        (x + 60 + F.col("l_quantity") * 4).cast("double").alias("x1"), (y + 11).alias("y1"),
+    )
+    return layout.reading_order(boxes, "page", "box").select("page", "box", F.array_join(F.col("region").cast("array<string>"), ".").alias("region"), "number")
