@@ -136,15 +136,31 @@ def page_regions(spark, sf_dir):
     return regions.summary(H.elements(shaped.unionByName(other)))
 
 
-@query("""
-WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages),
-u AS (SELECT page_id, list_transform([t, h], lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS p FROM t)
+_MENU = "list_transform(regexp_extract_all(html, '<li><a href=\"/[^\"]*\">([^<]*)</a>', 1), lambda w: regexp_replace(w, '[^\\p{L}]', '', 'g'))"
+
+
+@query(f"""
+WITH t AS (SELECT page_id, url, {_MENU} AS w, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages),
+u AS (SELECT *, list_transform([t, h], lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS p FROM t)
 SELECT CAST(page_id AS VARCHAR) AS key, CASE WHEN p[2] <> '' AND starts_with(p[1], p[2] || ' | ') THEN p[2] ELSE p[1] END AS title,
-  CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS site, CAST(NULL AS VARCHAR) AS published, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS canonical FROM u
+  nullif(w[1], '') AS author, nullif(w[2], '') AS site, '2024-01-' || lpad(CAST(length(ad) % 28 + 1 AS VARCHAR), 2, '0') AS published, nullif(trim(regexp_replace(ad, '\\s+', ' ', 'g')), '') AS description,
+  CASE WHEN length(ad) % 2 = 0 THEN regexp_extract(url, '^[^?#]*') END AS canonical FROM u
 """)
 def page_metadata(spark, sf_dir):
-    """Title, author, site, date, description and canonical address of pages."""
-    return H.metadata(H.extract(table(spark, sf_dir, "pages")))
+    """Title, author, site, date, description and canonical address of pages, whose heads say them in the words of their menus and
+    advertisements; every other canonical address is the site's home."""
+    advert, words = F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1), F.regexp_extract_all("html", F.lit('<li><a href="/[^"]*">([^<]*)</a>'), F.lit(1))
+    word = lambda k: F.coalesce(F.regexp_replace(F.get(words, F.lit(k)), "[^\\p{L}]", ""), F.lit(""))
+    day = F.lpad((F.length(advert) % 28 + 1).cast("string"), 2, "0")
+    address = F.when(F.length(advert) % 2 == 0, F.regexp_extract("url", "^[^?#]*", 0)).otherwise("/")
+    meta = lambda name, value: F.concat(F.lit(f'<meta name="{name}" property="{name}" content="'), value, F.lit('">'))
+    head = F.concat(
+        F.lit("<head>"), meta("author", word(0)), meta("og:site_name", word(1)), meta("article:published_time", F.concat(F.lit("2024-01-"), day)), meta("description", advert),
+        F.lit('<link rel="canonical" href="'), address, F.lit('">'),
+    )
+    named = F.replace("html", F.lit("</title>"), F.when(word(1) != "", F.concat(F.lit(" | "), word(1), F.lit("</title>"))).otherwise("</title>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.replace(named, F.lit("<head>"), head).alias("html"))
+    return H.metadata(H.extract(pages))
 
 
 @query("""

@@ -37,6 +37,7 @@ ENTRY_NAMES = "search|login|signin|signup|register|subscribe|newsletter|comment|
 ENTRY_WORDS, NAMED_ENTRY_WORDS = 20, 60
 #: Limits of a data table without header cells, and the pixels below which an image shows nothing.
 CELL_WORDS, COLUMNS, SPAN, SMALL = 40, 256, 64, 33
+#: What stands between a title and the site's name.
 SEPARATORS = (" | ", " - ", " -- ", " · ", " — ", " – ")
 # Names of sections of notes, ids of notes and of what refers to them, and signs that stand for numbers or lead back.
 NOTE_ROLES = {"doc-footnote", "doc-footnotes", "doc-endnote", "doc-endnotes"}
@@ -541,24 +542,22 @@ class Blocks(HTMLParser):
         return self.meta.get("og:site_name") or self.meta.get("application-name")
 
     def _page_title(self) -> str | None:
-        comparable = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
-        social = self.meta.get("og:title") or self.meta.get("twitter:title")
-        headline, heading = self._ld_text("headline"), comparable(self.heading)
-        titles = [comparable(t) for t in (self.title, social) if comparable(t)]
-        related = lambda x, y: x in y or y in x
-        h = comparable(headline)
-        if h and heading and any(related(heading, t) for t in titles) and not related(h, heading) and not any(related(h, t) for t in titles):
-            headline = None  # it describes the page instead of naming it
-        clean = lambda x: clean_title(x, self._site())
-        title = next((t for x in (headline, self._ld_text("name"), self.title, social) if x and (t := clean(x))), None)
-        if title and title.endswith(("…", "...")):
-            stem = title.removesuffix("…").removesuffix("...").rstrip()
-            longer = [t for x in (self.title, social) if x and (t := clean(x)) and not t.endswith(("…", "...")) and len(t) > len(title) and t.startswith(stem)]
-            title = longer[0] if longer else title
-        for x in (headline, self.heading):
-            if title and x and title.startswith(" ".join(x.split()) + " | "):
-                return " ".join(x.split())
-        return title
+        """The best of the page's candidates for a title: the first of headline, linked name, title and social title that says
+        anything beside the site's name. A headline is no candidate if it shares its letters with none of the page's own titles
+        while the heading does with one. One that is cut short gives way to a longer form of itself, and one that goes on
+        behind the headline or heading to that."""
+        said = {"headline": self._ld_text("headline"), "name": self._ld_text("name"), "title": self.title, "social": self.meta.get("og:title") or self.meta.get("twitter:title"), "heading": self.heading}
+        letters = {kind: "".join(filter(str.isalnum, (text or "").lower())) for kind, text in said.items()}
+        echoed = lambda kind, others: any(letters[kind] and letters[o] and (letters[kind] in letters[o] or letters[o] in letters[kind]) for o in others)
+        if letters["headline"] and echoed("heading", ("title", "social")) and not echoed("headline", ("heading", "title", "social")):
+            said["headline"] = None
+        bare = {kind: _bare_title(said[kind], self._site()) for kind in ("headline", "name", "title", "social")}
+        best = next(filter(None, bare.values()), None)
+        cut = re.sub(r"(?:…|\.\.\.)$", "", best or "").rstrip()
+        if best and cut != best.rstrip():
+            best = next((t for t in (bare["title"], bare["social"]) if t and t.startswith(cut) and len(t) > len(best) and not t.endswith(("…", "..."))), best)
+        heads = [" ".join(said[kind].split()) for kind in ("headline", "heading") if said[kind]]
+        return next((h for h in heads if best and best.startswith(h + " | ")), best)
 
     def _author(self) -> str | None:
         address = lambda x: x.startswith("//") or ("://" in x and not re.search(r"\s", x))
@@ -601,19 +600,13 @@ class Blocks(HTMLParser):
                 yield "meta", 0, f"{key}\x1f{value}"
 
 
-def clean_title(text: str, site: str | None) -> str | None:
-    """A title without the site's name before or behind it, cut at a word beyond 300 characters."""
-    title, site = " ".join(text.split()), " ".join((site or "").split())
-    changed = bool(site)
-    while changed:
-        before = title
-        for s in SEPARATORS:
-            title = title.removesuffix(s + site).removeprefix(site + s)
-        changed = title != before
-    if len(title) > 300:
-        title = title[:300]
-        title = (title[: title.rfind(" ")] if title.rfind(" ") > 0 else title) + "…"
-    return title or None
+def _bare_title(text: str | None, site: str | None) -> str | None:
+    """A title without the site's name and a separator at either end, however often; over 300 characters it ends at a word."""
+    title, name = " ".join((text or "").split()), re.escape(" ".join((site or "").split()))
+    if name:
+        between = "(?:" + "|".join(map(re.escape, SEPARATORS)) + ")"
+        title = re.sub(f"^(?:{name}{between})+|(?:{between}{name})+$", "", title)
+    return re.sub(r"(?s)^(.{1,300})(?<!\s) .*$|^(.{300}).*$", lambda m: (m[1] or m[2]) + "…", title) if len(title) > 300 else title or None
 
 
 def _parsed(html: str, url: str | None) -> Blocks:

@@ -27,6 +27,11 @@ def note_text(name: str, kind: str, level: int, text: str) -> str:
     return f"{name}\x1f{kind}\x1f{level}\x1f{text}"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), the value worked out once: an expression that names another several times would hold it as often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _marks(text: Column, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(MARK), F.lit(group))
 
@@ -80,20 +85,20 @@ def resolved(blocks: DataFrame, markdown_of) -> DataFrame:
     own = F.array_sort(F.filter("_notes", lambda n: n["_part"]["name"] == F.col("_part.name")))
     labels = F.transform(F.filter("_asked", lambda a: a["name"] == F.col("_part.name")), lambda a: F.regexp_replace(a["label"], "[^\\p{L}\\p{N}*†‡§]", ""))
     b = b.withColumns({"_own": F.when(found, own), "_labels": F.when(found, labels)}).drop("_notes", "_asked")
-    b = b.filter(~(found & (F.col("pos") != F.element_at("_own", 1)["pos"])) & ~(note & ~found & (F.col("level") == OUTSIDE)) & (F.col("kind") != "asset"))
-    # a definition's first block without the number that its references show
-    b = b.withColumn("_head", F.when(found, F.element_at("_own", 1)["_part"]))
-    b = b.withColumn("_lead", F.when(F.col("_head.kind") == "ordered", F.regexp_replace("_head.body", "^-?[0-9]+\\. ", "")).otherwise(F.col("_head.body")))
-    numbered = "^\\*{0,2}[\\[(]?([\\p{L}\\p{N}*†‡§]{1,8}?)[\\])]?[.:]?\\*{0,2}[\\])]?\\s+"
-    b = b.withColumn("_lead", F.when(found, F.when(F.array_contains("_labels", F.regexp_extract("_lead", numbered, 1)), F.regexp_replace("_lead", numbered, "")).otherwise(F.col("_lead"))))
-    b = b.withColumn("_first", F.when(found, F.when(F.col("_head.kind").isin("ordered", "item"), F.col("_lead")).otherwise(markdown_of(F.col("_head.kind"), F.col("_head.level"), F.col("_lead")))))
+    b = b.filter(~(found & (F.col("pos") != F.get("_own", F.lit(0))["pos"])) & ~(note & ~found & (F.col("level") == OUTSIDE)) & (F.col("kind") != "asset"))
+    none, numbered = F.array().cast("array<string>"), "^\\*{0,2}[\\[(]?([\\p{L}\\p{N}*†‡§]{1,8}?)[\\])]?[.:]?\\*{0,2}[\\])]?\\s+"
+    listed = lambda kind: kind.isin("ordered", "item")
+    # a definition's first block without the number that its references show, then the others
+    bare = lambda head: F.when(head["kind"] == "ordered", F.regexp_replace(head["body"], "^-?[0-9]+\\. ", "")).otherwise(head["body"])
+    lead = lambda text: F.when(F.array_contains("_labels", F.regexp_extract(text, numbered, 1)), F.regexp_replace(text, numbered, "")).otherwise(text)
+    shown = lambda kind, level, text: _let(text, lambda t: F.when(listed(kind), t).otherwise(markdown_of(kind, level, t)))
+    first = _let(F.get("_own", F.lit(0))["_part"], lambda head: shown(head["kind"], head["level"], _let(bare(head), lead)))
     more = F.transform(F.slice("_own", 2, F.greatest(F.size("_own") - 1, F.lit(0))), lambda n: markdown_of(n["_part"]["kind"], n["_part"]["level"], n["_part"]["body"]))
-    b = b.withColumn("_body", F.when(found, F.array_join(F.concat(F.array("_first"), more), "\n\n")))
     # a mark within a definition is shown as what it is otherwise
-    b = b.withColumn("_text", F.when(found, _written(F.col("_body"), F.array().cast("array<string>"))).when(note, _written(F.col("_part.body"), F.col("_ids"))).otherwise(_written(F.col("text"), F.col("_ids"))))
-    written = F.regexp_replace(F.concat(F.lit("[^"), "_place", F.lit("]: "), "_text"), "\n(?=[^\n])", "\n    ")
-    b = b.withColumn("_text", F.when(found, written).otherwise(F.col("_text")))
+    body = _let(F.array_join(F.concat(F.array(first), more), "\n\n"), lambda t: _written(t, none))
+    written = F.regexp_replace(F.concat(F.lit("[^"), "_place", F.lit("]: "), body), "\n(?=[^\n])", "\n    ")
+    text = F.when(found, written).when(note, _written(F.col("_part.body"), F.col("_ids"))).otherwise(_written(F.col("text"), F.col("_ids")))
     return b.select(
         "key", F.when(found, LAST + F.col("_place")).otherwise(F.col("pos")).cast("int").alias("pos"), F.when(found, "definition").when(note, F.col("_part.kind")).otherwise(F.col("kind")).alias("kind"),
-        F.when(found, 0).when(note, F.coalesce("_part.level", F.lit(0))).otherwise(F.col("level")).cast("int").alias("level"), _assets(F.col("_text"), F.col("_files")).alias("text"),
+        F.when(found, 0).when(note, F.coalesce("_part.level", F.lit(0))).otherwise(F.col("level")).cast("int").alias("level"), _let(text, lambda t: _assets(t, F.col("_files"))).alias("text"),
     )
