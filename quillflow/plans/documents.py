@@ -20,7 +20,24 @@ def page_markdown(spark, sf_dir):
     return _converted(table(spark, sf_dir, "pages"))
 
 
-@query()
+_DECODED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+_PLAIN = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '^#{{1,6}}\\s+', ''), '!?\\[([^\\]]*)\\]\\([^)]+\\)', '\\1', 'g'), "
+    "'(?i)</?(?:strong|em|b|i|code)>', '', 'g'), '\\*\\*', '', 'g'), '\\\\([!-/:-@\\[-`{{-~])', '\\1', 'g'))"
+)
+
+
+@query(f"""
+WITH a AS (SELECT page_id, lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS domain, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad,
+  regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h FROM pages),
+n AS (SELECT *, list_transform(regexp_extract_all('>' || art, '>([^<]+)', 1), lambda x: {_DECODED.format("x")}) AS nodes, {_DECODED.format("ad")} AS advert,
+  list_transform([t, h], lambda x: trim(regexp_replace({_DECODED.format("x")}, '\\s+', ' ', 'g'))) AS p FROM a),
+s AS (SELECT *, list_sum(list_transform(nodes, lambda x: octet_length(encode(trim(x))))) + 40 * len(regexp_extract_all(art, '<p>')) AS score FROM n),
+w AS (SELECT page_id, domain, array_to_string(list_filter(nodes, lambda x, i: i < 3 OR x <> nodes[i - 1] OR length(x) < 30), ' ') || CASE WHEN score * 5 >= (score + octet_length(encode(trim(advert)))) * 3 THEN '' ELSE ' ' || advert END AS text,
+  {_PLAIN.format("CASE WHEN p[2] <> '' AND starts_with(p[1], p[2] || ' | ') THEN p[2] ELSE p[1] END")} AS title FROM s)
+SELECT domain, count(*) AS pages, count(*) AS extracted, CAST(sum({WORDS}) AS BIGINT) AS words,
+  arg_max(nullif(title, ''), {{'l': length(title), 'k': CAST(page_id AS VARCHAR)}}) AS longest_title FROM w GROUP BY domain
+""")
 def pages_by_domain(spark, sf_dir):
     """Per domain: pages, pages with content, words, and the longest title."""
     pages = table(spark, sf_dir, "pages")
