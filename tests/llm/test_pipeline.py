@@ -92,4 +92,4 @@ def test_scratch_tables_are_deleted(spark):
 
 def test_every_operator_has_a_query():
     names = sorted(int(k[2:].split("_")[0]) for k in queries())
-    assert names == list(range(1, 11)) and set(oracle_sql()) <= set(queries()) and 4 <= len(P.STAGES) <= 5
+    assert names == list(range(1, 14)) and set(oracle_sql()) <= set(queries()) and 4 <= len(P.STAGES) <= 5
