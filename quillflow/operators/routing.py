@@ -45,14 +45,20 @@ def matching(files: DataFrame, path: str, include: list[str], exclude: list[str]
     return files.withColumn("kept", any_of(include) & ~any_of(exclude))
 
 
+def _div(value: Column, by: int) -> Column:
+    """Whole-number division, rounded down, exact for integers and decimals of any length."""
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+
+
 def from_filetime(ticks: Column) -> Column:
-    """100 ns ticks since 1601 as a timestamp."""
-    return F.timestamp_micros(F.floor((ticks - 116444736000000000) / 10).cast("long"))
+    """100 ns ticks since 1601 as a timestamp. ticks: a whole number, a decimal(n, 0) where 64 bits do not hold it."""
+    return F.timestamp_micros(_div(ticks - 116444736000000000, 10))
 
 
 def from_post_id(post_id: Column) -> Column:
-    """Creation time in a time-ordered post id; ids from before that scheme have none."""
-    return F.when(post_id >= 30000000000, F.timestamp_millis(F.shiftrightunsigned(post_id, 22) + 1288834974657))
+    """Creation time in a time-ordered post id; ids from before that scheme have none. post_id: a whole number, a decimal(n, 0)
+    where 64 bits do not hold it."""
+    return F.when(post_id >= 30000000000, F.timestamp_millis(_div(post_id, 1 << 22) + 1288834974657))
 
 
 def shown_images(images: DataFrame) -> DataFrame:

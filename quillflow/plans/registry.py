@@ -461,8 +461,10 @@ def coalesced_budget(spark, sf_dir):
 
 @query("SELECT event_id, strftime(make_timestamp((event_id * 86400000000)::BIGINT), '%Y-%m-%dT%H:%M:%SZ') AS filetime, CASE WHEN event_id * 7000000000000 >= 30000000000 THEN strftime(make_timestamp((((event_id * 7000000000000) >> 22) + 1288834974657) * 1000), '%Y-%m-%dT%H:%M:%SZ') END AS posted FROM events")
 def id_dates(spark, sf_dir):
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    ticks, post = F.col("event_id") * 864000000000 + 116444736000000000, F.col("event_id") * 7000000000000
+    """Events' numbers as days and as post ids, multiplied as decimals: 64 bits hold neither for numbers beyond some millions."""
+    iso = lambda c: F.ltrim(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("+"))  # noqa: E731  years of five digits have no sign
+    number = F.col("event_id").cast("decimal(19, 0)")
+    ticks, post = number * 864000000000 + 116444736000000000, number * 7000000000000
     return table(spark, sf_dir, "events").select(
         "event_id", iso(routing.from_filetime(ticks)).alias("filetime"), iso(routing.from_post_id(post)).alias("posted")
     )

@@ -112,3 +112,19 @@ def test_streaming(spark, tmp_path):
     ingest.convert_and_publish(stream, str(tmp_path / "out"), str(tmp_path / "cp"), name).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["target"] for r in out.collect()) == ["0", "1", "2"] and out.filter("error is null").count() == 3
+
+
+def test_dates_of_long_identifiers(spark, tmp_path):
+    """Numbers whose ticks and post ids go beyond 64 bits, and years of five digits."""
+    from datetime import datetime, timedelta
+
+    from quillflow.plans import registry
+
+    ids = [0, 1, 1317624, 1317625, 2932896, 2932897, 5999999, 90_000_000]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    out = {r["event_id"]: (r["filetime"], r["posted"]) for r in registry.queries()["id_dates"](spark, str(tmp_path)).collect()}
+    at = lambda i: datetime(1970, 1, 1) + timedelta(milliseconds=((i * 7000000000000) >> 22) + 1288834974657)
+    assert {i: out[i][1] for i in ids} == {i: f"{at(i):%Y-%m-%dT%H:%M:%SZ}" if i else None for i in ids}
+    assert [out[i][0] for i in (0, 2932896, 2932897, 5999999)] == ["1970-01-01T00:00:00Z", "9999-12-31T00:00:00Z", "10000-01-01T00:00:00Z", "18397-06-10T00:00:00Z"]
+    exact = spark.range(1).select(routing.from_filetime(F.lit(116444736000000000 - 1)).alias("a"), routing.from_filetime(F.lit(116444736000000000 + 90071992547409931)).alias("b"))
+    assert exact.select(F.unix_micros("a"), F.unix_micros("b")).first()[:] == (-1, 9007199254740993)
