@@ -221,13 +221,14 @@ def in_domain(url: Column, domain: Column) -> Column:
 
 
 def is_private(url: Column) -> Column:
-    """Whether a host's name or IPv4 literal says that it is local or private, or the address carries credentials."""
+    """Whether a host's name or IPv4 literal says that it is local or private, or the address carries credentials. A host that
+    ends in a number is an IPv4 literal or no host at all: one that is no valid literal is not public either."""
     h = host(url)
     part = lambda k: F.try_to_number(F.split_part(h, F.lit("."), F.lit(k)), F.lit("999")).cast("int")
-    four = h.rlike("^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$")
+    number = h.rlike("(?:^|\\.)(?:[0-9]+|0x[0-9a-f]*)\\.?$")
     a, b = part(1), part(2)
     closed = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127)) | (a >= 224)
-    return (h == "") | h.rlike(LOCAL_NAMES) | url.rlike("^[^/?#]*//[^/?#]*@") | F.when(four, closed).otherwise(~h.contains("."))
+    return (h == "") | h.rlike(LOCAL_NAMES) | url.rlike("^[^/?#]*//[^/?#]*@") | F.when(number, ipv4(h).isNull() | closed).otherwise(~h.contains("."))
 
 
 def meta_refresh(html: Column) -> Column:

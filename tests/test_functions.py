@@ -95,3 +95,11 @@ def test_protect_and_chunks():
 def test_periodic_tail():
     assert tails.salvaged("start " + "the same sentence again. " * 9)
     assert tails.salvaged("nothing repeats here at all") is None and tails.salvaged("." * 500) is None
+
+
+def test_private_hosts(spark):
+    """A host that ends in a number and is no valid IPv4 literal is not public."""
+    closed = ["http://192.168.1.256/", "http://192.168.1.1001/", "http://8.8.8.300/", "http://127.1/", "http://1.2.3.4.5/", "http://a.0x7f/", "http://10.0.0.1/", "http://wiki.internal/", "http://host/"]
+    public = ["http://8.8.8.8/", "http://192.169.1.1/", "https://e.com/", "https://e1.com2/", "https://1.e.com/"]
+    rows = spark.createDataFrame([(u,) for u in closed + public], "url string").select("url", U.is_private(F.col("url")).alias("p")).collect()
+    assert {r["url"] for r in rows if r["p"]} == set(closed) and all(r["p"] is not None for r in rows)
