@@ -46,3 +46,13 @@ def test_shadow_roots():
     assert texts("<x-a><template shadowrootmode=closed><p>only root</p></template><p>hidden</p></x-a>") == ["only root"]
     assert texts("<x-a><template shadowrootmode=open><x-b><template shadowrootmode=open><p>in</p></template></x-b></template></x-a>") == ["in"]
     assert texts("<x-a><template shadowrootmode=open><p>broken") == []
+
+
+def test_pages_of_very_many_segments():
+    """The reader puts all segments in their places, side by side or one within the other, however many they are."""
+    n = 3 * S.IDS
+    calls = "".join(rc(f"B:{k}", f"S:{k}") for k in range(n))
+    flat = "".join(f'<template id="B:{k}"></template><div hidden id="S:{k}"><p>{k}</p></div>' for k in range(n))
+    assert texts(flat + calls) == [str(k) for k in range(n)]
+    deep = '<template id="B:0"></template>' + "".join(f'<div hidden id="S:{k}"><p>{k}</p><template id="B:{k + 1}"></template></div>' for k in range(n))
+    assert texts(deep + calls) == [str(k) for k in range(n)]
