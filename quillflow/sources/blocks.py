@@ -48,10 +48,12 @@ def read(df: DataFrame, key: str, content: str, reader: Callable[..., Iterator[t
 
 
 def without_repeats(blocks: DataFrame, least: int = 30) -> DataFrame:
-    """Without blocks of `least` characters or more that equal the block before them."""
+    """Without blocks of `least` characters or more that equal the block before them, emphasis of a whole block and line breaks
+    at its end aside."""
     aside = F.col("kind").isin("title", "meta", "warning")
-    before = F.lag(F.struct("kind", "text")).over(Window.partitionBy("key", "__aside").orderBy("pos"))
-    same = ~F.col("__aside") & (before == F.struct("kind", "text")) & (F.length("text") >= least) & ~F.col("kind").isin("row", "code")
+    said = F.regexp_replace("text", "(?s)^(\\*\\*|\\*|~~|`)(.*?)\\s*\\1$", "$2")
+    before = F.lag(F.struct("kind", said)).over(Window.partitionBy("key", "__aside").orderBy("pos"))
+    same = ~F.col("__aside") & (before == F.struct("kind", said)) & (F.length(said) >= least) & ~F.col("kind").isin("row", "code")
     marked = blocks.withColumn("__aside", aside).withColumn("__same", F.coalesce(same, F.lit(False)))
     return marked.filter("not __same").drop("__aside", "__same")
 
