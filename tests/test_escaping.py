@@ -152,3 +152,16 @@ def test_what_stays_as_it_is():
 def test_column(spark):
     df = spark.createDataFrame([("*a*",), ("plain",), (None,), ("",), ("- x",)], "t string")
     assert [r[0] for r in df.select(E.escaped_text(F.col("t"))).collect()] == ["\\*a\\*", "plain", None, "", "\\- x"]
+
+
+def test_long_lines_of_marks_take_linear_time():
+    """A line with very many runs that pair with none is judged by its first opener and last closer, not run by run."""
+    import time
+
+    took = []
+    for n in (4_000, 40_000):
+        text = "a *b " * n
+        began = time.process_time()
+        assert E.escaped(text) == text
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 0.5
