@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 LEVELS = 3
+TASK_BOXES = 100_000  # that one task orders, but for those of one page
 GAP_X, GAP_Y = 12.0, 10.0  # least width of a gap between columns, least height of one between blocks
 
 
@@ -18,6 +19,13 @@ def _islands(low: str, high: str, least: float, name: str):
     return {f"_{name}_gap": gap}, {f"_{name}": F.count(f"_{name}_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)), f"_{name}_most": F.max(f"_{name}_gap").over(group)}
 
 
+def dealt(rows: DataFrame, n_rows: int, page: str) -> DataFrame:
+    """rows dealt out by page to as many tasks as their number asks for, so that no task's share grows with the table. One
+    shuffle serves what groups and windows by page follow."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TASK_BOXES))
+    return rows.repartition(tasks, page)
+
+
 def reading_order(boxes: DataFrame, page: str, box: str, gap_x: float = GAP_X, gap_y: float = GAP_Y, levels: int = LEVELS) -> DataFrame:
     """Adds `region` (where a box stands after the cuts, as part numbers from the outside in) and `number` (from 1, in reading
     order). boxes has x0, y0, x1, y1 in points, y growing downwards.

@@ -56,3 +56,18 @@ def test_headings(spark):
     rows = [(1, "Title", 24.0), (1, "Part", 14.0), (1, "long text of the page " * 5, 10.0), (1, "note", 8.0), (1, "Part two", 14.0), (2, "only", 10.0), (2, "none", None)]
     df = spark.createDataFrame(rows, "page int, text string, size double")
     assert {r["text"][:8]: r["heading_level"] for r in L.headings(df, "page", "size").collect()} == {"Title": 1, "Part": 2, "long tex": None, "note": None, "Part two": 2, "only": None, "none": None}
+
+
+def test_shares_do_not_grow_with_the_table(spark, monkeypatch, tmp_path):
+    """More boxes are dealt to more tasks, in the one shuffle that windows over pages need anyway, with the same order."""
+    from quillflow.plans import registry
+
+    rows = [(o, n, o * 7 + n, o + n * 3, float(o % 5 + n)) for o in range(400) for n in range(1, 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    box_order = registry.queries()["box_order"]
+    expected = sorted(map(tuple, box_order(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(L, "TASK_BOXES", 100)
+    df = box_order(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 12 and sorted(map(tuple, df.collect())) == expected and len(expected) == len(rows)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan")[0].count("Exchange ") == 1
