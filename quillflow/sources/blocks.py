@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.batches import small_batches
 from . import references
 
 SCHEMA = "key string, pos int, kind string, level int, text string"
@@ -20,7 +21,9 @@ KINDS = ("title", "meta", "heading", "paragraph", "item", "ordered", "quote", "c
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df, its rows dealt out anew if it has fewer partitions than the cluster has cores: a small file is one partition."""
+    """df, its rows dealt out anew if it has fewer partitions than the cluster has cores: a small file is one partition. They
+    go to Python in small batches."""
+    small_batches(df)
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 

@@ -109,3 +109,33 @@ def test_title_that_ends_in_the_name_of_its_site():
     page = '<title>Of | A | of | of</title><meta property="og:site_name" content="of"><p>x</p>'
     title = lambda often: next(t for k, _, t in H._parsed(page, None, often).about() if k == "title")
     assert title(True) == "Of | A" and title(False) == "Of | A | of"
+
+
+def test_pages_leave_in_small_batches(spark, monkeypatch):
+    """A worker gets few pages at a time, and holds few elements before they leave: what it holds does not grow with the table."""
+    import pyarrow as pa
+
+    setting, taken = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    class Pages:
+        def mapInArrow(self, go, schema):
+            taken.append(go)
+
+    spark.conf.set(setting, 10000)
+    pages = spark.createDataFrame([("a", "<p>x</p>", None)], "page_id string, html string, url string")
+    with monkeypatch.context() as m:
+        m.setattr(B, "dealt", lambda df: B.small_batches(df) and Pages())
+        H.elements(pages)
+    assert int(spark.conf.get(setting)) <= 1000
+    html = ["<p>text</p>" * 20] * 900
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(900)]), pa.array(html), pa.array([None] * 900, pa.string())], names=["key", "html", "url"])
+    sizes = [b.num_rows for b in taken[0](iter([batch]))]
+    assert sum(sizes) == 900 * 21 and max(sizes) < H.ELEMENTS + 21
+
+
+def test_tables_travel_in_small_batches(spark, sf_dir):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for query in (documents.documents_markdown, documents.protected_literals, documents.footnotes, documents.page_quality):
+        spark.conf.set(setting, 10000)
+        query(spark, sf_dir)
+        assert int(spark.conf.get(setting)) <= 1000
